@@ -95,3 +95,22 @@ def keep(df: DataFrame) -> DataFrame:
     """
     from pyspark import StorageLevel
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def right_size(df: DataFrame, rows_per_partition: int = 250_000) -> DataFrame:
+    """Keep ``df`` and narrow it to about ``rows_per_partition`` rows per task.
+
+    Iterative solvers launch one job per iteration over the training set; on
+    a small set most of that time is task overhead, so fewer partitions are
+    faster.  A large set keeps its partitioning.  ``coalesce`` never shuffles.
+    """
+    kept = keep(df)
+    n = kept.count()
+    current = kept.rdd.getNumPartitions()
+    wanted = max(1, -(-n // rows_per_partition))
+    if wanted >= current:
+        return kept
+    narrow = keep(kept.coalesce(wanted))
+    narrow.count()
+    kept.unpersist()
+    return narrow

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from revlens.functions.stopwords import ENGLISH_STOP_WORDS
 
-# The cleaning pattern of the reference (keep ASCII letters and
-# whitespace), and the token separator of Spark's ML Tokenizer (one
-# whitespace character).
+# The cleaning pattern of the reference (delete everything but
+# ASCII letters and whitespace), and the token separator of Spark's ML
+# Tokenizer (one whitespace character).
 CLEAN_PATTERN = "[^a-zA-Z\\s]"
+KEEP_PATTERN = "[a-zA-Z\\s]+"
 TOKEN_SEPARATOR = "\\s"
 
 
@@ -26,8 +27,14 @@ def _col(c: Column | str) -> Column:
 
 
 def clean_text(c: Column | str) -> Column:
-    """Delete every character that is not an ASCII letter or whitespace, then lower-case."""
-    return F.lower(F.regexp_replace(_col(c), CLEAN_PATTERN, ""))
+    """Delete every character that is not an ASCII letter or whitespace, then lower-case.
+
+    Same result as ``regexp_replace(c, CLEAN_PATTERN, "")``, computed as the
+    concatenation of the runs of kept characters: on Spark 4.1 the negated
+    class in ``regexp_replace`` runs about 10x slower per task and stops
+    scaling with concurrent tasks, while extracting the kept runs scales.
+    """
+    return F.lower(F.array_join(F.regexp_extract_all(_col(c), F.lit(KEEP_PATTERN), 0), ""))
 
 
 def tokenize(c: Column | str) -> Column:

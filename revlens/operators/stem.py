@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.functions.porter2 import stem
+from revlens.operators.termstats import explode_with_pos
 from revlens.operators.skew import DEFAULT_HOT_KEYS, DEFAULT_SALTS, salted_join, top_keys
 
 
@@ -45,7 +46,7 @@ def stem_tokens(df: DataFrame, tokens_col: str, out_col: str, id_col: str = "doc
     ``id_col`` must identify rows.  Rows with an empty or NULL array get an
     empty / NULL array back.
     """
-    long = df.select(id_col, F.posexplode(tokens_col).alias("pos", "term"))
+    long = explode_with_pos(df, tokens_col, [id_col])
     vocab = stem_vocabulary(long)
     hot = top_keys(vocab, "term", "n", hot_keys)
     joined = salted_join(long, vocab.select("term", "stem"), "term", hot, [id_col, "pos"], salts)

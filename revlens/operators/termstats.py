@@ -14,11 +14,23 @@ from pyspark.sql import functions as F
 from revlens.operators.skew import DEFAULT_HOT_KEYS, DEFAULT_SALTS, salted_join, top_keys
 
 
+def explode_with_pos(df: DataFrame, array_col: str, keep: list[str], pos_col: str = "pos",
+                     value_col: str = "term") -> DataFrame:
+    """``posexplode`` (one row per element, empty or NULL arrays give no row).
+
+    Written as the outer variant plus ``pos IS NOT NULL`` -- the same rows,
+    because a real element always has a position.  For the plain generator
+    Catalyst infers ``size(array) > 0`` and pushes it below the exchange,
+    where it re-evaluates the whole clean/tokenize expression a second time.
+    """
+    return (df.select(*keep, F.posexplode_outer(array_col).alias(pos_col, value_col))
+            .where(F.col(pos_col).isNotNull()))
+
+
 def token_stream(df: DataFrame, tokens_col: str, id_col: str = "doc_id",
                  term_col: str = "term", carry: list[str] | None = None) -> DataFrame:
     """One row per token with its 0-based position (empty arrays give no row)."""
-    carry = carry or []
-    return df.select(id_col, *carry, F.posexplode(tokens_col).alias("pos", term_col))
+    return explode_with_pos(df, tokens_col, [id_col, *(carry or [])], "pos", term_col)
 
 
 def term_frequency(df: DataFrame, tokens_col: str, id_col: str = "doc_id",
@@ -26,7 +38,7 @@ def term_frequency(df: DataFrame, tokens_col: str, id_col: str = "doc_id",
     """``(doc, [carry...], term, tf)``.  All tokens of a document sit in one row,
     so the partial aggregate collapses repeats inside each task before the shuffle."""
     carry = carry or []
-    return (df.select(id_col, *carry, F.explode(tokens_col).alias(term_col))
+    return (explode_with_pos(df, tokens_col, [id_col, *carry], "_pos", term_col)
             .groupBy(id_col, *carry, term_col)
             .agg(F.count(F.lit(1)).alias("tf")))
 

@@ -83,7 +83,8 @@ def q_map_class_labels(spark, sf_dir):
 
 def q_tokenize(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return docs.select("doc_id", F.posexplode(tokenize(clean_text("text"))).alias("pos", "token"))
+    toks = docs.select("doc_id", tokenize(clean_text("text")).alias("tokens"))
+    return ts.token_stream(toks, "tokens", term_col="token")
 
 
 def q_remove_stopwords(spark, sf_dir):

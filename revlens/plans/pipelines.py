@@ -45,7 +45,8 @@ def prediction_col(classifier: str) -> str:
 def prepare_stages(text_col: str = "text") -> list:
     """clean -> tokens -> words (Spark ML Tokenizer and StopWordsRemover)."""
     clean = SQLTransformer(statement=(
-        f"SELECT *, lower(regexp_replace({text_col}, '[^a-zA-Z\\\\s]', '')) AS clean_text FROM __THIS__"))
+        f"SELECT *, lower(array_join(regexp_extract_all({text_col}, '[a-zA-Z\\\\s]+', 0), '')) "
+        "AS clean_text FROM __THIS__"))
     return [clean,
             Tokenizer(inputCol="clean_text", outputCol="tokens"),
             StopWordsRemover(inputCol="tokens", outputCol="words", stopWords=list(ENGLISH_STOP_WORDS))]

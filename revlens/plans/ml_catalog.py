@@ -246,6 +246,53 @@ def q_score_and_write(spark, sf_dir):
                    binary_predictions=F.sum((~F.col("prediction").isin(0.0, 1.0)).cast("int")) == 0)
 
 
+def q_stream_score(spark, sf_dir):
+    """Structured Streaming scorer over the conversations file equals batch scoring."""
+    from revlens.streaming import score_files
+    train, _ = _split_labelled(spark, sf_dir)
+    st, col = tfidf_stages()
+    fp = fit_text_pipeline(train, st, col, ("nb", "lr"), lr_params=CHECK_LR)
+    schema = read_table(spark, sf_dir, "conversations").schema
+    sink = score_files(spark, sf_dir, schema, fp, "nb", ["conv_id", "turn"],
+                       file_glob="conversations.parquet")
+    streamed = spark.read.parquet(sink).withColumnRenamed("prediction", "streamed")
+    batch = score(read_table(spark, sf_dir, "conversations"), fp, "nb", id_col=["conv_id", "turn"])
+    both = batch.join(streamed, ["conv_id", "turn"], "full")
+    return _checks(both,
+                   same_as_batch=F.sum((~F.col("prediction").eqNullSafe(F.col("streamed"))).cast("int")) == 0,
+                   all_rows_scored=F.count(F.lit(1)) == F.lit(batch.count()))
+
+
+def q_word2vec_roundtrip(spark, sf_dir):
+    """Saved word2vec model (preparation + stemming job + Word2Vec + classifiers)
+    reloads and predicts the same."""
+    from revlens.plans.persist import load_fitted, save_fitted
+    fp, test = _w2v(spark, sf_dir, ("lr", "svm"))
+    path = scratch_path(spark, "model-w2v")
+    save_fitted(spark, fp, path, "word2vec")
+    loaded, extractor = load_fitted(spark, path)
+    a = score(test, fp, "svm").withColumnRenamed("prediction", "a")
+    b = score(test, loaded, "svm").withColumnRenamed("prediction", "b")
+    both = a.join(b, "doc_id", "full")
+    return _checks(both, same_predictions=F.sum((~F.col("a").eqNullSafe(F.col("b"))).cast("int")) == 0,
+                   extractor_recorded=F.lit(extractor == "word2vec"))
+
+
+def q_score_lines(spark, sf_dir):
+    """The batch scoring command: train + save an n-gram model, write every
+    conversation text as lines, score one prediction per line."""
+    from revlens.cli import score_lines, train
+    model_dir = scratch_path(spark, "model-ngram")
+    train(spark, "ngram", sf_dir, model_dir, ("nb",))
+    lines_dir = scratch_path(spark, "lines")
+    read_table(spark, sf_dir, "conversations", ["text"]).dropna().write.mode("overwrite").text(lines_dir)
+    out = spark.read.parquet(score_lines(spark, model_dir, "nb", lines_dir, scratch_path(spark, "scored")))
+    n_lines = spark.read.text(lines_dir).count()
+    return _checks(out, one_prediction_per_line=F.count(F.lit(1)) == F.lit(n_lines),
+                   unique_line_ids=F.count_distinct("line_id") == F.lit(n_lines),
+                   binary_predictions=F.sum((~F.col("prediction").isin(0.0, 1.0)).cast("int")) == 0)
+
+
 def q_stem_tokens(spark, sf_dir):
     words = PipelineModel(stages=prepare_stages()).transform(documents(spark, sf_dir))
     stemmed = stem_tokens(words, "words", "stems")
@@ -295,6 +342,9 @@ ML_QUERIES = {
     "embedding_classifier": q_embedding_classifier,
     "model_roundtrip": q_model_roundtrip,
     "score_and_write": q_score_and_write,
+    "stream_score": q_stream_score,
+    "word2vec_roundtrip": q_word2vec_roundtrip,
+    "score_lines": q_score_lines,
     "stem_tokens": q_stem_tokens,
     "stem_consistency": q_stem_consistency,
     "metrics_report": q_metrics_report,
@@ -312,4 +362,7 @@ ML_ORACLE_SQL = {
     "model_roundtrip": _const_sql("same_predictions", "same_stage_count"),
     "score_and_write": _const_sql("all_rows_written", "binary_predictions"),
     "stem_consistency": _const_sql("same_stems", "same_lengths"),
+    "stream_score": _const_sql("same_as_batch", "all_rows_scored"),
+    "word2vec_roundtrip": _const_sql("same_predictions", "extractor_recorded"),
+    "score_lines": _const_sql("one_prediction_per_line", "unique_line_ids", "binary_predictions"),
 }

@@ -1,0 +1,3 @@
+"""Structured Streaming entry points (the scoring job over arriving files)."""
+
+from revlens.streaming.scorer import score_files, stream_predictions  # noqa: F401

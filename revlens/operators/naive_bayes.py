@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlens.operators.skew import salted_join, top_keys
 from revlens.operators.termstats import count_rows
 
 
@@ -47,13 +48,14 @@ def fit_nb(features: DataFrame, docs: DataFrame, n_features: Column | int,
 
 def score_nb(features: DataFrame, docs: DataFrame, prior: DataFrame, theta: DataFrame,
              label_col: str = "label", feature_col: str = "idx", value_col: str = "value",
-             id_col: str = "doc_id") -> DataFrame:
+             id_col: str = "doc_id", bounded: bool = True) -> DataFrame:
     """``(doc_id, prediction, score)`` for every row of ``docs``.
 
     Documents without any known feature still get the prior-only prediction.
     Ties go to the smallest label, as MLlib's argmax does.  ``theta`` is
     bounded by classes x feature space and is broadcast as one dense row of
-    per-class log-probabilities per feature.
+    per-class log-probabilities per feature; with ``bounded=False`` (a feature
+    space that grows with the data) it is joined with the salted hot-key join.
     """
     classes = (prior.select(F.sort_array(F.collect_list(
         F.struct(F.col(label_col).alias("label"), "pi", "theta0"))).alias("c")).scalar())
@@ -64,8 +66,14 @@ def score_nb(features: DataFrame, docs: DataFrame, prior: DataFrame, theta: Data
                    .select(feature_col,
                            F.transform("_classes", lambda c: F.coalesce(F.col("m")[c["label"]], c["theta0"]))
                            .alias("tv")))
-    contrib = (features.select(id_col, feature_col, value_col)
-               .join(F.broadcast(per_feature), feature_col, "left")
+    feats = features.select(id_col, feature_col, value_col)
+    if bounded:
+        joined = feats.join(F.broadcast(per_feature), feature_col, "left")
+    else:
+        counts = feats.groupBy(feature_col).agg(F.count(F.lit(1)).alias("_n"))
+        joined = salted_join(feats, per_feature, feature_col, top_keys(counts, feature_col, "_n"),
+                             [id_col], how="left")
+    contrib = (joined
                .withColumn("_classes", classes)
                .select(id_col, F.posexplode(F.coalesce(
                    F.col("tv"), F.transform("_classes", lambda c: c["theta0"]))).alias("ci", "th"),

@@ -24,6 +24,14 @@ def binarize(df: DataFrame, score_col: str = "score", out_col: str | None = None
     return df.withColumn(out_col, binarize_score(score_col))
 
 
+def split_valid_scores(df: DataFrame, score_col: str = "score",
+                       valid=(1, 2, 3, 4, 5)) -> tuple[DataFrame, DataFrame]:
+    """(rows with a rating in ``valid``, the other rows) -- out-of-range or NULL
+    ratings go to a reject DataFrame instead of failing the classifier fit."""
+    ok = F.col(score_col).isin(*valid)
+    return df.where(ok), df.where(~F.coalesce(ok, F.lit(False)))
+
+
 def prepare(df: DataFrame, text_col: str = "text", score_col: str | None = "score",
             keep: list[str] | None = None) -> DataFrame:
     """Select, drop NULLs, clean, binarize.

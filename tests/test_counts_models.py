@@ -108,3 +108,14 @@ def test_metrics_report_one_row_per_model(spark):
     df = spark.createDataFrame([(0.0, 0.0, 1.0), (1.0, 1.0, 1.0)], "label double, a double, b double")
     got = {r.model: r.accuracy for r in metrics_report(df, {"m1": "a", "m2": "b"}).collect()}
     assert got == {"m1": 1.0, "m2": 0.5}
+
+
+def test_naive_bayes_unbounded_path_equals_broadcast(spark):
+    rows = [(d, lab, i, v) for d, lab, f0, f1 in NB_ROWS for i, v in ((0, f0), (1, f1)) if v != 0]
+    feats = spark.createDataFrame(rows, "doc_id long, label double, idx int, value double")
+    docs = spark.createDataFrame([(d, lab) for d, lab, *_ in NB_ROWS], "doc_id long, label double")
+    prior, theta = fit_nb(feats, docs, 2)
+    test = feats.select("doc_id", "idx", "value")
+    a = sorted(tuple(r) for r in score_nb(test, docs.select("doc_id"), prior, theta).collect())
+    b = sorted(tuple(r) for r in score_nb(test, docs.select("doc_id"), prior, theta, bounded=False).collect())
+    assert a == b

@@ -48,3 +48,11 @@ def test_read_lines_one_row_per_line(spark):
     with open(os.path.join(d, "in.txt"), "w") as f:
         f.write("first review\nsecond review\n")
     assert [r.text for r in read_lines(spark, d).collect()] == ["first review", "second review"]
+
+
+def test_out_of_range_scores_are_rejected(spark):
+    from revlens.operators.prepare import split_valid_scores
+    df = spark.createDataFrame([(1.0,), (5.0,), (7.0,), (None,), (2.5,)], "score double")
+    ok, bad = split_valid_scores(df)
+    assert sorted(r.score for r in ok.collect()) == [1.0, 5.0]
+    assert sorted((r.score is None, r.score) for r in bad.collect()) == [(False, 2.5), (False, 7.0), (True, None)]

@@ -50,7 +50,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir``; set a private folder only where the
     session has none (local runs and tests).
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext (Spark Connect)
+        sc = None
+    if sc is None:
+        root = spark.conf.get(CHECKPOINT_CONF, None)
+        if not root:
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+        return root
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -81,8 +89,11 @@ def distribute(df: DataFrame, key: str | None = None, min_partitions: int | None
     is hash-partitioned by ``key`` so the text work uses every core and later
     per-``key`` aggregations find their input already clustered.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD access (Spark Connect): leave the plan alone
         return df
     return df.repartition(target, key) if key else df.repartition(target)
 
@@ -106,7 +117,10 @@ def right_size(df: DataFrame, rows_per_partition: int = 250_000) -> DataFrame:
     """
     kept = keep(df)
     n = kept.count()
-    current = kept.rdd.getNumPartitions()
+    try:
+        current = kept.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (Spark Connect)
+        return kept
     wanted = max(1, -(-n // rows_per_partition))
     if wanted >= current:
         return kept

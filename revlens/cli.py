@@ -1,6 +1,7 @@
 """Command line: train a model, score files with it.
 
     python -m revlens.cli train --extractor ngram --data <sf_dir> --model <dir>
+    python -m revlens.cli evaluate --model <dir> --data <sf_dir>
     python -m revlens.cli score --model <dir> --classifier lr --input <text dir/file> --output <dir>
 
 ``train`` fits on the labelled documents (hash split, 90 % train) and prints
@@ -21,25 +22,36 @@ EXTRACTORS = ("tfidf", "word2vec", "ngram")
 CLASSIFIERS = ("lr", "nb", "svm")
 
 
-def train(spark, extractor: str, data_dir: str, model_dir: str, classifiers=None):
-    from revlens.operators.evaluate import metrics_report
+def train(spark, extractor: str, data_dir: str, model_dir: str, classifiers=None,
+          stem: bool | None = None, **params):
+    """Fit on the train split, save, return the test-split metrics per classifier."""
     from revlens.operators.prepare import hash_split
     from revlens.plans.persist import save_fitted
-    from revlens.plans.pipelines import (
-        fit_text_pipeline, fit_word2vec_pipeline, ngram_stages, prediction_col, tfidf_stages,
-    )
+    from revlens.plans.pipelines import fit_extractor
     from revlens.sources import labelled_documents
     train_df, test_df = hash_split(labelled_documents(spark, data_dir))
-    if extractor == "word2vec":
-        fitted = fit_word2vec_pipeline(train_df, classifiers or ("svm", "lr"))
-    else:
-        stages, col = tfidf_stages() if extractor == "tfidf" else ngram_stages()
-        fitted = fit_text_pipeline(train_df, stages, col, classifiers or ("nb", "lr", "svm"))
+    fitted = fit_extractor(train_df, extractor, classifiers, stem, **params)
     save_fitted(spark, fitted, model_dir, extractor)
+    return _report(fitted, test_df)
+
+
+def _report(fitted, test_df):
+    from revlens.operators.evaluate import metrics_report
+    from revlens.plans.pipelines import prediction_col
     cols = {c: prediction_col(c) for c in fitted.classifiers}
     return metrics_report(fitted.transform(test_df), cols)
 
 
+def evaluate_saved(spark, model_dir: str, data_dir: str):
+    """Reload a saved model and report accuracy and weighted F1 on the test split."""
+    from revlens.operators.prepare import hash_split
+    from revlens.plans.persist import load_fitted
+    from revlens.sources import labelled_documents
+    fitted, _ = load_fitted(spark, model_dir)
+    _, test_df = hash_split(labelled_documents(spark, data_dir))
+    return _report(fitted, test_df)
+
+
 def score_lines(spark, model_dir: str, classifier: str, input_path: str, output_path: str):
     from revlens.plans.persist import load_fitted
     from revlens.plans.pipelines import CLASSIFIER_PREFIX, score
@@ -65,6 +77,10 @@ def main(argv=None):
     t.add_argument("--extractor", choices=EXTRACTORS, required=True)
     t.add_argument("--data", required=True, help="folder with documents/labels parquet")
     t.add_argument("--model", required=True)
+    t.add_argument("--stem", action="store_true", help="stem words before tfidf / ngram features")
+    e = sub.add_parser("evaluate")
+    e.add_argument("--model", required=True)
+    e.add_argument("--data", required=True)
     s = sub.add_parser("score")
     s.add_argument("--model", required=True)
     s.add_argument("--classifier", choices=CLASSIFIERS, required=True)
@@ -74,7 +90,9 @@ def main(argv=None):
     from revlens.session import get_session
     spark = get_session(app=f"revlens-{args.cmd}")
     if args.cmd == "train":
-        train(spark, args.extractor, args.data, args.model).show(truncate=False)
+        train(spark, args.extractor, args.data, args.model, stem=args.stem or None).show(truncate=False)
+    elif args.cmd == "evaluate":
+        evaluate_saved(spark, args.model, args.data).show(truncate=False)
     else:
         print(score_lines(spark, args.model, args.classifier, args.input, args.output))
     spark.stop()

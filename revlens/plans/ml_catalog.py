@@ -293,6 +293,45 @@ def q_score_lines(spark, sf_dir):
                    binary_predictions=F.sum((~F.col("prediction").isin(0.0, 1.0)).cast("int")) == 0)
 
 
+def q_stemmed_tfidf_evaluate(spark, sf_dir):
+    """Stop words + stem + hashed TF-IDF + NB / LR / SVM: train and save, then
+    reload and evaluate (the reference's train and evaluate scripts); the
+    reloaded model reports the same metrics."""
+    from revlens.cli import evaluate_saved, train
+    model_dir = scratch_path(spark, "model-stem-tfidf")
+    trained = train(spark, "tfidf", sf_dir, model_dir, stem=True, lr_params=CHECK_LR,
+                    svm_params=CHECK_SVM).withColumnRenamed("accuracy", "a1").withColumnRenamed("f1", "f1_1")
+    reloaded = evaluate_saved(spark, model_dir, sf_dir)
+    both = trained.join(reloaded, "model", "full")
+    return _checks(both,
+                   same_accuracy=F.max(F.abs(F.col("a1") - F.col("accuracy"))) < 1e-12,
+                   same_f1=F.max(F.abs(F.col("f1_1") - F.col("f1"))) < 1e-12,
+                   three_models=F.count(F.lit(1)) == 3)
+
+
+def q_lr_five_class(spark, sf_dir):
+    """Hashed TF-IDF + 5-class logistic regression on the star rating itself
+    (ratings 1..5 as classes 0..4, no binarization)."""
+    from revlens.operators.prepare import drop_null_reviews
+    from revlens.sources import reviews
+    r = drop_null_reviews(reviews(spark, sf_dir)).withColumn("label", F.col("score") - 1.0)
+    train, test = hash_split(r)
+    st, col = tfidf_stages()
+    fp = fit_text_pipeline(train, st, col, ("lr",),
+                           lr_params={**CHECK_LR, "family": "multinomial"})
+    lr = fp.model.stages[-1]
+    pred = fp.transform(test)
+    prob = vector_to_array("LR_probability")
+    raw = vector_to_array("LR_rawPrediction")
+    argmax = F.array_position(raw, F.array_max(raw)) - 1
+    return _checks(
+        pred,
+        five_classes=F.lit(lr.numClasses == 5),
+        probabilities_sum_to_one=F.max(F.abs(F.aggregate(prob, F.lit(0.0), lambda a, x: a + x) - 1.0)) < TOL,
+        prediction_is_argmax=F.sum((argmax.cast("double") != F.col("LR_prediction")).cast("int")) == 0,
+    )
+
+
 def q_stem_tokens(spark, sf_dir):
     words = PipelineModel(stages=prepare_stages()).transform(documents(spark, sf_dir))
     stemmed = stem_tokens(words, "words", "stems")
@@ -345,6 +384,8 @@ ML_QUERIES = {
     "stream_score": q_stream_score,
     "word2vec_roundtrip": q_word2vec_roundtrip,
     "score_lines": q_score_lines,
+    "stemmed_tfidf_evaluate": q_stemmed_tfidf_evaluate,
+    "lr_five_class": q_lr_five_class,
     "stem_tokens": q_stem_tokens,
     "stem_consistency": q_stem_consistency,
     "metrics_report": q_metrics_report,
@@ -363,6 +404,8 @@ ML_ORACLE_SQL = {
     "score_and_write": _const_sql("all_rows_written", "binary_predictions"),
     "stem_consistency": _const_sql("same_stems", "same_lengths"),
     "stream_score": _const_sql("same_as_batch", "all_rows_scored"),
+    "stemmed_tfidf_evaluate": _const_sql("same_accuracy", "same_f1", "three_models"),
+    "lr_five_class": _const_sql("five_classes", "probabilities_sum_to_one", "prediction_is_argmax"),
     "word2vec_roundtrip": _const_sql("same_predictions", "extractor_recorded"),
     "score_lines": _const_sql("one_prediction_per_line", "unique_line_ids", "binary_predictions"),
 }

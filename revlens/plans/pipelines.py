@@ -73,16 +73,16 @@ def classifier_stages(features_col: str, label_col: str = "label", which=("nb",
     return stages
 
 
-def tfidf_stages(num_features: int = HASHING_FEATURES) -> tuple[list, str]:
-    return [HashingTF(inputCol="words", outputCol="tf", numFeatures=num_features),
+def tfidf_stages(num_features: int = HASHING_FEATURES, input_col: str = "words") -> tuple[list, str]:
+    return [HashingTF(inputCol=input_col, outputCol="tf", numFeatures=num_features),
             IDF(inputCol="tf", outputCol="tfidf")], "tfidf"
 
 
 def ngram_stages(orders=(1, 2), vocab_sizes=NGRAM_VOCAB_SIZES,
-                 min_doc_freqs=NGRAM_MIN_DOC_FREQ) -> tuple[list, str]:
+                 min_doc_freqs=NGRAM_MIN_DOC_FREQ, input_col: str = "words") -> tuple[list, str]:
     stages = []
     for n in orders:
-        stages += [NGram(n=n, inputCol="words", outputCol=f"{n}_grams"),
+        stages += [NGram(n=n, inputCol=input_col, outputCol=f"{n}_grams"),
                    CountVectorizer(vocabSize=vocab_sizes[n - 1], inputCol=f"{n}_grams",
                                    outputCol=f"{n}_tf"),
                    IDF(inputCol=f"{n}_tf", outputCol=f"{n}_tfidf", minDocFreq=min_doc_freqs[n - 1])]
@@ -152,6 +152,33 @@ def fit_word2vec_pipeline(train: DataFrame, classifiers=("svm", "lr"), label_col
     return FittedPipeline(fitted.model, col, fitted.classifiers, pre, id_col)
 
 
+EXTRACTOR_CLASSIFIERS = {"tfidf": ("nb", "lr", "svm"), "ngram": ("nb", "lr", "svm"),
+                         "word2vec": ("svm", "lr")}
+
+
+def fit_extractor(train: DataFrame, extractor: str, classifiers=None, stem: bool | None = None,
+                  label_col: str = "label", id_col: str = "doc_id", **params) -> FittedPipeline:
+    """One entry point for the three extractors.  ``stem`` (default: only for
+    word2vec, as in the reference) runs the distributed stemming job between
+    preparation and the feature stages."""
+    if extractor not in EXTRACTOR_CLASSIFIERS:
+        raise ValueError(f"extractor must be one of {sorted(EXTRACTOR_CLASSIFIERS)}")
+    classifiers = tuple(classifiers or EXTRACTOR_CLASSIFIERS[extractor])
+    if extractor == "word2vec" and "nb" in classifiers:
+        raise ValueError("naive Bayes needs non-negative features; word2vec vectors are signed")
+    if extractor == "word2vec":
+        return fit_word2vec_pipeline(train, classifiers, label_col, id_col=id_col, **params)
+    if not stem:
+        stages, col = tfidf_stages() if extractor == "tfidf" else ngram_stages()
+        return fit_text_pipeline(train, stages, col, classifiers, label_col, **params)
+    pre = PipelineModel(stages=prepare_stages())
+    stemmed = stem_tokens(pre.transform(train), "words", "stems", id_col)
+    stages, col = (tfidf_stages(input_col="stems") if extractor == "tfidf"
+                   else ngram_stages(input_col="stems"))
+    fitted = fit_text_pipeline(stemmed, stages, col, classifiers, label_col, pre_stages=[], **params)
+    return FittedPipeline(fitted.model, col, fitted.classifiers, pre, id_col)
+
+
 def score(df: DataFrame, fitted: FittedPipeline | PipelineModel, classifier: str,
           id_col: str = "doc_id", classifiers=None) -> DataFrame:
     """``(id, prediction)`` from the chosen classifier; the choice is checked

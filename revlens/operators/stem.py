@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from revlens.functions.porter2 import stem
 from revlens.operators.termstats import explode_with_pos
+from revlens.session import keep
 from revlens.operators.skew import DEFAULT_HOT_KEYS, DEFAULT_SALTS, salted_join, top_keys
 
 
@@ -44,8 +45,11 @@ def stem_tokens(df: DataFrame, tokens_col: str, out_col: str, id_col: str = "doc
     """Add ``out_col``: the stems of ``tokens_col`` (same order and length).
 
     ``id_col`` must identify rows.  Rows with an empty or NULL array get an
-    empty / NULL array back.
+    empty / NULL array back.  The input is read three times (term counts,
+    the join, the final re-attachment), so it is kept: the text preparation
+    behind it runs once.
     """
+    df = keep(df)
     long = explode_with_pos(df, tokens_col, [id_col])
     vocab = stem_vocabulary(long)
     hot = top_keys(vocab, "term", "n", hot_keys)

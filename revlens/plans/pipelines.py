@@ -128,7 +128,10 @@ def fit_text_pipeline(train: DataFrame, feature_stages: list, features_col: str,
                       lr_params=None, svm_params=None, nb_params=None) -> FittedPipeline:
     """prepare -> features -> classifiers, fit in phases over cached data."""
     pre = PipelineModel(stages=prepare_stages(text_col) if pre_stages is None else pre_stages)
-    prepared = keep(pre.transform(train) if pre.stages else train)
+    prepared = pre.transform(train) if pre.stages else train
+    # cache only what the feature stages can read (not the raw and cleaned text)
+    prepared = keep(prepared.drop(*[c for c in (text_col, "clean_text", "tokens")
+                                   if c in prepared.columns and c != label_col]))
     feat_model = Pipeline(stages=feature_stages).fit(prepared)
     feats = right_size(feat_model.transform(prepared).select(features_col, label_col))
     clf_model = Pipeline(stages=classifier_stages(features_col, label_col, classifiers,
@@ -145,7 +148,7 @@ def fit_word2vec_pipeline(train: DataFrame, classifiers=("svm", "lr"), label_col
                           lr_params=None, svm_params=None) -> FittedPipeline:
     """prepare -> stem (distributed) -> length filter -> Word2Vec -> LR (L2) / SVM."""
     pre = PipelineModel(stages=prepare_stages(text_col))
-    stemmed = stem_tokens(pre.transform(train), "words", "stems", id_col)
+    stemmed = stem_tokens(pre.transform(train).select(id_col, label_col, "words"), "words", "stems", id_col)
     stages, col = word2vec_stages("stems", num_partitions, params=w2v_params)
     fitted = fit_text_pipeline(stemmed, stages, col, classifiers, label_col, pre_stages=[],
                                lr_params=lr_params or LR_L2_PARAMS, svm_params=svm_params)
@@ -172,7 +175,7 @@ def fit_extractor(train: DataFrame, extractor: str, classifiers=None, stem: bool
         stages, col = tfidf_stages() if extractor == "tfidf" else ngram_stages()
         return fit_text_pipeline(train, stages, col, classifiers, label_col, **params)
     pre = PipelineModel(stages=prepare_stages())
-    stemmed = stem_tokens(pre.transform(train), "words", "stems", id_col)
+    stemmed = stem_tokens(pre.transform(train).select(id_col, label_col, "words"), "words", "stems", id_col)
     stages, col = (tfidf_stages(input_col="stems") if extractor == "tfidf"
                    else ngram_stages(input_col="stems"))
     fitted = fit_text_pipeline(stemmed, stages, col, classifiers, label_col, pre_stages=[], **params)

@@ -28,11 +28,14 @@ NGRAM_VOCAB_SIZES = (8192, 4096, 1024)
 NGRAM_MIN_DOC_FREQ = (50, 5, 5)
 
 
-def build_corpus(labelled: DataFrame, stop_words=None) -> DataFrame:
-    """``(doc_id, label, split, tokens, words)``: cleaned, tokenized, stop words
-    removed, hash split; kept because every later branch reads it."""
+def build_corpus(labelled: DataFrame, stop_words=None, keep_tokens: bool = False) -> DataFrame:
+    """``(doc_id, label, split, words[, tokens])``: cleaned, tokenized, stop words
+    removed, hash split; kept because every later branch reads it.  The text
+    itself (and by default the pre-stop-word tokens) is not kept: only what the
+    later jobs read is cached."""
     prepared = prepare(labelled, text_col="text", score_col=None, keep=["doc_id", "label"])
-    return keep(with_split(add_words(prepared, stop_words=stop_words)))
+    cols = ["doc_id", "label", "split", "words"] + (["tokens"] if keep_tokens else [])
+    return keep(with_split(add_words(prepared, stop_words=stop_words)).select(*cols))
 
 
 @dataclass

@@ -49,23 +49,27 @@ def fit_nb(features: DataFrame, docs: DataFrame, n_features: Column | int,
 def score_nb(features: DataFrame, docs: DataFrame, prior: DataFrame, theta: DataFrame,
              label_col: str = "label", feature_col: str = "idx", value_col: str = "value",
              id_col: str = "doc_id", bounded: bool = True) -> DataFrame:
-    """``(doc_id, prediction, score)`` for every row of ``docs``.
+    """``docs`` plus ``prediction`` and ``score`` (the winning log-posterior).
 
-    Documents without any known feature still get the prior-only prediction.
-    Ties go to the smallest label, as MLlib's argmax does.  ``theta`` is
-    bounded by classes x feature space and is broadcast as one dense row of
-    per-class log-probabilities per feature; with ``bounded=False`` (a feature
-    space that grows with the data) it is joined with the salted hot-key join.
+    Every row of ``docs`` is scored; one without any known feature gets the
+    prior-only prediction.  Ties go to the smallest label, as MLlib's argmax.
+
+    The prior has one row per class, so it is read once (a bounded list) and
+    the per-class sums become plain columns: one hash aggregation per
+    document, then ``greatest`` for the argmax -- no documents x classes rows.
+    ``theta`` (bounded by classes x feature space) is broadcast as one dense
+    array of per-class log-probabilities per feature; with ``bounded=False`` (a
+    feature space that grows with the data) it goes through the salted join.
     """
-    classes = (prior.select(F.sort_array(F.collect_list(
-        F.struct(F.col(label_col).alias("label"), "pi", "theta0"))).alias("c")).scalar())
-    # A scalar subquery may not sit inside a lambda: project it to a column first.
+    classes = prior.select(label_col, "pi", "theta0").orderBy(label_col).collect()
+    if not classes:
+        raise ValueError("empty model: no classes")
+    labels = [float(r[label_col]) for r in classes]
     per_feature = (theta.groupBy(feature_col)
                    .agg(F.map_from_entries(F.collect_list(F.struct(label_col, "theta"))).alias("m"))
-                   .withColumn("_classes", classes)
                    .select(feature_col,
-                           F.transform("_classes", lambda c: F.coalesce(F.col("m")[c["label"]], c["theta0"]))
-                           .alias("tv")))
+                           F.array(*[F.coalesce(F.col("m")[F.lit(lab)], F.lit(float(r["theta0"])))
+                                     for lab, r in zip(labels, classes)]).alias("tv")))
     feats = features.select(id_col, feature_col, value_col)
     if bounded:
         joined = feats.join(F.broadcast(per_feature), feature_col, "left")
@@ -73,18 +77,12 @@ def score_nb(features: DataFrame, docs: DataFrame, prior: DataFrame, theta: Data
         counts = feats.groupBy(feature_col).agg(F.count(F.lit(1)).alias("_n"))
         joined = salted_join(feats, per_feature, feature_col, top_keys(counts, feature_col, "_n"),
                              [id_col], how="left")
-    contrib = (joined
-               .withColumn("_classes", classes)
-               .select(id_col, F.posexplode(F.coalesce(
-                   F.col("tv"), F.transform("_classes", lambda c: c["theta0"]))).alias("ci", "th"),
-                   value_col)
-               .select(id_col, "ci", (F.col(value_col) * F.col("th")).alias("v")))
-    base = (docs.select(id_col).select(id_col, F.posexplode(classes).alias("ci", "c"))
-            .select(id_col, "ci", F.col("c.pi").alias("v")))
-    scores = (base.unionByName(contrib)
-              .groupBy(id_col, "ci").agg(F.sum("v").alias("score"))
-              .withColumn(label_col, F.element_at(classes, F.col("ci").cast("int") + 1)["label"]))
-    best = F.max_by(F.struct("score", F.col(label_col)),
-                    F.struct(F.col("score"), -F.col(label_col)))
-    return (scores.groupBy(id_col).agg(best.alias("b"))
-            .select(id_col, F.col("b")[label_col].alias("prediction"), F.col("b.score").alias("score")))
+    sums = joined.groupBy(id_col).agg(*[
+        F.sum(F.col(value_col) * F.coalesce(F.col("tv")[i], F.lit(float(r["theta0"])))).alias(f"_s{i}")
+        for i, r in enumerate(classes)])
+    scored = docs.join(sums, id_col, "left")
+    scores = [F.lit(float(r["pi"])) + F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) for i, r in enumerate(classes)]
+    scored = scored.select("*", *[sc.alias(f"_p{i}") for i, sc in enumerate(scores)])
+    best = F.greatest(*[F.col(f"_p{i}") for i in range(len(classes))]) if len(classes) > 1 else F.col("_p0")
+    prediction = F.coalesce(*[F.when(F.col(f"_p{i}") == best, F.lit(lab)) for i, lab in enumerate(labels)])
+    return scored.select(*docs.columns, prediction.alias("prediction"), best.alias("score"))

@@ -58,8 +58,7 @@ def count_vector_nb(corpus: DataFrame, vocab_size: int = 2000, smoothing: float
     prior, theta = fit_nb(feats, train.select("doc_id", "label"), ts.count_rows(vocab), smoothing)
     test_feats = (ts.restrict_to_vocabulary(ts.term_frequency(test, words_col), vocab)
                   .withColumnRenamed("tf", "value"))
-    pred = score_nb(test_feats, test.select("doc_id"), prior, theta)
-    out = pred.join(test.select("doc_id", "label"), "doc_id")
+    out = score_nb(test_feats, test.select("doc_id", "label"), prior, theta)
     return NBResult(out.select("doc_id", "label", "prediction", "score"), prior, theta, vocab)
 
 
@@ -106,8 +105,7 @@ def ngram_tfidf_nb(corpus: DataFrame, orders=(1, 2), smoothing: float = 1.0) ->
     train_docs = corpus.where(F.col("split") == "train").select("doc_id", "label")
     test_docs = corpus.where(F.col("split") == "test").select("doc_id", "label")
     prior, theta = fit_nb(feats.train, train_docs, feats.size, smoothing)
-    pred = score_nb(feats.test, test_docs.select("doc_id"), prior, theta)
-    out = pred.join(test_docs, "doc_id").select("doc_id", "label", "prediction", "score")
+    out = score_nb(feats.test, test_docs, prior, theta).select("doc_id", "label", "prediction", "score")
     return NBResult(out, prior, theta, feats.blocks[0][0])
 
 

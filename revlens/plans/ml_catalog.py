@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from revlens.operators import termstats as ts
 from revlens.operators.evaluate import evaluate, metrics_report
+from revlens.operators.linear import coefficient_table, linear_margin, vector_to_long
 from revlens.operators.prepare import hash_split, with_split
 from revlens.operators.skew import salted_join, top_keys
 from revlens.operators.stem import stem_arrays, stem_tokens
@@ -55,11 +56,11 @@ def _const_sql(*names: str) -> str:
     return f"SELECT * FROM (VALUES {rows}) AS t(check_name, ok)"
 
 
-def _margin(features_col: str, coefficients, intercept: float):
-    w = F.array(*[F.lit(float(x)) for x in coefficients])
-    dot = F.aggregate(F.zip_with(vector_to_array(F.col(features_col)), w, lambda x, y: x * y),
-                      F.lit(0.0), lambda a, v: a + v)
-    return dot + F.lit(float(intercept))
+def _with_margin(spark, pred: DataFrame, features_col: str, model) -> DataFrame:
+    """``pred`` plus ``margin`` recomputed relationally (long features x broadcast coefficients)."""
+    pred = keep(pred)
+    long = vector_to_long(pred, features_col)
+    return linear_margin(long, coefficient_table(spark, model.coefficients), model.intercept, pred)
 
 
 def _split_labelled(spark, sf_dir):
@@ -99,13 +100,13 @@ def q_lr_predict_check(spark, sf_dir):
     st, col = tfidf_stages()
     fp = fit_text_pipeline(train, st, col, ("lr",), lr_params=CHECK_LR)
     lr = fp.model.stages[-1]
-    pred = fp.transform(test)
+    pred = _with_margin(spark, fp.transform(test), col, lr)
     raw1 = vector_to_array("LR_rawPrediction")[1]
     p1 = vector_to_array("LR_probability")[1]
     hist = lr.summary.objectiveHistory
     return _checks(
         pred,
-        margin_matches_raw=F.max(F.abs(_margin(col, lr.coefficients, lr.intercept) - raw1)) < TOL,
+        margin_matches_raw=F.max(F.abs(F.col("margin") - raw1)) < TOL,
         probability_agrees=F.sum(((p1 > 0.5) != (F.col("LR_prediction") == 1.0)).cast("int")) == 0,
         objective_decreased=F.lit(hist[-1] <= hist[0]),
     )
@@ -116,11 +117,11 @@ def q_svc_predict_check(spark, sf_dir):
     st, col = tfidf_stages()
     fp = fit_text_pipeline(train, st, col, ("svm",), svm_params=CHECK_SVM)
     svm = fp.model.stages[-1]
-    pred = fp.transform(test)
+    pred = _with_margin(spark, fp.transform(test), col, svm)
     raw1 = vector_to_array("SVM_rawPrediction")[1]
     return _checks(
         pred,
-        margin_matches_raw=F.max(F.abs(_margin(col, svm.coefficients, svm.intercept) - raw1)) < TOL,
+        margin_matches_raw=F.max(F.abs(F.col("margin") - raw1)) < TOL,
         prediction_is_sign=F.sum(((raw1 > 0) != (F.col("SVM_prediction") == 1.0)).cast("int")) == 0,
     )
 
@@ -135,13 +136,13 @@ def _w2v(spark, sf_dir, classifiers=("lr",)):
 def q_lr_l2_check(spark, sf_dir):
     fp, test = _w2v(spark, sf_dir)
     lr = fp.model.stages[-1]
-    pred = fp.transform(test)
+    pred = _with_margin(spark, fp.transform(test), "word2vec", lr)
     raw1 = vector_to_array("LR_rawPrediction")[1]
     p1 = vector_to_array("LR_probability")[1]
     return _checks(
         pred,
         elastic_net_is_zero=F.lit(lr.getElasticNetParam() == 0.0),
-        margin_matches_raw=F.max(F.abs(_margin("word2vec", lr.coefficients, lr.intercept) - raw1)) < TOL,
+        margin_matches_raw=F.max(F.abs(F.col("margin") - raw1)) < TOL,
         probability_agrees=F.sum(((p1 > 0.5) != (F.col("LR_prediction") == 1.0)).cast("int")) == 0,
     )
 

@@ -64,6 +64,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     root = sc.getConf().get(CHECKPOINT_CONF, None)
     if not root:
+        if not sc.master.startswith("local"):
+            # a folder on the driver's disk is invisible to executors
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to shared storage every executor can reach")
         root = tempfile.mkdtemp(prefix="revlens-ckpt-")
     sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root

@@ -119,3 +119,20 @@ def test_naive_bayes_unbounded_path_equals_broadcast(spark):
     a = sorted(tuple(r) for r in score_nb(test, docs.select("doc_id"), prior, theta).collect())
     b = sorted(tuple(r) for r in score_nb(test, docs.select("doc_id"), prior, theta, bounded=False).collect())
     assert a == b
+
+
+def test_linear_margin_long_form(spark):
+    from pyspark.ml.linalg import Vectors as V
+    from revlens.operators.linear import coefficient_table, linear_margin, vector_to_long
+    df = spark.createDataFrame([(1, V.sparse(4, [0, 2], [1.0, 2.0])), (2, V.dense([0.0, 0.0, 0.0, 0.0])),
+                                (3, V.dense([1.0, 1.0, 1.0, 1.0]))], ["doc_id", "features"])
+    coef = coefficient_table(spark, V.dense([0.5, 0.0, -1.0, 2.0]))
+    got = {r.doc_id: r.margin for r in
+           linear_margin(vector_to_long(df, "features"), coef, 0.25, df.select("doc_id")).collect()}
+    assert got == {1: 0.5 - 2.0 + 0.25, 2: 0.25, 3: 0.5 - 1.0 + 2.0 + 0.25}
+
+
+def test_checkpoint_root_is_shared_setting(spark):
+    from revlens.session import checkpoint_root, scratch_path
+    root = checkpoint_root(spark)
+    assert root and scratch_path(spark, "x").startswith(root.rstrip("/"))

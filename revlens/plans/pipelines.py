@@ -34,6 +34,7 @@ LR_L2_PARAMS = {"maxIter": 1000, "regParam": 0.01}
 SVM_PARAMS = {"maxIter": 1000, "regParam": 0.01}
 W2V_PARAMS = {"vectorSize": 100, "minCount": 0, "maxIter": 5}
 MIN_TOKEN_LENGTH = 3
+MAX_W2V_PARTITIONS = 32
 
 CLASSIFIER_PREFIX = {"nb": "NB", "lr": "LR", "svm": "SVM"}
 
@@ -94,8 +95,11 @@ def word2vec_stages(input_col: str = "stems", num_partitions: int | None = None,
                     params: dict | None = None) -> tuple[list, str]:
     """Length filter (>= 3 characters, after stemming) then Word2Vec.
 
-    The reference trains Word2Vec on one partition (MLlib's default); pass
-    ``num_partitions`` to train on more (faster, slightly different vectors).
+    MLlib's default (and the reference's) trains on one partition, i.e. one
+    task for the whole corpus; ``fit_word2vec_pipeline`` passes the cluster's
+    parallelism, capped at ``MAX_W2V_PARTITIONS`` because MLlib averages the
+    per-partition updates every iteration.  ``num_partitions=1`` restores the
+    reference's single-task training.
     """
     length_filter = SQLTransformer(statement=(
         f"SELECT *, filter({input_col}, t -> length(t) >= {MIN_TOKEN_LENGTH}) AS w2v_words FROM __THIS__"))
@@ -149,6 +153,11 @@ def fit_word2vec_pipeline(train: DataFrame, classifiers=("svm", "lr"), label_col
     """prepare -> stem (distributed) -> length filter -> Word2Vec -> LR (L2) / SVM."""
     pre = PipelineModel(stages=prepare_stages(text_col))
     stemmed = stem_tokens(pre.transform(train).select(id_col, label_col, "words"), "words", "stems", id_col)
+    if num_partitions is None:
+        try:
+            num_partitions = min(train.sparkSession.sparkContext.defaultParallelism, MAX_W2V_PARTITIONS)
+        except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): MLlib default
+            num_partitions = None
     stages, col = word2vec_stages("stems", num_partitions, params=w2v_params)
     fitted = fit_text_pipeline(stemmed, stages, col, classifiers, label_col, pre_stages=[],
                                lr_params=lr_params or LR_L2_PARAMS, svm_params=svm_params)

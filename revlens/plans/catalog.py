@@ -101,6 +101,11 @@ def q_filter_short_tokens(spark, sf_dir):
     return ts.token_stream(w.select("doc_id", filter_short_tokens("words", 3).alias("kept")), "kept")
 
 
+def q_ngrams_1(spark, sf_dir):
+    w = _doc_words(spark, sf_dir)
+    return ts.token_stream(w.select("doc_id", ngrams("words", 1).alias("grams")), "grams", term_col="gram")
+
+
 def q_ngrams_2(spark, sf_dir):
     w = _doc_words(spark, sf_dir)
     return ts.token_stream(w.select("doc_id", ngrams("words", 2).alias("grams")), "grams", term_col="gram")
@@ -230,6 +235,7 @@ SPARK_QUERIES = {
     "remove_stopwords": q_remove_stopwords,
     "token_stream": q_token_stream,
     "filter_short_tokens": q_filter_short_tokens,
+    "ngrams_1": q_ngrams_1,
     "ngrams_2": q_ngrams_2,
     "term_frequency": q_term_frequency,
     "corpus_frequency": q_corpus_frequency,

@@ -79,6 +79,14 @@ def q_hashing_tf_mass(spark, sf_dir):
                                             lambda a, x: a + x).alias("mass"))
 
 
+def q_hashing_tf_rows(spark, sf_dir):
+    """HashingTF(1000) counts in long form ``(doc_id, idx, value)`` (MurmurHash3
+    buckets; no SQL engine here has the same hash, so rows only)."""
+    model = PipelineModel(stages=prepare_stages() + [HashingTF(inputCol="words", outputCol="tf",
+                                                               numFeatures=1000)])
+    return vector_to_long(model.transform(documents(spark, sf_dir)), "tf")
+
+
 def q_mllib_nb_predict(spark, sf_dir):
     """MLlib NaiveBayes over a CountVectorizerModel built from the relational
     top-k vocabulary: same predictions as the relational naive Bayes."""
@@ -372,6 +380,7 @@ def q_metrics_report(spark, sf_dir):
 
 ML_QUERIES = {
     "hashing_tf_mass": q_hashing_tf_mass,
+    "hashing_tf_rows": q_hashing_tf_rows,
     "mllib_nb_predict": q_mllib_nb_predict,
     "lr_predict_check": q_lr_predict_check,
     "svc_predict_check": q_svc_predict_check,

@@ -170,6 +170,7 @@ SELECT event_id, TRY_CAST(CASE prediction WHEN 'neg' THEN '0' WHEN 'neutral' THE
     "filter_short_tokens": f"""WITH {_doc_words()},
 kept AS (SELECT doc_id, list_filter(words, lambda w: length(w) >= 3) AS kept FROM doc_words)
 {_explode('kept', 'doc_id', 'kept', 'term')}""",
+    "ngrams_1": f"WITH {_doc_words()} {_explode('doc_words', 'doc_id', 'words', 'gram')}",
     "ngrams_2": f"""WITH {_doc_words()},
 bi AS (SELECT doc_id, {BIGRAMS.format(w='words')} AS grams FROM doc_words)
 {_explode('bi', 'doc_id', 'grams', 'gram')}""",

@@ -136,3 +136,17 @@ def test_checkpoint_root_is_shared_setting(spark):
     from revlens.session import checkpoint_root, scratch_path
     root = checkpoint_root(spark)
     assert root and scratch_path(spark, "x").startswith(root.rstrip("/"))
+
+
+def test_idf_equals_mllib(spark):
+    from pyspark.ml.feature import IDF, CountVectorizerModel
+    docs = spark.createDataFrame([(0, ["a", "b", "a"]), (1, ["b", "c"]), (2, []), (3, ["a", "d", "d", ""])],
+                                 "doc_id long, words array<string>")
+    tf = ts.term_frequency(docs, "words")
+    for min_df in (0, 2):
+        mine = {r.term: r.idf for r in ts.idf_weights(tf, ts.count_rows(docs), min_df).collect()}
+        terms = sorted(mine)
+        cv = CountVectorizerModel.from_vocabulary(terms, inputCol="words", outputCol="tf")
+        model = IDF(inputCol="tf", outputCol="x", minDocFreq=min_df).fit(cv.transform(docs))
+        theirs = dict(zip(terms, model.idf.toArray()))
+        assert all(abs(mine[t] - theirs[t]) < 1e-12 for t in terms)

@@ -60,3 +60,19 @@ def test_score_rejects_unknown_classifier_before_running(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     with pytest.raises(ValueError):
         score(df, None, "knn")
+
+
+def test_predictions_invariant_to_partitioning_and_column_order(spark):
+    import os
+    from revlens.plans.relational import build_corpus, count_vector_nb
+    from revlens.sources import labelled_documents
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test data not present")
+    base = labelled_documents(spark, sf)
+    shuffled = base.repartition(3).select("label", "text", "doc_id")
+    def rows(df):  # sums in another order differ in the last bits: compare at 6 decimals
+        return sorted((r.doc_id, r.label, r.prediction, round(r.score, 6))
+                      for r in count_vector_nb(build_corpus(df), 500).predictions.collect())
+    a, b = rows(base), rows(shuffled)
+    assert a == b and len(a) > 0

@@ -43,14 +43,16 @@ def prediction_col(classifier: str) -> str:
     return f"{CLASSIFIER_PREFIX[classifier]}_prediction"
 
 
-def prepare_stages(text_col: str = "text") -> list:
-    """clean -> tokens -> words (Spark ML Tokenizer and StopWordsRemover)."""
+def prepare_stages(text_col: str = "text", stop_words=None) -> list:
+    """clean -> tokens -> words (Spark ML Tokenizer and StopWordsRemover);
+    ``stop_words`` replaces Spark's English list."""
     clean = SQLTransformer(statement=(
         f"SELECT *, lower(array_join(regexp_extract_all({text_col}, '[a-zA-Z\\\\s]+', 0), '')) "
         "AS clean_text FROM __THIS__"))
     return [clean,
             Tokenizer(inputCol="clean_text", outputCol="tokens"),
-            StopWordsRemover(inputCol="tokens", outputCol="words", stopWords=list(ENGLISH_STOP_WORDS))]
+            StopWordsRemover(inputCol="tokens", outputCol="words",
+                             stopWords=list(ENGLISH_STOP_WORDS if stop_words is None else stop_words))]
 
 
 def classifier_stages(features_col: str, label_col: str = "label", which=("nb", "lr", "svm"),

@@ -49,7 +49,7 @@ def stem_tokens(df: DataFrame, tokens_col: str, out_col: str, id_col: str = "doc
     the join, the final re-attachment), so it is kept: the text preparation
     behind it runs once.
     """
-    df = keep(df)
+    df = keep(df, eager=True)
     long = explode_with_pos(df, tokens_col, [id_col])
     vocab = stem_vocabulary(long)
     hot = top_keys(vocab, "term", "n", hot_keys)

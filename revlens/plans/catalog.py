@@ -34,7 +34,7 @@ def _r(c, digits: int = 6):
 def _doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, cleaned, tokenized, stop words removed (kept)."""
     docs = prepare(documents(spark, sf_dir), score_col=None, keep=["doc_id"])
-    return keep(add_words(docs).drop("text"))
+    return keep(add_words(docs).drop("text"), eager=True)
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def build_corpus(labelled: DataFrame, stop_words=None, keep_tokens: bool = False
     later jobs read is cached."""
     prepared = prepare(labelled, text_col="text", score_col=None, keep=["doc_id", "label"])
     cols = ["doc_id", "label", "split", "words"] + (["tokens"] if keep_tokens else [])
-    return keep(with_split(add_words(prepared, stop_words=stop_words)).select(*cols))
+    return keep(with_split(add_words(prepared, stop_words=stop_words)).select(*cols), eager=True)
 
 
 @dataclass

@@ -101,14 +101,20 @@ def distribute(df: DataFrame, key: str | None = None, min_partitions: int | None
     return df.repartition(target, key) if key else df.repartition(target)
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, eager: bool = False) -> DataFrame:
     """Persist an intermediate that several branches of one job read.
 
     Memory first, disk when it does not fit; a lost executor's blocks are
-    recomputed from lineage.
+    recomputed from lineage.  ``eager`` fills the cache with one job right
+    away: otherwise the first query's concurrent branches (subqueries,
+    broadcasts) can each start computing the same partitions before any is
+    cached.
     """
     from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if eager:
+        kept.count()
+    return kept
 
 
 def right_size(df: DataFrame, rows_per_partition: int = 250_000) -> DataFrame:

@@ -114,7 +114,7 @@ def q_ngrams_2(spark, sf_dir):
 # --- counting ---------------------------------------------------------------
 
 def _tf_all(spark, sf_dir):
-    return keep(ts.term_frequency(_doc_words(spark, sf_dir), "words"))
+    return keep(ts.term_frequency(_doc_words(spark, sf_dir), "words"), eager=True)
 
 
 def q_term_frequency(spark, sf_dir):
@@ -151,14 +151,14 @@ def q_idf_weights_mindf(spark, sf_dir):
 
 def q_tfidf_long(spark, sf_dir):
     words = _doc_words(spark, sf_dir)
-    tf = keep(ts.term_frequency(words, "words"))
+    tf = keep(ts.term_frequency(words, "words"), eager=True)
     idf = ts.idf_weights(tf, ts.count_rows(words))
     return ts.tfidf(tf, idf).select("doc_id", "term", "tf", _r("tfidf").alias("tfidf"))
 
 
 def q_count_vector_long(spark, sf_dir):
     c = _corpus(spark, sf_dir)
-    tf = keep(ts.term_frequency(c, "words", carry=["split"]))
+    tf = keep(ts.term_frequency(c, "words", carry=["split"]), eager=True)
     vocab = ts.vocabulary(tf.where(F.col("split") == "train"), VOCAB_SIZE)
     return ts.restrict_to_vocabulary(tf, vocab).select(
         "doc_id", F.col("idx").cast("int").alias("idx"), "tf")

@@ -52,7 +52,7 @@ def count_vector_nb(corpus: DataFrame, vocab_size: int = 2000, smoothing: float
     raw counts, scored on the test split."""
     train = corpus.where(F.col("split") == "train")
     test = corpus.where(F.col("split") == "test")
-    tf_train = keep(ts.term_frequency(train, words_col, carry=["label"]))
+    tf_train = keep(ts.term_frequency(train, words_col, carry=["label"]), eager=True)
     vocab = keep(ts.vocabulary(tf_train, vocab_size))
     feats = ts.restrict_to_vocabulary(tf_train, vocab).withColumnRenamed("tf", "value")
     prior, theta = fit_nb(feats, train.select("doc_id", "label"), ts.count_rows(vocab), smoothing)
@@ -80,7 +80,7 @@ def ngram_tfidf_features(corpus: DataFrame, orders=(1, 2), vocab_sizes=NGRAM_VOC
     parts_train, parts_test, blocks = [], [], []
     for n in orders:
         grams = corpus.select("doc_id", "label", "split", ngrams(words_col, n).alias("grams"))
-        tf = keep(ts.term_frequency(grams, "grams", carry=["label", "split"]))
+        tf = keep(ts.term_frequency(grams, "grams", carry=["label", "split"]), eager=True)
         tf_tr = tf.where(F.col("split") == "train")
         vocab = keep(ts.vocabulary(tf_tr, vocab_sizes[n - 1]))
         counts = ts.restrict_to_vocabulary(tf, vocab)

@@ -33,7 +33,7 @@ doc_words AS (SELECT doc_id, tokens, {WORDS.format(t='tokens')} AS words FROM do
 def _corpus() -> str:
     return f"""
 lab AS (SELECT d.doc_id, CAST(l.quality AS DOUBLE) AS label, {CLEAN.format(x='d.text')} AS c
-        FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL),
+        FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL AND l.quality IS NOT NULL),
 lab_tok AS (SELECT doc_id, label, {TOKENS.format(c='c')} AS tokens FROM lab),
 corp AS (SELECT doc_id, label, {SPLIT.format(id='doc_id')} AS split, tokens,
                 {WORDS.format(t='tokens')} AS words FROM lab_tok)"""

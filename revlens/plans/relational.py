@@ -19,7 +19,7 @@ from revlens.functions.text import ngrams
 from revlens.operators import termstats as ts
 from revlens.operators.evaluate import evaluate
 from revlens.operators.naive_bayes import fit_nb, score_nb
-from revlens.operators.prepare import add_words, prepare, with_split
+from revlens.operators.prepare import add_words, drop_null_reviews, prepare, with_split
 from revlens.session import keep
 
 # N-gram settings of the reference (vocabulary size and minimum
@@ -33,7 +33,9 @@ def build_corpus(labelled: DataFrame, stop_words=None, keep_tokens: bool = False
     removed, hash split; kept because every later branch reads it.  The text
     itself (and by default the pre-stop-word tokens) is not kept: only what the
     later jobs read is cached."""
-    prepared = prepare(labelled, text_col="text", score_col=None, keep=["doc_id", "label"])
+    # rows without a label or a text are dropped, as the reference's dropna() does
+    complete = drop_null_reviews(labelled, ["label", "text"])
+    prepared = prepare(complete, text_col="text", score_col=None, keep=["doc_id", "label"])
     cols = ["doc_id", "label", "split", "words"] + (["tokens"] if keep_tokens else [])
     return keep(with_split(add_words(prepared, stop_words=stop_words)).select(*cols), eager=True)
 

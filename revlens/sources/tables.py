@@ -23,7 +23,8 @@ def documents(spark: SparkSession, sf_dir: str, columns: list[str] | None = None
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str, target: str = "quality") -> DataFrame:
-    """``documents`` joined with ``labels``: ``doc_id, text, label`` (label as double).
+    """``documents`` joined with ``labels``: ``doc_id, text, label`` (label as double);
+    rows without a label or a text are dropped, as the reference's dropna() does.
 
     Both sides grow with the data and ``doc_id`` is unique on each, so the join is
     left to Spark: AQE turns it into a broadcast join only when the runtime size
@@ -31,8 +32,9 @@ def labelled_documents(spark: SparkSession, sf_dir: str, target: str = "quality"
     """
     docs = distribute(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id")
     labels = read_table(spark, sf_dir, "labels", ["doc_id", target])
-    return docs.join(labels, "doc_id").select(
-        "doc_id", "text", F.col(target).cast("double").alias("label"))
+    return (docs.join(labels, "doc_id")
+            .where(F.col(target).isNotNull() & F.col("text").isNotNull())
+            .select("doc_id", "text", F.col(target).cast("double").alias("label")))
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,14 @@ def test_out_of_range_scores_are_rejected(spark):
     ok, bad = split_valid_scores(df)
     assert sorted(r.score for r in ok.collect()) == [1.0, 5.0]
     assert sorted((r.score is None, r.score) for r in bad.collect()) == [(False, 2.5), (False, 7.0), (True, None)]
+
+
+def test_labelled_documents_drop_incomplete_rows(spark):
+    from revlens.sources import labelled_documents
+    d = tempfile.mkdtemp(prefix="revlens-lab-")
+    spark.createDataFrame([(1, "good book"), (2, None), (3, "bad book"), (4, "no label")],
+                          "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, None, 1)],
+                          "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    rows = [tuple(r) for r in labelled_documents(spark, d).collect()]
+    assert rows == [(1, "good book", 1.0)]

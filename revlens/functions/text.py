@@ -20,6 +20,9 @@ from revlens.functions.stopwords import ENGLISH_STOP_WORDS
 CLEAN_PATTERN = "[^a-zA-Z\\s]"
 KEEP_PATTERN = "[a-zA-Z\\s]+"
 TOKEN_SEPARATOR = "\\s"
+# The reference's train/test weights 0.9 / 0.1, as 1 test bucket in 10.
+SPLIT_MODULUS = 10
+SPLIT_TEST_BUCKETS = 1
 
 
 def _col(c: Column | str) -> Column:
@@ -82,7 +85,7 @@ def hash_bucket(c: Column | str) -> Column:
     return F.conv(F.substring(F.md5(_col(c).cast("string")), 1, 8), 16, 10).cast("bigint")
 
 
-def split_label(c: Column | str, modulus: int = 10, test_buckets: int = 1) -> Column:
+def split_label(c: Column | str, modulus: int = SPLIT_MODULUS, test_buckets: int = SPLIT_TEST_BUCKETS) -> Column:
     """'test' for ``test_buckets`` out of every ``modulus`` hash buckets, else 'train'.
 
     Depends only on the id, so it is the same whatever the partitioning, column

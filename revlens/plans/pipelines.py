@@ -140,14 +140,35 @@ def fit_text_pipeline(train: DataFrame, feature_stages: list, features_col: str,
                                    if c in prepared.columns and c != label_col]))
     feat_model = Pipeline(stages=feature_stages).fit(prepared)
     feats = right_size(feat_model.transform(prepared).select(features_col, label_col))
-    clf_model = Pipeline(stages=classifier_stages(features_col, label_col, classifiers,
-                                                  lr_params, svm_params, nb_params)).fit(feats)
+    estimators = classifier_stages(features_col, label_col, classifiers, lr_params, svm_params, nb_params)
+    models = fit_concurrently(estimators, feats)
     feats.unpersist()
     prepared.unpersist()
-    return FittedPipeline(PipelineModel(stages=pre.stages + feat_model.stages + clf_model.stages),
+    return FittedPipeline(PipelineModel(stages=pre.stages + feat_model.stages + models),
                           features_col, tuple(classifiers))
 
 
+def fit_concurrently(estimators: list, data: DataFrame) -> list:
+    """Fit independent estimators on the same (cached) data as concurrent
+    Spark jobs -- the thread-pool pattern of PySpark's own CrossValidator.
+
+    The classifiers read the same feature column and write distinct output
+    columns, so each model equals the one a sequential ``Pipeline`` fit gives;
+    their per-iteration jobs interleave on task slots the others leave idle.
+    """
+    if len(estimators) <= 1:
+        return [e.fit(data) for e in estimators]
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark.util import inheritable_thread_target
+    pool = ThreadPool(len(estimators))
+    try:
+        fit = inheritable_thread_target(data.sparkSession)(lambda est: est.fit(data))
+        return pool.map(fit, estimators)
+    finally:
+        pool.close()
+
+
 def fit_word2vec_pipeline(train: DataFrame, classifiers=("svm", "lr"), label_col: str = "label",
                           text_col: str = "text", id_col: str = "doc_id",
                           num_partitions: int | None = None, w2v_params: dict | None = None,

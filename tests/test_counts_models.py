@@ -150,3 +150,17 @@ def test_idf_equals_mllib(spark):
         model = IDF(inputCol="tf", outputCol="x", minDocFreq=min_df).fit(cv.transform(docs))
         theirs = dict(zip(terms, model.idf.toArray()))
         assert all(abs(mine[t] - theirs[t]) < 1e-12 for t in terms)
+
+
+def test_concurrent_classifier_fit_equals_sequential_pipeline(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.linalg import Vectors as V
+    from revlens.plans.pipelines import classifier_stages, fit_concurrently
+    rows = [(float(i % 2), V.dense([float(i % 3), float((i * 7) % 5), 1.0 if i % 2 else 0.0])) for i in range(60)]
+    df = spark.createDataFrame(rows, ["label", "features"]).cache()
+    params = dict(lr_params={"maxIter": 20, "regParam": 0.01}, svm_params={"maxIter": 20, "regParam": 0.01})
+    seq = Pipeline(stages=classifier_stages("features", "label", ("nb", "lr", "svm"), **params)).fit(df).stages
+    con = fit_concurrently(classifier_stages("features", "label", ("nb", "lr", "svm"), **params), df)
+    assert seq[0].theta.toArray().tolist() == con[0].theta.toArray().tolist()
+    assert list(seq[1].coefficients) == list(con[1].coefficients) and seq[1].intercept == con[1].intercept
+    assert list(seq[2].coefficients) == list(con[2].coefficients) and seq[2].intercept == con[2].intercept

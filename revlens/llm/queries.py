@@ -9,18 +9,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from revlens.llm.decontaminate import decontaminate
+from revlens.llm.huffman import round_trip
 from revlens.llm.minhash import near_duplicates
+from revlens.llm.packing import pack_documents
+from revlens.llm.suffix_dedup import remove_repeats
 from revlens.sources.tables import read_table
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file on this machine (the package is installed on every node)."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+
+
+def op3_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all ``documents`` written as Huffman-coded segments and read back."""
+    return round_trip(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), drops_space=False, end_id=0)
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all ``documents`` covered by 13-word windows of ``benchmark``."""
+    return decontaminate(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all ``documents`` left after removing repeated 400-byte strings."""
+    return remove_repeats(_documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all ``documents`` on four-word shingles at 0.8."""
-    return near_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), shingle_words=4)
+    return near_duplicates(_documents(spark, sf_dir), shingle_words=4)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into sequences of at most 4096 tokens."""
+    return pack_documents(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), drops_space=True, end_id=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_huffman_tokens": op3_huffman_tokens,
+    "op5_decontaminate": op5_decontaminate,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash": op9_minhash,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

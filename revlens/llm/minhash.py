@@ -11,10 +11,10 @@ Steps, each a Spark job over written tables:
 2. texts with equal shingle sets collapse to one class (fingerprint);
 3. in each band bucket the members are compared with the bucket's smallest
    member, exactly, on full sets; linked classes form components;
-4. buckets that still hold several components: members outside the smallest
-   member's component are compared with the members of other components,
-   unless set sizes or the triangle inequality of the Jaccard distance
-   (both distances to the smallest member are known) rule a link out.
+4. buckets that still hold several components: sets that share too few of
+   their shingles with members of other components are finished; the rest is
+   compared with the bucket's most central member, and what is then still open
+   goes through an exact prefix-filtered join on shingles ordered by rarity.
 
 Pairs already in one component need no further test, so a group of thousands
 of near copies costs one comparison per member and bucket, not all pairs.
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.llm.shuffle_tools import connected_components, join_weighted, written
@@ -42,6 +42,8 @@ from revlens.llm.text_kernel import NON_SPACE, as_long, mix64, row_slices, shing
 
 BANDS, ROWS = 32, 4
 SHINGLE_WORDS = 4
+#: Comparisons with a bucket's most central member before the remaining pairs are listed.
+CENTER_ROUNDS = 1
 #: Elements hashed at a time, so that the work arrays stay in the CPU cache.
 _BLOCK = 1 << 15
 
@@ -147,14 +149,76 @@ def _sets(k: int):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact comparison of ``a, b`` pairs on full sets: adds ``linked`` and ``distance``."""
+    """Exact comparison of ``a, b`` pairs on full sets: adds ``linked``."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return (pairs.join(left, "a").join(right, "b")
             .select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u"))
-            .select("a", "b", (F.col("i") * 100 >= F.col("u") * percent).alias("linked"),
-                    (1 - F.col("i") / F.col("u")).alias("distance")))
+            .select("a", "b", (F.col("i") * 100 >= F.col("u") * percent).alias("linked")))
+
+
+def _split(state: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components."""
+    split = state.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    return written(state.join(split, "bucket"), "minhash-open")
+
+
+def _open_members(state: DataFrame, sets: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
+    """Members that may still link to another component of their bucket.
+
+    ``own`` counts the shingles of a set that no open member of another
+    component has.  They are in no intersection that matters any more, so a
+    set with more than ``100 - percent`` percent of them is finished.
+    """
+    for _ in range(rounds):
+        state = _split(state.drop("own"))
+        items = sets.join(state.select("node", "root").distinct(), "node").select("node", "root", F.explode("items").alias("item"))
+        items = written(items, "minhash-items")
+        common = items.groupBy("item").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("w")) \
+            .where("x <> y").select("item", "w")
+        common = written(common, "minhash-common")
+        shared = join_weighted(items, common, ["item"], "w", "inner").groupBy("node").agg(F.count("*").alias("shared"))
+        state = written(state.join(shared, "node").where(F.col("shared") * 100 >= F.col("n") * percent)
+                        .withColumn("own", F.col("n") - F.col("shared")).drop("shared"), "minhash-open")
+    return _split(state)
+
+
+def _centred(state: DataFrame) -> DataFrame:
+    """Adds ``center``, the member of the bucket with the smallest share of own shingles, and its component."""
+    center = state.groupBy("bucket").agg(
+        F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "root")).alias("c"), F.count("*").alias("w"))
+    center = written(center.select("bucket", F.col("c.node").alias("center"), F.col("c.root").alias("main"), "w"), "minhash-centers")
+    return written(join_weighted(state, center, ["bucket"], "w", "inner").drop("w"), "minhash-centred")
+
+
+def _rerooted(state: DataFrame, labels: DataFrame) -> DataFrame:
+    return state.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _cross_pairs(state: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of open members of two components that may link: an exact prefix-filtered join.
+
+    Shingles are ordered by rarity among the open members.  Two linked sets
+    share a shingle among the first n - need + 1 of each, where need is the
+    least intersection any open partner of its buckets allows; what is left
+    behind the first shared one bounds the intersection (positional filter).
+    """
+    least = state.groupBy("bucket").agg(F.min("n").alias("least"))
+    nodes = state.join(least, "bucket").groupBy("node", "root", "n").agg(F.min("least").alias("least"))
+    smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    nodes = nodes.withColumn("need", F.ceil((F.col("n") + smallest) * percent / (100 + percent)))
+    items = written(sets.join(nodes, "node").select("node", "root", "n", "need", F.explode("items").alias("item")), "minhash-items")
+    often = written(items.groupBy("item").agg(F.count("*").alias("w")), "minhash-often")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("w", "item")) - 1
+    prefix = join_weighted(items, often, ["item"], "w", "inner").withColumn("place", place)
+    prefix = written(prefix.where(F.col("place") <= F.col("n") - F.col("need")), "minhash-prefix")
+    rest = "least(o.n - o.place, m.n - m.place)"
+    return prefix.alias("o").join(prefix.alias("m"), F.expr(
+        f"o.item = m.item AND o.root <> m.root AND o.node < m.node "
+        f"AND least(o.n, m.n) * 100 >= greatest(o.n, m.n) * {percent} "
+        f"AND {rest} * {100 + percent} >= (o.n + m.n) * {percent}")) \
+        .select(F.col("o.node").alias("a"), F.col("m.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
@@ -190,22 +254,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected_components(stars.where("linked"))
 
     rooted = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    near = stars.select(F.col("a").alias("node"), F.col("b").alias("hub"), "distance")
-    rooted = rooted.join(near, ["node", "hub"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-    rooted = written(rooted.select("bucket", "node", "hub", "root", "n", "distance"), "minhash-rooted")
-    hub_root = rooted.where("node = hub").select("bucket", F.col("root").alias("hub_root"))
-    split = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    rooted = written(rooted.join(split, "bucket").join(hub_root, "bucket"), "minhash-split")
-    others = rooted.where("root <> hub_root AND node <> hub").alias("o")
-    bound = 1 - percent / 100 + 1e-9
-    cross = others.join(rooted.alias("m"), F.expr(
-        f"o.bucket = m.bucket AND o.root <> m.root AND m.node <> m.hub "
-        f"AND (m.root = m.hub_root OR o.node < m.node) "
-        f"AND least(o.n, m.n) * 100 >= greatest(o.n, m.n) * {percent} "
-        f"AND abs(o.distance - m.distance) <= {bound} ")) \
-        .select(F.least("o.node", "m.node").alias("a"), F.greatest("o.node", "m.node").alias("b")).distinct()
+    rooted = written(rooted.select("bucket", "node", "root", "n"), "minhash-rooted")
+    links, state = stars.where("linked").select("a", "b"), rooted
+    for _ in range(CENTER_ROUNDS):
+        state = _open_members(state, sets, percent)
+        more = _centred(state).where("root <> main").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+        more = written(_verify(more, sets, percent).where("linked").select("a", "b"), "minhash-stars")
+        links = links.union(more)
+        labels = connected_components(links)
+        state = _rerooted(state, labels)
+    cross = _cross_pairs(_open_members(state, sets, percent), sets, percent)
     cross = written(_verify(cross, sets, percent).where("linked"), "minhash-cross")
-    labels = connected_components(stars.where("linked").select("a", "b").union(cross.select("a", "b")))
+    labels = connected_components(links.union(cross.select("a", "b")))
 
     info = nodes.select("node", "rep", "copies").join(labels, "node", "left") \
         .withColumn("root", F.coalesce("root", "node"))

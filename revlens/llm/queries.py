@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from revlens.llm.decontaminate import decontaminate
 from revlens.llm.huffman import round_trip
+from revlens.llm.license_rules import license_report
 from revlens.llm.minhash import near_duplicates
 from revlens.llm.packing import pack_documents
 from revlens.llm.suffix_dedup import remove_repeats
+from revlens.llm.url_reputation import BOUND_Z, MAX_BAD, STRENGTH, judge_urls
 from revlens.sources.tables import read_table
 
 
@@ -29,6 +31,23 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents", ["doc_id", "text"])
 
 
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url of ``pages``: rule and verdict.
+
+    Stand-in for page outcomes: a row of ``labels`` is the outcome of the page
+    with that id, bad when it is toxic or of no quality.
+    """
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return judge_urls(read_table(spark, sf_dir, "pages", ["page_id", "url"]), outcomes) \
+        .select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License detections in all ``documents``."""
+    return license_report(_documents(spark, sf_dir))
+
+
 def op3_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all ``documents`` written as Huffman-coded segments and read back."""
     return round_trip(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), drops_space=False, end_id=0)
@@ -57,6 +76,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_reputation": op1_url_reputation,
+    "op2_license_scan": op2_license_scan,
     "op3_huffman_tokens": op3_huffman_tokens,
     "op5_decontaminate": op5_decontaminate,
     "op8_suffix_dedup": op8_suffix_dedup,
@@ -64,4 +85,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _shrunk(source: str, mean: str) -> str:
+    """SQL of one level: posterior mean (and pseudo-counts) of source(bad, n, prior, ...)."""
+    low, high = 1 / (STRENGTH[1] + 1), 1 / (STRENGTH[0] + 1)
+    strength = (f"(SELECT 1 / least(greatest(coalesce(CASE WHEN sum(n * prior * (1 - prior) * (n - 1)) > 0 "
+                f"THEN sum(power(bad - n * prior, 2) - n * prior * (1 - prior)) / sum(n * prior * (1 - prior) * (n - 1)) END, 1.0), "
+                f"{low!r}), {high!r}) - 1 FROM {source})")
+    return (f"SELECT *, s * prior + bad AS a, s * (1 - prior) + n - bad AS b, (s * prior + bad) / (s + n) AS {mean} "
+            f"FROM (SELECT *, {strength} AS s FROM {source})")
+
+
+#: The hosts of ``pages`` are plain names, so the last two labels are the registered domain.
+OP1_SQL = f"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+urls AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+seen AS (SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+hosts AS (SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad, regexp_extract(host, '[^.]*[.]?[^.]*$', 0) AS domain,
+  regexp_extract(host, '[^.]*$', 0) AS suffix FROM urls LEFT JOIN seen USING (page_id) GROUP BY host),
+suffixes0 AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM hosts) AS prior FROM hosts GROUP BY suffix),
+suffixes AS ({_shrunk("suffixes0", "mean")}),
+domains0 AS (SELECT d.domain, d.suffix, d.bad, d.n, s.mean AS prior FROM (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY domain, suffix) d JOIN suffixes s ON d.suffix = s.suffix),
+domains AS ({_shrunk("domains0", "mean")}),
+hosts0 AS (SELECT h.host, h.n, h.bad, d.mean AS prior FROM hosts h JOIN domains d ON h.domain = d.domain AND h.suffix = d.suffix),
+posterior AS ({_shrunk("hosts0", "mean")}),
+judged AS (SELECT u.page_id, u.host, u.path, CASE
+  WHEN (u.host = 'example.net' OR u.host LIKE '%.example.net') AND starts_with(u.path, '/en/') THEN 'example.net/en/'
+  WHEN (u.host = 'example.com' OR u.host LIKE '%.example.com') AND starts_with(u.path, '/de/') THEN 'example.com/de/'
+  WHEN (u.host = 'org' OR u.host LIKE '%.org') AND starts_with(u.path, '/fr/') THEN 'org/fr/'
+  WHEN (u.host = 'net' OR u.host LIKE '%.net') AND starts_with(u.path, '/') THEN 'net/' END AS rule,
+  p.mean - {BOUND_Z} * sqrt(p.a * p.b / ((p.a + p.b) * (p.a + p.b) * (p.a + p.b + 1))) AS lower_bound
+  FROM urls u JOIN posterior p ON u.host = p.host)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN lower_bound > {MAX_BAD} THEN 'block' ELSE 'allow' END AS verdict FROM judged
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_reputation": OP1_SQL}

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from revlens.llm.decontaminate import decontaminate
 from revlens.llm.huffman import round_trip
+from revlens.llm.language_id import identify, identify_documents, markup_language, markup_text
 from revlens.llm.license_rules import license_report
 from revlens.llm.minhash import near_duplicates
 from revlens.llm.packing import pack_documents
+from revlens.llm.rp_forest import nearest
+from revlens.llm.secret_crf import secret_report
 from revlens.llm.suffix_dedup import remove_repeats
-from revlens.llm.url_reputation import BOUND_Z, MAX_BAD, STRENGTH, judge_urls
+from revlens.llm.url_reputation import BOUND_Z, MAX_BAD, STRENGTH, domain_of, host_of, judge_urls, suffix_of
 from revlens.sources.tables import read_table
 
 
@@ -53,11 +56,42 @@ def op3_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), drops_space=False, end_id=0)
 
 
+def op4_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all ``documents``: fixed patterns and the random field's spans."""
+    return secret_report(_documents(spark, sf_dir))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all ``documents`` covered by 13-word windows of ``benchmark``."""
     return decontaminate(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
 
 
+def op6_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of every 100th of ``embeddings`` among all others."""
+    return nearest(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all ``documents`` from text, declared language and source, and whether it is known well enough."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    return identify_documents(docs).withColumnRenamed("key", "doc_id").select("doc_id", "language", "posterior", "accepted")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all ``pages`` from text, the markup's ``lang`` attribute, the address suffix and host."""
+    host = host_of(F.col("url"))
+    rows = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]).select(
+        F.col("page_id").alias("key"), markup_text(F.col("html")).alias("text"), markup_language(F.col("html")).alias("declared"),
+        suffix_of(host).alias("suffix"), domain_of(host).alias("domain"), host.alias("host"))
+    return identify(rows).withColumnRenamed("key", "page_id").select("page_id", "language", "posterior", "accepted")
+
+
+def corpus_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline.py`` over all ``documents``."""
+    import corpus_pipeline as stages
+    return stages.run(spark, sf_dir)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all ``documents`` left after removing repeated 400-byte strings."""
     return remove_repeats(_documents(spark, sf_dir)).select(
@@ -79,10 +113,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_license_scan": op2_license_scan,
     "op3_huffman_tokens": op3_huffman_tokens,
+    "op4_secret_crf": op4_secret_crf,
     "op5_decontaminate": op5_decontaminate,
+    "op6_rp_forest": op6_rp_forest,
+    "op7_language_id": op7_language_id,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
+    "language_id_pages": language_id_pages,
+    "pipeline": corpus_pipeline,
 }
 
 def _shrunk(source: str, mean: str) -> str:

@@ -1,11 +1,11 @@
 """Whole-text encoding with a public tokenizer, one table lookup per word.
 
 Both tokenizers used here split a text into words before anything else, and
-their splitting never looks back, so a text may be cut after any run of
-letters that is followed by a separator and before any white space: encoding
-the pieces one by one gives the ids of the whole text.  Each distinct piece is
-encoded once per Python worker by the ``tokenizers`` library and kept in a
-bounded table; texts with the library's own special markers are encoded whole.
+their splitting never looks back, so a text may be cut before white space and
+between a letter or digit and a comma or dot: encoding the pieces one by one
+gives the ids of the whole text.  Each distinct piece is encoded once per
+Python worker by the ``tokenizers`` library and kept in a bounded table; texts
+with the library's own special markers are encoded whole.
 """
 
 from __future__ import annotations
@@ -23,9 +23,30 @@ CACHE_PIECES = 800_000
 #: Pieces longer than this are encoded but not kept.
 LONGEST_KEPT = 64
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_WITH_SPACE = re.compile(rf"\s*[{_LETTERS}]+(?=[.,\s]|\Z)|\s*\S+|\s+")
-_NO_SPACE = re.compile(rf"[{_LETTERS}]+(?=[.,\s]|\Z)|\S+")
+#: Cutting by plain replacement is wrong in texts with three white spaces in a row, two at the end, a comma or
+#: dot after another sign.
+_ODD = re.compile(r"\s\s\s|\s\s\Z|[\W_][.,]|\x01")
+#: Not cut at all: the library's own markers, and control characters that only Python counts as white space.
+_WHOLE = re.compile(r"<\||[\x1c-\x1f]")
+_WITH_SPACE = re.compile(r"\s*\S+|\s+").findall
+_NO_SPACE = re.compile(r"\S+").findall
+
+
+def pieces_with_space(text: str) -> list[str]:
+    """Pieces of ``text``, each with the white space before it."""
+    if _ODD.search(text):
+        return _WITH_SPACE(text)
+    for sign in " \n,.":
+        text = text.replace(sign, "\x01" + sign)
+    return text.split("\x01")
+
+
+def pieces_without_space(text: str) -> list[str]:
+    """Pieces of ``text`` for a tokenizer that drops white space and letter case."""
+    text = text.lower() if text.isascii() else text
+    if _ODD.search(text):
+        return _NO_SPACE(text)
+    return text.replace(",", " ,").replace(".", " .").split()
 
 
 class Encoder:
@@ -39,8 +60,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread per task slot
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.drops_space = drops_space
-        self.cut = (_NO_SPACE if drops_space else _WITH_SPACE).findall
+        self.cut = pieces_without_space if drops_space else pieces_with_space
         self.cache: dict[str, bytes] = {}
         self.limit = cache_pieces
 
@@ -56,17 +76,16 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cache, out = self.cache, []
-        for lo in range(0, len(texts), 64):
-            part = [t or "" for t in texts[lo:lo + 64]]
-            whole = {i for i, t in enumerate(part) if "<|" in t}
-            cut = [[] if i in whole else self.cut(t.lower() if self.drops_space and t.isascii() else t)
-                   for i, t in enumerate(part)]
-            new = list({p for pieces in cut for p in pieces if p not in cache})
+        for lo in range(0, len(texts), 256):
+            part = [t or "" for t in texts[lo:lo + 256]]
+            whole = {i for i, t in enumerate(part) if _WHOLE.search(t)}
+            cut = [[] if i in whole else self.cut(t) for i, t in enumerate(part)]
+            new = list(set().union(*cut).difference(cache))
             extra: dict[str, bytes] = {}
             if new:
                 if len(cache) + len(new) > self.limit:
                     cache.clear()
-                    new = list({p for pieces in cut for p in pieces})
+                    new = list(set().union(*cut))
                 for piece, ids in zip(new, self._encode(new)):
                     (cache if len(piece) <= LONGEST_KEPT else extra)[piece] = ids
             if extra:

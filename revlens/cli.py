@@ -4,7 +4,7 @@
     python -m revlens.cli evaluate --model <dir> --data <sf_dir>
     python -m revlens.cli score --model <dir> --classifier lr --input <text dir/file> --output <dir>
 
-``train`` fits on the labelled documents (hash split, 90 % train) and prints
+``train`` fits on the labelled documents or on review CSV files (hash split, 90 % train) and prints
 accuracy and weighted F1 on the held-out 10 %.  ``score`` reads one review
 per line, applies the same preparation as training (cleaning included),
 and writes ``(line_id, text, prediction)`` as Parquet -- distributed, no
@@ -16,20 +16,23 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import functions as F
-
 EXTRACTORS = ("tfidf", "word2vec", "ngram")
 CLASSIFIERS = ("lr", "nb", "svm")
 
 
+def _labelled(spark, data: str):
+    """Labelled texts: a folder with the documents and labels tables, or review CSV files (``*.csv``)."""
+    from revlens.sources import labelled_documents, labelled_reviews
+    return labelled_reviews(spark, data) if data.rstrip("/").endswith(".csv") else labelled_documents(spark, data)
+
+
 def train(spark, extractor: str, data_dir: str, model_dir: str, classifiers=None,
           stem: bool | None = None, **params):
     """Fit on the train split, save, return the test-split metrics per classifier."""
     from revlens.operators.prepare import hash_split
     from revlens.plans.persist import save_fitted
     from revlens.plans.pipelines import fit_extractor
-    from revlens.sources import labelled_documents
-    train_df, test_df = hash_split(labelled_documents(spark, data_dir))
+    train_df, test_df = hash_split(_labelled(spark, data_dir))
     fitted = fit_extractor(train_df, extractor, classifiers, stem, **params)
     save_fitted(spark, fitted, model_dir, extractor)
     return _report(fitted, test_df)
@@ -46,9 +49,8 @@ def evaluate_saved(spark, model_dir: str, data_dir: str):
     """Reload a saved model and report accuracy and weighted F1 on the test split."""
     from revlens.operators.prepare import hash_split
     from revlens.plans.persist import load_fitted
-    from revlens.sources import labelled_documents
     fitted, _ = load_fitted(spark, model_dir)
-    _, test_df = hash_split(labelled_documents(spark, data_dir))
+    _, test_df = hash_split(_labelled(spark, data_dir))
     return _report(fitted, test_df)
 
 
@@ -63,9 +65,7 @@ def score_lines(spark, model_dir: str, classifier: str, input_path: str, output_
         raise ValueError(f"the {extractor} model has no {classifier!r} classifier "
                          f"(has {list(fitted.classifiers)})")
     lines = with_line_ids(read_lines(spark, input_path))
-    fitted.id_col = "line_id"
-    preds = score(lines, fitted, classifier, id_col="line_id")
-    out = lines.join(preds, "line_id").select("line_id", "text", F.col("prediction"))
+    out = score(lines, fitted, classifier, id_col=["line_id", "text"])
     out.write.mode("overwrite").parquet(output_path)
     return output_path
 
@@ -75,7 +75,7 @@ def main(argv=None):
     sub = p.add_subparsers(dest="cmd", required=True)
     t = sub.add_parser("train")
     t.add_argument("--extractor", choices=EXTRACTORS, required=True)
-    t.add_argument("--data", required=True, help="folder with documents/labels parquet")
+    t.add_argument("--data", required=True, help="folder with documents/labels parquet, or review CSV (*.csv)")
     t.add_argument("--model", required=True)
     t.add_argument("--stem", action="store_true", help="stem words before tfidf / ngram features")
     e = sub.add_parser("evaluate")

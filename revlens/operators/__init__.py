@@ -9,7 +9,7 @@ from revlens.operators.prepare import (  # noqa: F401
     add_words, binarize, drop_null_reviews, hash_split, label_balance, prepare, random_split,
     split_valid_scores, with_split,
 )
-from revlens.operators.skew import salted_join, top_keys  # noqa: F401
+from revlens.operators.skew import hot_cold_join, top_keys  # noqa: F401
 from revlens.operators.stem import stem_arrays, stem_tokens  # noqa: F401
 from revlens.operators.termstats import (  # noqa: F401
     assemble, corpus_frequency, document_frequency, idf_weights, restrict_to_vocabulary,

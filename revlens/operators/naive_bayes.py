@@ -14,8 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.operators.skew import salted_join, top_keys
+from revlens.operators.skew import hot_cold_join, top_keys
 from revlens.operators.termstats import count_rows
+from revlens.session import keep
+
+#: Classes a model may have: the prior is read as a list and each class is a column.
+MAX_CLASSES = 1000
+#: Cells (classes x features) of a model that may be broadcast for scoring.
+BROADCAST_CELLS = 2_000_000
 
 
 def fit_nb(features: DataFrame, docs: DataFrame, n_features: Column | int,
@@ -32,7 +38,8 @@ def fit_nb(features: DataFrame, docs: DataFrame, n_features: Column | int,
     n = count_rows(docs).cast("double")
     classes = docs.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
     n_classes = count_rows(classes).cast("double")
-    sums = features.groupBy(label_col, feature_col).agg(F.sum(value_col).alias("n_ct"))
+    # prior and parameters both read the sums: they are aggregated once
+    sums = keep(features.groupBy(label_col, feature_col).agg(F.sum(value_col).alias("n_ct")))
     totals = sums.groupBy(label_col).agg(F.sum("n_ct").alias("n_c_total"))
     prior = (classes.join(totals, label_col, "left")
              .select(label_col,
@@ -48,7 +55,7 @@ def fit_nb(features: DataFrame, docs: DataFrame, n_features: Column | int,
 
 def score_nb(features: DataFrame, docs: DataFrame, prior: DataFrame, theta: DataFrame,
              label_col: str = "label", feature_col: str = "idx", value_col: str = "value",
-             id_col: str = "doc_id", bounded: bool = True) -> DataFrame:
+             id_col: str = "doc_id", max_features: int | None = None) -> DataFrame:
     """``docs`` plus ``prediction`` and ``score`` (the winning log-posterior).
 
     Every row of ``docs`` is scored; one without any known feature gets the
@@ -57,11 +64,14 @@ def score_nb(features: DataFrame, docs: DataFrame, prior: DataFrame, theta: Data
     The prior has one row per class, so it is read once (a bounded list) and
     the per-class sums become plain columns: one hash aggregation per
     document, then ``greatest`` for the argmax -- no documents x classes rows.
-    ``theta`` (bounded by classes x feature space) is broadcast as one dense
-    array of per-class log-probabilities per feature; with ``bounded=False`` (a
-    feature space that grows with the data) it goes through the salted join.
+    ``theta`` is one array of per-class log-probabilities per feature.  It is
+    broadcast only if ``max_features``, the caller's bound on the feature space,
+    keeps it within ``BROADCAST_CELLS``; otherwise it takes the join that
+    broadcasts hot features alone.
     """
-    classes = prior.select(label_col, "pi", "theta0").orderBy(label_col).collect()
+    classes = prior.select(label_col, "pi", "theta0").orderBy(label_col).limit(MAX_CLASSES + 1).collect()
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     if not classes:
         raise ValueError("empty model: no classes")
     labels = [float(r[label_col]) for r in classes]
@@ -71,12 +81,11 @@ def score_nb(features: DataFrame, docs: DataFrame, prior: DataFrame, theta: Data
                            F.array(*[F.coalesce(F.col("m")[F.lit(lab)], F.lit(float(r["theta0"])))
                                      for lab, r in zip(labels, classes)]).alias("tv")))
     feats = features.select(id_col, feature_col, value_col)
-    if bounded:
+    if max_features is not None and max_features * len(classes) <= BROADCAST_CELLS:
         joined = feats.join(F.broadcast(per_feature), feature_col, "left")
     else:
         counts = feats.groupBy(feature_col).agg(F.count(F.lit(1)).alias("_n"))
-        joined = salted_join(feats, per_feature, feature_col, top_keys(counts, feature_col, "_n"),
-                             [id_col], how="left")
+        joined = hot_cold_join(feats, per_feature, feature_col, top_keys(counts, feature_col, "_n"), "left")
     sums = joined.groupBy(id_col).agg(*[
         F.sum(F.col(value_col) * F.coalesce(F.col("tv")[i], F.lit(float(r["theta0"])))).alias(f"_s{i}")
         for i, r in enumerate(classes)])

@@ -1,64 +1,37 @@
-"""Stemming token arrays as a Spark job.
+"""Stemming token arrays without a shuffle.
 
-The reference stems every token in a row-at-a-time Python UDF.  Here each
-distinct term is stemmed once: tokens are exploded with their position, the
-distinct terms (with their counts) go through an Arrow-batched pandas UDF,
-the stems are joined back (salted for hot terms) and every document's array is
-rebuilt in position order.  Python work is proportional to the vocabulary,
-not to the corpus.
+An Arrow pandas UDF stems the arrays of a batch; stems of terms seen before
+come from a bounded table that lives as long as the Python worker, so the
+work per token is one lookup.  Rows stay where they are: no exchange, no id,
+no hot keys.  The same function serves batch jobs and streams.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.functions.porter2 import stem
-from revlens.operators.termstats import explode_with_pos
-from revlens.session import keep
-from revlens.operators.skew import DEFAULT_HOT_KEYS, DEFAULT_SALTS, salted_join, top_keys
+
+#: Distinct terms whose stems a worker remembers.
+STEM_CACHE = 200_000
 
 
-@F.pandas_udf(T.StringType())
-def stem_terms(terms: pd.Series) -> pd.Series:
-    """Porter2 stem of each term (Arrow batches)."""
-    return terms.map(lambda t: None if t is None else stem(t))
+@lru_cache(maxsize=STEM_CACHE)
+def cached_stem(term: str) -> str:
+    return stem(term)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_arrays(arrays: pd.Series) -> pd.Series:
-    """Row-wise variant: stem every token of every array (for streams and
-    small batches, where a join per batch would cost more than it saves)."""
-    return arrays.map(lambda a: None if a is None else [stem(t) for t in a])
-
-
-def stem_vocabulary(tokens: DataFrame, term_col: str = "term") -> DataFrame:
-    """``(term, n, stem)`` for the distinct terms of a long token table."""
-    counts = tokens.groupBy(term_col).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("stem", stem_terms(F.col(term_col)))
-
+    """Porter2 stem of every token of every array (order, duplicates and NULLs stay)."""
+    return arrays.map(lambda a: None if a is None else [None if t is None else cached_stem(t) for t in a])
 
-def stem_tokens(df: DataFrame, tokens_col: str, out_col: str, id_col: str = "doc_id",
-                hot_keys: int = DEFAULT_HOT_KEYS, salts: int = DEFAULT_SALTS) -> DataFrame:
-    """Add ``out_col``: the stems of ``tokens_col`` (same order and length).
 
-    ``id_col`` must identify rows.  Rows with an empty or NULL array get an
-    empty / NULL array back.  The input is read three times (term counts,
-    the join, the final re-attachment), so it is kept: the text preparation
-    behind it runs once.
-    """
-    df = keep(df, eager=True)
-    long = explode_with_pos(df, tokens_col, [id_col])
-    vocab = stem_vocabulary(long)
-    hot = top_keys(vocab, "term", "n", hot_keys)
-    joined = salted_join(long, vocab.select("term", "stem"), "term", hot, [id_col, "pos"], salts)
-    rebuilt = (joined.groupBy(id_col)
-               .agg(F.sort_array(F.collect_list(F.struct("pos", "stem"))).alias("_ps"))
-               .select(id_col, F.transform("_ps", lambda s: s["stem"]).alias("_stems")))
-    empty = F.array().cast("array<string>")
-    return (df.join(rebuilt, id_col, "left")
-            .withColumn(out_col, F.when(F.col(tokens_col).isNull(), F.lit(None).cast("array<string>"))
-                        .otherwise(F.coalesce(F.col("_stems"), empty)))
-            .drop("_stems"))
+def stem_tokens(df: DataFrame, tokens_col: str, out_col: str) -> DataFrame:
+    """Add ``out_col``: the stems of ``tokens_col``; an empty or NULL array stays empty or NULL."""
+    return df.withColumn(out_col, stem_arrays(F.col(tokens_col)))

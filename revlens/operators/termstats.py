@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.operators.skew import DEFAULT_HOT_KEYS, DEFAULT_SALTS, salted_join, top_keys
+from revlens.operators.skew import DEFAULT_HOT_KEYS, hot_cold_join, top_keys
 
 
 def explode_with_pos(df: DataFrame, array_col: str, keep: list[str], pos_col: str = "pos",
@@ -43,23 +43,27 @@ def term_frequency(df: DataFrame, tokens_col: str, id_col: str = "doc_id",
             .agg(F.count(F.lit(1)).alias("tf")))
 
 
-def corpus_frequency(tf: DataFrame, term_col: str = "term") -> DataFrame:
-    """``(term, cf)``: total occurrences in the corpus."""
-    return tf.groupBy(term_col).agg(F.sum("tf").alias("cf"))
+def corpus_frequency(df: DataFrame, tokens_col: str, term_col: str = "term") -> DataFrame:
+    """``(term, cf)``: total occurrences in the corpus, counted straight from the
+    token arrays -- one exchange of per-task sums, whatever the input's layout."""
+    return (explode_with_pos(df, tokens_col, [], "_pos", term_col)
+            .groupBy(term_col).agg(F.count(F.lit(1)).alias("cf")))
 
 
-def document_frequency(tf: DataFrame, term_col: str = "term") -> DataFrame:
-    """``(term, df)``: documents containing the term (tf has one row per doc and term)."""
-    return tf.groupBy(term_col).agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(df: DataFrame, tokens_col: str, term_col: str = "term") -> DataFrame:
+    """``(term, df)``: documents containing the term (each array's distinct tokens, one exchange)."""
+    once = df.select(F.array_distinct(tokens_col).alias("_once"))
+    return (explode_with_pos(once, "_once", [], "_pos", term_col)
+            .groupBy(term_col).agg(F.count(F.lit(1)).alias("df")))
 
 
-def vocabulary(tf: DataFrame, size: int, term_col: str = "term") -> DataFrame:
+def vocabulary(df: DataFrame, tokens_col: str, size: int, term_col: str = "term") -> DataFrame:
     """Top ``size`` terms by corpus count, ties by term: ``(term, idx, cf)``.
 
     ``orderBy().limit()`` runs as a per-task top-k merged on one task, so at most
     ``size`` rows per task ever move; the index is numbered on those ``size`` rows.
     """
-    top = corpus_frequency(tf, term_col).orderBy(F.desc("cf"), F.asc(term_col)).limit(size)
+    top = corpus_frequency(df, tokens_col, term_col).orderBy(F.desc("cf"), F.asc(term_col)).limit(size)
     w = Window.orderBy(F.desc("cf"), F.asc(term_col))
     return top.select(term_col, (F.row_number().over(w) - 1).alias("idx"), "cf")
 
@@ -69,33 +73,35 @@ def count_rows(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
 
 
-def idf_weights(tf: DataFrame, n_docs: Column, min_doc_freq: int = 0,
+def idf_weights(df: DataFrame, tokens_col: str, n_docs: Column, min_doc_freq: int = 0,
                 term_col: str = "term") -> DataFrame:
     """``(term, df, idf)`` with idf = ln((m + 1) / (df + 1)), 0 when df < min_doc_freq."""
+    return with_idf(document_frequency(df, tokens_col, term_col), n_docs, min_doc_freq)
+
+
+def with_idf(dfreq: DataFrame, n_docs: Column, min_doc_freq: int = 0) -> DataFrame:
+    """Adds ``idf`` to document frequencies ``df``."""
     m = n_docs.cast("double")
-    dfreq = document_frequency(tf, term_col)
     idf = F.when(F.col("df") >= min_doc_freq,
                  F.log((m + F.lit(1.0)) / (F.col("df") + F.lit(1.0)))).otherwise(F.lit(0.0))
     return dfreq.withColumn("idf", idf)
 
 
 def tfidf(tf: DataFrame, idf: DataFrame, term_col: str = "term", bounded: bool = False,
-          hot_keys: int = DEFAULT_HOT_KEYS, salts: int = DEFAULT_SALTS,
-          id_col: str = "doc_id") -> DataFrame:
+          hot_keys: int = DEFAULT_HOT_KEYS) -> DataFrame:
     """``tf`` rows scaled by the term's idf (terms without an idf row are dropped).
 
     ``bounded=True`` means ``idf`` is limited by construction (a top-k vocabulary
     or a fixed hash space) and is broadcast.  Otherwise the idf table grows with
-    the corpus and a salted shuffle join is used; the hot-key list is the top
-    ``hot_keys`` terms by document frequency, which is exactly the number of tf
-    rows per term.
+    the corpus: the rows of the ``hot_keys`` terms with the highest document
+    frequency (exactly the number of tf rows per term) meet their weights by
+    broadcast, the others by a sort-merge join.
     """
     weights = idf.select(term_col, "df", "idf")
     if bounded:
         joined = tf.join(F.broadcast(weights), term_col)
     else:
-        hot = top_keys(weights, term_col, "df", hot_keys)
-        joined = salted_join(tf, weights, term_col, hot, [id_col], salts)
+        joined = hot_cold_join(tf, weights, term_col, top_keys(weights, term_col, "df", hot_keys))
     return joined.withColumn("tfidf", F.col("tf") * F.col("idf"))
 
 
@@ -106,10 +112,22 @@ def restrict_to_vocabulary(tf: DataFrame, vocab: DataFrame, term_col: str = "ter
     return tf.join(F.broadcast(vocab.select(term_col, "idx")), term_col)
 
 
+def vocabulary_counts(df: DataFrame, tokens_col: str, vocab: DataFrame, keep: list[str],
+                      term_col: str = "term") -> DataFrame:
+    """``([keep...], idx, tf)``: counts of vocabulary terms per row group of ``keep``.
+
+    Tokens outside the vocabulary (bounded, broadcast) go before the
+    aggregation, so only vocabulary rows are shuffled.
+    """
+    tokens = explode_with_pos(df, tokens_col, keep, "_pos", term_col)
+    return (tokens.join(F.broadcast(vocab.select(term_col, "idx")), term_col)
+            .groupBy(*keep, "idx").agg(F.count(F.lit(1)).alias("tf")))
+
+
 def feature_idf(counts: DataFrame, n_docs: Column, min_doc_freq: int = 0,
                 feature_col: str = "idx") -> DataFrame:
-    """IDF fit on vocabulary-restricted counts: ``(idx, df, idf)``."""
-    return idf_weights(counts, n_docs, min_doc_freq, feature_col)
+    """IDF fit on vocabulary-restricted counts (one row per document and feature): ``(idx, df, idf)``."""
+    return with_idf(counts.groupBy(feature_col).agg(F.count(F.lit(1)).alias("df")), n_docs, min_doc_freq)
 
 
 def scale_features(counts: DataFrame, idf: DataFrame, feature_col: str = "idx") -> DataFrame:

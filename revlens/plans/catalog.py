@@ -10,31 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.functions.labels import IMDB_CLASS_MAP, map_class_labels
+from revlens.functions.labels import IMDB_CLASS_MAP, TWITTER_CLASS_MAP, map_class_labels
 from revlens.functions.text import clean_text, filter_short_tokens, ngrams, split_label, tokenize
 from revlens.operators import termstats as ts
 from revlens.operators.evaluate import confusion_matrix, evaluate
-from revlens.operators.prepare import add_words, binarize, drop_null_reviews, label_balance, prepare
+from revlens.operators.prepare import (
+    add_words, binarize, drop_null_reviews, label_balance, prepare, with_split,
+)
 from revlens.plans.relational import (
-    build_corpus, count_vector_nb, ngram_tfidf_features, ngram_tfidf_nb,
+    VOCAB_SIZE, build_corpus, labelled_words, count_vector_nb, ngram_tfidf_features, ngram_tfidf_nb,
 )
-from revlens.session import keep, scratch_path
+from revlens.session import scratch_path
 from revlens.sources import (
-    annotations, labelled_documents, read_lines, read_reviews_csv, reviews, write_reviews_csv,
+    annotations, labelled_documents, read_lines, read_reviews_csv, reviews, reviews_with_nulls,
+    write_reviews_csv,
 )
 from revlens.sources.tables import documents
 
-VOCAB_SIZE = 2000
-
 
 def _r(c, digits: int = 6):
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
 def _doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, cleaned, tokenized, stop words removed (kept)."""
+    """All documents, cleaned, tokenized, stop words removed."""
     docs = prepare(documents(spark, sf_dir), score_col=None, keep=["doc_id"])
-    return keep(add_words(docs).drop("text"), eager=True)
+    return add_words(docs).drop("text")
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def q_clean_text(spark, sf_dir):
 
 
 def q_drop_null_reviews(spark, sf_dir):
-    return drop_null_reviews(reviews(spark, sf_dir)).select(
+    return drop_null_reviews(reviews_with_nulls(spark, sf_dir)).select(
         "doc_id", "score", clean_text("text").alias("text"))
 
 
@@ -62,7 +63,8 @@ def q_hash_split(spark, sf_dir):
 
 
 def q_label_balance(spark, sf_dir):
-    return label_balance(_corpus(spark, sf_dir))
+    labelled = labelled_documents(spark, sf_dir).select("doc_id", "label")
+    return label_balance(with_split(labelled))
 
 
 def q_explode_annotations(spark, sf_dir):
@@ -79,6 +81,14 @@ def q_map_class_labels(spark, sf_dir):
         "event_id", map_class_labels("prediction", IMDB_CLASS_MAP).alias("prediction"))
 
 
+def q_map_class_labels_second(spark, sf_dir):
+    """The second sentiment head's class strings; an item without annotation stays as a NULL row."""
+    words = {"pos": "positive", "neg": "negative", "neutral": "neutral"}
+    spelled = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    return annotations(spark, sf_dir).select("event_id", F.explode_outer("sentiment.result").alias("p")).select(
+        "event_id", map_class_labels(spelled[F.col("p")], TWITTER_CLASS_MAP).alias("prediction"))
+
+
 # --- tokens -----------------------------------------------------------------
 
 def q_tokenize(spark, sf_dir):
@@ -113,32 +123,29 @@ def q_ngrams_2(spark, sf_dir):
 
 # --- counting ---------------------------------------------------------------
 
-def _tf_all(spark, sf_dir):
-    return keep(ts.term_frequency(_doc_words(spark, sf_dir), "words"), eager=True)
-
-
 def q_term_frequency(spark, sf_dir):
-    return _tf_all(spark, sf_dir)
+    return ts.term_frequency(_doc_words(spark, sf_dir), "words")
 
 
 def q_corpus_frequency(spark, sf_dir):
-    return ts.corpus_frequency(_tf_all(spark, sf_dir))
+    return ts.corpus_frequency(_doc_words(spark, sf_dir), "words")
 
 
 def q_document_frequency(spark, sf_dir):
-    return ts.document_frequency(_tf_all(spark, sf_dir))
+    return ts.document_frequency(_doc_words(spark, sf_dir), "words")
 
 
 def q_vocab_topk(spark, sf_dir):
-    c = _corpus(spark, sf_dir)
-    tf = ts.term_frequency(c.where(F.col("split") == "train"), "words")
-    return ts.vocabulary(tf, VOCAB_SIZE).select("term", F.col("idx").cast("int").alias("idx"), "cf")
+    c = labelled_words(labelled_documents(spark, sf_dir)).where(F.col("split") == "train")
+    return ts.vocabulary(c, "words", VOCAB_SIZE).select("term", F.col("idx").cast("int").alias("idx"), "cf")
+
+
+def _n_docs(spark, sf_dir):
+    return ts.count_rows(drop_null_reviews(documents(spark, sf_dir), ["text"]))
 
 
 def _idf(spark, sf_dir, min_df):
-    words = _doc_words(spark, sf_dir)
-    tf = ts.term_frequency(words, "words")
-    return ts.idf_weights(tf, ts.count_rows(words), min_df)
+    return ts.idf_weights(_doc_words(spark, sf_dir), "words", _n_docs(spark, sf_dir), min_df)
 
 
 def q_idf_weights(spark, sf_dir):
@@ -150,17 +157,14 @@ def q_idf_weights_mindf(spark, sf_dir):
 
 
 def q_tfidf_long(spark, sf_dir):
-    words = _doc_words(spark, sf_dir)
-    tf = keep(ts.term_frequency(words, "words"), eager=True)
-    idf = ts.idf_weights(tf, ts.count_rows(words))
-    return ts.tfidf(tf, idf).select("doc_id", "term", "tf", _r("tfidf").alias("tfidf"))
+    tf = ts.term_frequency(_doc_words(spark, sf_dir), "words")
+    return ts.tfidf(tf, _idf(spark, sf_dir, 0)).select("doc_id", "term", "tf", _r("tfidf").alias("tfidf"))
 
 
 def q_count_vector_long(spark, sf_dir):
     c = _corpus(spark, sf_dir)
-    tf = keep(ts.term_frequency(c, "words", carry=["split"]), eager=True)
-    vocab = ts.vocabulary(tf.where(F.col("split") == "train"), VOCAB_SIZE)
-    return ts.restrict_to_vocabulary(tf, vocab).select(
+    vocab = ts.vocabulary(c.where(F.col("split") == "train"), "words", VOCAB_SIZE)
+    return ts.vocabulary_counts(c, "words", vocab, ["doc_id"]).select(
         "doc_id", F.col("idx").cast("int").alias("idx"), "tf")
 
 
@@ -231,6 +235,7 @@ SPARK_QUERIES = {
     "explode_annotations": q_explode_annotations,
     "distinct_predictions": q_distinct_predictions,
     "map_class_labels": q_map_class_labels,
+    "map_class_labels_second": q_map_class_labels_second,
     "tokenize": q_tokenize,
     "remove_stopwords": q_remove_stopwords,
     "token_stream": q_token_stream,

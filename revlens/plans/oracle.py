@@ -8,8 +8,7 @@ query reads as one WITH statement.
 from __future__ import annotations
 
 from revlens.functions.stopwords import sql_list_literal
-from revlens.plans.catalog import VOCAB_SIZE
-from revlens.plans.relational import NGRAM_MIN_DOC_FREQ, NGRAM_VOCAB_SIZES
+from revlens.plans.relational import NGRAM_MIN_DOC_FREQ, NGRAM_VOCAB_SIZES, VOCAB_SIZE
 
 SW = sql_list_literal()
 
@@ -39,12 +38,19 @@ corp AS (SELECT doc_id, label, {SPLIT.format(id='doc_id')} AS split, tokens,
                 {WORDS.format(t='tokens')} AS words FROM lab_tok)"""
 
 
+def _review_corpus() -> str:
+    """The corpus of the review CSV job: labels from ratings 1..5, others rejected."""
+    return f"""
+lab AS (SELECT doc_id, CASE WHEN 1 + {BUCKET.format(id='doc_id')} % 5 <= 3 THEN 0.0 ELSE 1.0 END::DOUBLE AS label,
+               {CLEAN.format(x='text')} AS c FROM documents WHERE text IS NOT NULL AND doc_id % 13 <> 0),
+lab_tok AS (SELECT doc_id, label, {TOKENS.format(c='c')} AS tokens FROM lab),
+corp AS (SELECT doc_id, label, {SPLIT.format(id='doc_id')} AS split, tokens,
+                {WORDS.format(t='tokens')} AS words FROM lab_tok)"""
+
+
 def _reviews() -> str:
     return f"""
-reviews AS (SELECT d.doc_id,
-                   CASE WHEN l.doc_id IS NOT NULL THEN CAST(1 + {BUCKET.format(id='d.doc_id')} % 5 AS DOUBLE) END AS score,
-                   d.text
-            FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+reviews AS (SELECT doc_id, CAST(1 + {BUCKET.format(id='doc_id')} % 5 AS DOUBLE) AS score, text FROM documents)"""
 
 
 def _annotations() -> str:
@@ -99,8 +105,8 @@ nb_pred AS (SELECT doc_id, label AS prediction, score FROM
 nb_out AS (SELECT p.doc_id, d.label, p.prediction, p.score FROM nb_pred p JOIN {test_docs} d ON p.doc_id = d.doc_id)"""
 
 
-def _count_vector_nb() -> str:
-    return f"""{_corpus()},
+def _count_vector_nb(corpus: str | None = None) -> str:
+    return f"""{corpus or _corpus()},
 tf_train AS ({_tf("(SELECT * FROM corp WHERE split = 'train')", "words", "label")}),
 vocab AS ({_vocab("tf_train", VOCAB_SIZE)}),
 feat_train AS (SELECT doc_id, label, idx, tf AS value FROM tf_train JOIN vocab USING (term)),
@@ -152,7 +158,7 @@ met AS (SELECT CAST(sum(support) AS BIGINT) AS n, sum(tp) / sum(support) AS accu
 ORACLE_SQL = {
     "clean_text": f"SELECT doc_id, {CLEAN.format(x='text')} AS text FROM documents",
     "drop_null_reviews": f"WITH {_reviews()} SELECT doc_id, score, {CLEAN.format(x='text')} AS text "
-                         "FROM reviews WHERE score IS NOT NULL AND text IS NOT NULL",
+                         "FROM reviews WHERE score IS NOT NULL AND text IS NOT NULL AND doc_id % 17 <> 0 AND doc_id % 19 <> 0",
     "binarize_score": f"""WITH {_reviews()}
 SELECT doc_id, score, CASE WHEN score IN (1, 2, 3) THEN 0.0 WHEN score IN (4, 5) THEN 1.0 ELSE score END AS label
 FROM reviews WHERE score IS NOT NULL AND text IS NOT NULL""",
@@ -163,6 +169,8 @@ FROM reviews WHERE score IS NOT NULL AND text IS NOT NULL""",
     "map_class_labels": f"""WITH {_annotations()}
 SELECT event_id, TRY_CAST(CASE prediction WHEN 'neg' THEN '0' WHEN 'neutral' THEN '0' WHEN 'pos' THEN '1'
                                   ELSE prediction END AS DOUBLE) AS prediction FROM ann_x""",
+    "map_class_labels_second": f"""WITH {_annotations()}
+SELECT event_id, CASE results[1] WHEN 'neg' THEN 0.0 WHEN 'neutral' THEN 0.0 WHEN 'pos' THEN 1.0 END AS prediction FROM ann""",
     "tokenize": f"WITH {_doc_words()} {_explode('doc_tok', 'doc_id', 'tokens', 'token')}",
     "remove_stopwords": f"WITH {_doc_words()} SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n_tokens, "
                         "CAST(len(words) AS INTEGER) AS n_words FROM doc_words",

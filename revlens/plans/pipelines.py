@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.stopwords import ENGLISH_STOP_WORDS
+from revlens.functions.text import KEEP_PATTERN, filter_short_tokens
 from revlens.operators.stem import stem_tokens
+from revlens.operators.termstats import corpus_frequency
 from revlens.plans.relational import NGRAM_MIN_DOC_FREQ, NGRAM_VOCAB_SIZES
-from revlens.session import keep, right_size
+from revlens.session import keep
 
 # Model settings of the reference.
 HASHING_FEATURES = 1000
@@ -34,7 +36,9 @@ LR_L2_PARAMS = {"maxIter": 1000, "regParam": 0.01}
 SVM_PARAMS = {"maxIter": 1000, "regParam": 0.01}
 W2V_PARAMS = {"vectorSize": 100, "minCount": 0, "maxIter": 5}
 MIN_TOKEN_LENGTH = 3
-MAX_W2V_PARTITIONS = 32
+#: Partitions Word2Vec trains on.  MLlib averages their updates every iteration, so the model
+#: depends on the number: it is fixed here and not taken from the cluster.
+W2V_PARTITIONS = 8
 
 CLASSIFIER_PREFIX = {"nb": "NB", "lr": "LR", "svm": "SVM"}
 
@@ -45,9 +49,12 @@ def prediction_col(classifier: str) -> str:
 
 def prepare_stages(text_col: str = "text", stop_words=None) -> list:
     """clean -> tokens -> words (Spark ML Tokenizer and StopWordsRemover);
-    ``stop_words`` replaces Spark's English list."""
+    ``stop_words`` replaces Spark's English list.  A NULL text counts as empty,
+    so scoring never fails on one; any column name works."""
+    name = "`" + text_col.replace("`", "``") + "`"
+    pattern = KEEP_PATTERN.replace("\\", "\\\\")
     clean = SQLTransformer(statement=(
-        f"SELECT *, lower(array_join(regexp_extract_all({text_col}, '[a-zA-Z\\\\s]+', 0), '')) "
+        f"SELECT *, lower(array_join(regexp_extract_all(coalesce({name}, ''), '{pattern}', 0), '')) "
         "AS clean_text FROM __THIS__"))
     return [clean,
             Tokenizer(inputCol="clean_text", outputCol="tokens"),
@@ -98,10 +105,9 @@ def word2vec_stages(input_col: str = "stems", num_partitions: int | None = None,
     """Length filter (>= 3 characters, after stemming) then Word2Vec.
 
     MLlib's default (and the reference's) trains on one partition, i.e. one
-    task for the whole corpus; ``fit_word2vec_pipeline`` passes the cluster's
-    parallelism, capped at ``MAX_W2V_PARTITIONS`` because MLlib averages the
-    per-partition updates every iteration.  ``num_partitions=1`` restores the
-    reference's single-task training.
+    task for the whole corpus; ``fit_word2vec_pipeline`` passes
+    ``W2V_PARTITIONS`` unless told otherwise.  ``num_partitions=1`` restores
+    the reference's single-task training.
     """
     length_filter = SQLTransformer(statement=(
         f"SELECT *, filter({input_col}, t -> length(t) >= {MIN_TOKEN_LENGTH}) AS w2v_words FROM __THIS__"))
@@ -124,7 +130,7 @@ class FittedPipeline:
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.prepare is not None:
-            df = stem_tokens(self.prepare.transform(df), "words", "stems", self.id_col)
+            df = stem_tokens(self.prepare.transform(df), "words", "stems")
         return self.model.transform(df)
 
 
@@ -139,7 +145,7 @@ def fit_text_pipeline(train: DataFrame, feature_stages: list, features_col: str,
     prepared = keep(prepared.drop(*[c for c in (text_col, "clean_text", "tokens")
                                    if c in prepared.columns and c != label_col]))
     feat_model = Pipeline(stages=feature_stages).fit(prepared)
-    feats = right_size(feat_model.transform(prepared).select(features_col, label_col))
+    feats = keep(feat_model.transform(prepared).select(features_col, label_col), eager=True)
     estimators = classifier_stages(features_col, label_col, classifiers, lr_params, svm_params, nb_params)
     models = fit_concurrently(estimators, feats)
     feats.unpersist()
@@ -171,22 +177,33 @@ def fit_concurrently(estimators: list, data: DataFrame) -> list:
 
 def fit_word2vec_pipeline(train: DataFrame, classifiers=("svm", "lr"), label_col: str = "label",
                           text_col: str = "text", id_col: str = "doc_id",
-                          num_partitions: int | None = None, w2v_params: dict | None = None,
-                          lr_params=None, svm_params=None) -> FittedPipeline:
-    """prepare -> stem (distributed) -> length filter -> Word2Vec -> LR (L2) / SVM."""
+                          num_partitions: int = W2V_PARTITIONS, w2v_params: dict | None = None,
+                          lr_params=None, svm_params=None,
+                          max_vocabulary: int | None = None) -> FittedPipeline:
+    """prepare -> stem -> length filter -> Word2Vec -> LR (L2) / SVM.
+
+    MLlib gathers the vocabulary on the driver and the reference keeps every
+    word (``minCount=0``).  ``max_vocabulary`` bounds it: the words' distributed
+    counts give the smallest ``minCount`` that leaves at most so many.
+    """
     pre = PipelineModel(stages=prepare_stages(text_col))
-    stemmed = stem_tokens(pre.transform(train).select(id_col, label_col, "words"), "words", "stems", id_col)
-    if num_partitions is None:
-        try:
-            num_partitions = min(train.sparkSession.sparkContext.defaultParallelism, MAX_W2V_PARTITIONS)
-        except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): MLlib default
-            num_partitions = None
+    stemmed = stem_tokens(pre.transform(train).select(id_col, label_col, "words"), "words", "stems")
+    if max_vocabulary is not None:
+        long_enough = stemmed.select(filter_short_tokens("stems", MIN_TOKEN_LENGTH).alias("kept"))
+        w2v_params = {**(w2v_params or W2V_PARAMS), "minCount": min_count_for(long_enough, "kept", max_vocabulary)}
     stages, col = word2vec_stages("stems", num_partitions, params=w2v_params)
     fitted = fit_text_pipeline(stemmed, stages, col, classifiers, label_col, pre_stages=[],
                                lr_params=lr_params or LR_L2_PARAMS, svm_params=svm_params)
     return FittedPipeline(fitted.model, col, fitted.classifiers, pre, id_col)
 
 
+def min_count_for(df: DataFrame, tokens_col: str, size: int) -> int:
+    """Smallest word count that at most ``size`` words reach (0: all words fit)."""
+    first_out = (corpus_frequency(df, tokens_col).orderBy(F.desc("cf")).offset(size).limit(1)
+                 .select("cf").collect())
+    return int(first_out[0]["cf"]) + 1 if first_out else 0
+
+
 EXTRACTOR_CLASSIFIERS = {"tfidf": ("nb", "lr", "svm"), "ngram": ("nb", "lr", "svm"),
                          "word2vec": ("svm", "lr")}
 
@@ -207,7 +224,7 @@ def fit_extractor(train: DataFrame, extractor: str, classifiers=None, stem: bool
         stages, col = tfidf_stages() if extractor == "tfidf" else ngram_stages()
         return fit_text_pipeline(train, stages, col, classifiers, label_col, **params)
     pre = PipelineModel(stages=prepare_stages())
-    stemmed = stem_tokens(pre.transform(train).select(id_col, label_col, "words"), "words", "stems", id_col)
+    stemmed = stem_tokens(pre.transform(train).select(id_col, label_col, "words"), "words", "stems")
     stages, col = (tfidf_stages(input_col="stems") if extractor == "tfidf"
                    else ngram_stages(input_col="stems"))
     fitted = fit_text_pipeline(stemmed, stages, col, classifiers, label_col, pre_stages=[], **params)
@@ -216,8 +233,8 @@ def fit_extractor(train: DataFrame, extractor: str, classifiers=None, stem: bool
 
 def score(df: DataFrame, fitted: FittedPipeline | PipelineModel, classifier: str,
           id_col: str = "doc_id", classifiers=None) -> DataFrame:
-    """``(id, prediction)`` from the chosen classifier; the choice is checked
-    before any job starts."""
+    """``(id, prediction)`` from the chosen classifier in one transform; the choice
+    is checked before any job starts.  ``id_col`` may list several columns to carry."""
     if classifier not in CLASSIFIER_PREFIX:
         raise ValueError(f"classifier must be one of {sorted(CLASSIFIER_PREFIX)}")
     model = fitted.model if isinstance(fitted, FittedPipeline) else fitted

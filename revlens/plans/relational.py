@@ -26,18 +26,24 @@ from revlens.session import keep
 # document frequency for n = 1, 2, 3).
 NGRAM_VOCAB_SIZES = (8192, 4096, 1024)
 NGRAM_MIN_DOC_FREQ = (50, 5, 5)
+#: Vocabulary of the count-vector jobs: that of the reference's single words.
+VOCAB_SIZE = NGRAM_VOCAB_SIZES[0]
 
 
-def build_corpus(labelled: DataFrame, stop_words=None, keep_tokens: bool = False) -> DataFrame:
+def labelled_words(labelled: DataFrame, stop_words=None, keep_tokens: bool = False) -> DataFrame:
     """``(doc_id, label, split, words[, tokens])``: cleaned, tokenized, stop words
-    removed, hash split; kept because every later branch reads it.  The text
-    itself (and by default the pre-stop-word tokens) is not kept: only what the
-    later jobs read is cached."""
+    removed, hash split."""
     # rows without a label or a text are dropped, as the reference's dropna() does
     complete = drop_null_reviews(labelled, ["label", "text"])
     prepared = prepare(complete, text_col="text", score_col=None, keep=["doc_id", "label"])
     cols = ["doc_id", "label", "split", "words"] + (["tokens"] if keep_tokens else [])
-    return keep(with_split(add_words(prepared, stop_words=stop_words)).select(*cols), eager=True)
+    return with_split(add_words(prepared, stop_words=stop_words)).select(*cols)
+
+
+def build_corpus(labelled: DataFrame, stop_words=None, keep_tokens: bool = False) -> DataFrame:
+    """``labelled_words``, kept: for jobs with several branches that read it.  The
+    text itself (and by default the pre-stop-word tokens) is not kept."""
+    return keep(labelled_words(labelled, stop_words, keep_tokens), eager=True)
 
 
 @dataclass
@@ -48,19 +54,17 @@ class NBResult:
     vocab: DataFrame         # term, idx, cf
 
 
-def count_vector_nb(corpus: DataFrame, vocab_size: int = 2000, smoothing: float = 1.0,
+def count_vector_nb(corpus: DataFrame, vocab_size: int = VOCAB_SIZE, smoothing: float = 1.0,
                     words_col: str = "words") -> NBResult:
     """Top-``vocab_size`` count vectors fit on the train split, naive Bayes on
     raw counts, scored on the test split."""
     train = corpus.where(F.col("split") == "train")
     test = corpus.where(F.col("split") == "test")
-    tf_train = keep(ts.term_frequency(train, words_col, carry=["label"]), eager=True)
-    vocab = keep(ts.vocabulary(tf_train, vocab_size))
-    feats = ts.restrict_to_vocabulary(tf_train, vocab).withColumnRenamed("tf", "value")
+    vocab = keep(ts.vocabulary(train, words_col, vocab_size))
+    feats = ts.vocabulary_counts(train, words_col, vocab, ["doc_id", "label"]).withColumnRenamed("tf", "value")
     prior, theta = fit_nb(feats, train.select("doc_id", "label"), ts.count_rows(vocab), smoothing)
-    test_feats = (ts.restrict_to_vocabulary(ts.term_frequency(test, words_col), vocab)
-                  .withColumnRenamed("tf", "value"))
-    out = score_nb(test_feats, test.select("doc_id", "label"), prior, theta)
+    test_feats = ts.vocabulary_counts(test, words_col, vocab, ["doc_id"]).withColumnRenamed("tf", "value")
+    out = score_nb(test_feats, test.select("doc_id", "label"), prior, theta, max_features=vocab_size)
     return NBResult(out.select("doc_id", "label", "prediction", "score"), prior, theta, vocab)
 
 
@@ -82,10 +86,8 @@ def ngram_tfidf_features(corpus: DataFrame, orders=(1, 2), vocab_sizes=NGRAM_VOC
     parts_train, parts_test, blocks = [], [], []
     for n in orders:
         grams = corpus.select("doc_id", "label", "split", ngrams(words_col, n).alias("grams"))
-        tf = keep(ts.term_frequency(grams, "grams", carry=["label", "split"]), eager=True)
-        tf_tr = tf.where(F.col("split") == "train")
-        vocab = keep(ts.vocabulary(tf_tr, vocab_sizes[n - 1]))
-        counts = ts.restrict_to_vocabulary(tf, vocab)
+        vocab = keep(ts.vocabulary(grams.where(F.col("split") == "train"), "grams", vocab_sizes[n - 1]))
+        counts = keep(ts.vocabulary_counts(grams, "grams", vocab, ["doc_id", "label", "split"]))
         idf = keep(ts.feature_idf(counts.where(F.col("split") == "train"), n_train,
                                   min_doc_freqs[n - 1]))
         scaled = ts.scale_features(counts, idf)
@@ -107,10 +109,11 @@ def ngram_tfidf_nb(corpus: DataFrame, orders=(1, 2), smoothing: float = 1.0) ->
     train_docs = corpus.where(F.col("split") == "train").select("doc_id", "label")
     test_docs = corpus.where(F.col("split") == "test").select("doc_id", "label")
     prior, theta = fit_nb(feats.train, train_docs, feats.size, smoothing)
-    out = score_nb(feats.test, test_docs, prior, theta).select("doc_id", "label", "prediction", "score")
+    out = score_nb(feats.test, test_docs, prior, theta,
+                   max_features=sum(NGRAM_VOCAB_SIZES[n - 1] for n in orders)).select("doc_id", "label", "prediction", "score")
     return NBResult(out, prior, theta, feats.blocks[0][0])
 
 
-def classify_and_evaluate(labelled: DataFrame, vocab_size: int = 2000) -> DataFrame:
+def classify_and_evaluate(labelled: DataFrame, vocab_size: int = VOCAB_SIZE) -> DataFrame:
     """Flagship: count-vector naive Bayes -> accuracy, weighted F1, n."""
     return evaluate(count_vector_nb(build_corpus(labelled), vocab_size).predictions)

@@ -9,7 +9,6 @@ pick a fresh private folder and record it in the session.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -19,15 +18,16 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def get_session(master: str | None = None, app: str = "revlens",
-                shuffle_partitions: int | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """Session with the settings the library is tuned for.
 
-    AQE stays on so shuffle partitions coalesce for small inputs and skewed
-    sort-merge partitions are split at run time; the UI is off (no server).
+    Master and driver memory are set only where the caller names them, so a
+    submitted application keeps those of ``spark-submit``.  AQE stays on so
+    shuffle partitions coalesce for small inputs and skewed sort-merge
+    partitions are split at run time; the UI is off (no server).
     """
-    master = master or os.environ.get("REVLENS_MASTER", "local[8]")
     builder = (
-        SparkSession.builder.master(master).appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
@@ -35,8 +35,11 @@ def get_session(master: str | None = None, app: str = "revlens",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("REVLENS_DRIVER_MEMORY", "16g"))
     )
+    if master is not None:
+        builder = builder.master(master)
+    if driver_memory is not None:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -78,25 +81,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared folder, survives executor loss)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def distribute(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
     """Spread a scan that has fewer partitions than the cluster has task slots.
 
-    A large input already arrives in many splits and is returned unchanged (no
-    shuffle).  A small, unsplittable file (one row group, one multi-line CSV)
-    is hash-partitioned by ``key`` so the text work uses every core and later
-    per-``key`` aggregations find their input already clustered.
+    An input that arrives in enough splits is returned unchanged (no shuffle).
+    An unsplittable file (one row group, one multi-line CSV) is
+    hash-partitioned by ``key`` so the text work uses every core.  Only the
+    placement of rows depends on this, never a result.
     """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD access (Spark Connect): leave the plan alone
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)
 
@@ -115,25 +109,3 @@ def keep(df: DataFrame, eager: bool = False) -> DataFrame:
     if eager:
         kept.count()
     return kept
-
-
-def right_size(df: DataFrame, rows_per_partition: int = 250_000) -> DataFrame:
-    """Keep ``df`` and narrow it to about ``rows_per_partition`` rows per task.
-
-    Iterative solvers launch one job per iteration over the training set; on
-    a small set most of that time is task overhead, so fewer partitions are
-    faster.  A large set keeps its partitioning.  ``coalesce`` never shuffles.
-    """
-    kept = keep(df)
-    n = kept.count()
-    try:
-        current = kept.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (Spark Connect)
-        return kept
-    wanted = max(1, -(-n // rows_per_partition))
-    if wanted >= current:
-        return kept
-    narrow = keep(kept.coalesce(wanted))
-    narrow.count()
-    kept.unpersist()
-    return narrow

@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The CSV dialect of the reference's review files (header row,
 # double-quoted fields, doubled quotes inside, newlines inside fields).
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
-REVIEW_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("score", T.DoubleType()),
-    T.StructField("text", T.StringType()),
-])
+# Column names of the reference's review files.
+REVIEW_COLUMNS = {"score": "review/score", "text": "review/text"}
+OWN_COLUMNS = {"doc_id": "doc_id", "score": "score", "text": "text"}
 
 
 def write_reviews_csv(df: DataFrame, path: str) -> None:
@@ -27,17 +24,35 @@ def write_reviews_csv(df: DataFrame, path: str) -> None:
      .csv(path))
 
 
-def read_reviews_csv(spark: SparkSession, path: str, schema: T.StructType = REVIEW_SCHEMA,
+def read_reviews_csv(spark: SparkSession, path: str, columns: dict[str, str] = OWN_COLUMNS,
                      partitions: int | None = None) -> DataFrame:
-    """Quoted multi-line CSV with an explicit schema (no inference pass).
+    """``doc_id, score, text`` of quoted multi-line CSV files, taken by column name.
 
-    A multi-line CSV file cannot be split, so each file is one task; pass
-    ``partitions`` to spread the rows before the heavy text work.
+    ``columns`` names the file's column of each; other columns are ignored and
+    a missing one raises.  Without a ``doc_id`` column the id is made from the
+    row's place in the scan.  Types are not inferred: a score that is no number
+    becomes NULL.  A multi-line CSV file cannot be split, so each file is one
+    task; pass ``partitions`` to spread the rows before the heavy text work.
     """
-    df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+    df = spark.read.options(**CSV_OPTIONS).csv(path)
+    missing = [c for c in columns.values() if c not in df.columns]
+    if missing:
+        raise ValueError(f"no column {missing} in {path} (has {df.columns})")
+    quoted = {k: F.col("`" + v.replace("`", "``") + "`") for k, v in columns.items()}
+    doc_id = quoted["doc_id"].try_cast("long") if "doc_id" in quoted else F.monotonically_increasing_id()
+    df = df.select(doc_id.alias("doc_id"), quoted["score"].try_cast("double").alias("score"), quoted["text"].alias("text"))
     return df.repartition(partitions) if partitions else df
 
 
+def labelled_reviews(spark: SparkSession, path: str, columns: dict[str, str] = REVIEW_COLUMNS,
+                     partitions: int | None = None) -> DataFrame:
+    """``doc_id, text, label`` for training from review CSV files: ratings 1..3 are
+    class 0, 4..5 class 1; rows without a text or with any other rating go."""
+    from revlens.operators.prepare import binarize, drop_null_reviews, split_valid_scores
+    rated, _ = split_valid_scores(read_reviews_csv(spark, path, columns, partitions))
+    return binarize(drop_null_reviews(rated, ["text"]), "score", "label").select("doc_id", "text", "label")
+
+
 def read_lines(spark: SparkSession, path: str, text_col: str = "text") -> DataFrame:
     """One row per line of the text files under ``path`` (splittable scan)."""
     return spark.read.text(path).withColumnRenamed("value", text_col)

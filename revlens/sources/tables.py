@@ -40,18 +40,17 @@ def labelled_documents(spark: SparkSession, sf_dir: str, target: str = "quality"
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in for the reference's review CSV: ``doc_id, score, text``.
 
-    Every document is a review; documents that have a row in ``labels`` carry a
-    star rating 1..5 (derived from the id hash), the others a NULL rating, as
-    unrated reviews would.
+    Every document is a review with a star rating 1..5 (from the id hash).
     """
     docs = distribute(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id")
-    labels = read_table(spark, sf_dir, "labels", ["doc_id"]).withColumn("_rated", F.lit(True))
-    return docs.join(labels, "doc_id", "left").select(
-        "doc_id",
-        F.when(F.col("_rated"), (F.pmod(hash_bucket("doc_id"), F.lit(5)) + 1).cast("double"))
-        .alias("score"),
-        "text",
-    )
+    return docs.select("doc_id", (F.pmod(hash_bucket("doc_id"), F.lit(5)) + 1).cast("double").alias("score"), "text")
+
+
+def reviews_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``reviews`` in which some ratings (every 17th id) and some texts (every 19th id) are NULL."""
+    return reviews(spark, sf_dir).select(
+        "doc_id", F.when(F.col("doc_id") % 17 != 0, F.col("score")).alias("score"),
+        F.when(F.col("doc_id") % 19 != 0, F.col("text")).alias("text"))
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:

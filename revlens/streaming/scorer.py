@@ -4,11 +4,8 @@ they arrive.
 New review files are picked up by a file source, every micro-batch goes
 through the fitted pipeline (preparation, features, classifier; all
 row-wise, so no state is kept between batches) and predictions are appended
-to a Parquet sink.  The checkpoint lives in the shared checkpoint folder, so
-a restarted query resumes where it stopped and each file is scored once.
-
-The word2vec extractor needs stems: in a stream they are computed row-wise
-with the Arrow pandas UDF (a per-batch join would cost more than it saves).
+to a Parquet sink.  The caller names the checkpoint folder (shared storage): a
+query restarted with it resumes where it stopped and each file is scored once.
 """
 
 from __future__ import annotations
@@ -17,9 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revlens.operators.stem import stem_arrays
 from revlens.plans.pipelines import FittedPipeline, prediction_col
-from revlens.session import scratch_path
 
 
 def stream_predictions(stream: DataFrame, fitted: FittedPipeline, classifier: str,
@@ -27,22 +22,22 @@ def stream_predictions(stream: DataFrame, fitted: FittedPipeline, classifier: st
     """Streaming DataFrame of ``(ids..., prediction)``."""
     if classifier not in fitted.classifiers:
         raise ValueError(f"model has no {classifier!r} classifier")
-    df = stream
-    if fitted.prepare is not None:
-        df = fitted.prepare.transform(df).withColumn("stems", stem_arrays("words"))
-    return fitted.model.transform(df).select(*id_cols, F.col(prediction_col(classifier)).alias("prediction"))
+    return fitted.transform(stream).select(*id_cols, F.col(prediction_col(classifier)).alias("prediction"))
 
 
 def score_files(spark: SparkSession, source_dir: str, schema: T.StructType, fitted: FittedPipeline,
-                classifier: str, id_cols: list[str], sink_path: str | None = None,
-                file_glob: str | None = None, checkpoint: str | None = None) -> str:
-    """Score every file present under ``source_dir`` (``availableNow``) and return the sink path."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+                classifier: str, id_cols: list[str], sink_path: str, checkpoint: str,
+                file_glob: str | None = None, max_files_per_trigger: int | None = None) -> str:
+    """Score every file present under ``source_dir`` (``availableNow``) and return the sink path.
+
+    All files go into one micro-batch unless ``max_files_per_trigger`` is given.
+    """
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
     stream = reader.parquet(source_dir)
-    sink_path = sink_path or scratch_path(spark, "stream-predictions")
-    checkpoint = checkpoint or scratch_path(spark, "stream-checkpoint")
     query = (stream_predictions(stream, fitted, classifier, id_cols)
              .writeStream.format("parquet").outputMode("append")
              .option("path", sink_path).option("checkpointLocation", checkpoint)

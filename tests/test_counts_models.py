@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from revlens.operators import termstats as ts
 from revlens.operators.evaluate import evaluate, metrics_report
 from revlens.operators.naive_bayes import fit_nb, score_nb
-from revlens.operators.skew import salted_join, top_keys
+from revlens.operators.skew import hot_cold_join, top_keys
 
 FOUR = [(0, ["a"]), (1, ["a", "b", "c"]), (2, []), (3, ["a", "", "b"])]
 
@@ -23,35 +23,36 @@ def four(spark):
 
 
 def test_idf_fixture(spark, four):
-    tf = ts.term_frequency(four, "words")
-    got = {r.term: (r.df, round(r.idf, 6)) for r in ts.idf_weights(tf, ts.count_rows(four)).collect()}
+    got = {r.term: (r.df, round(r.idf, 6)) for r in ts.idf_weights(four, "words", ts.count_rows(four)).collect()}
     assert got == {"a": (3, 0.223144), "b": (2, 0.510826), "": (1, 0.916291), "c": (1, 0.916291)}
-    got2 = {r.term: round(r.idf, 6) for r in ts.idf_weights(tf, ts.count_rows(four), 2).collect()}
+    got2 = {r.term: round(r.idf, 6) for r in ts.idf_weights(four, "words", ts.count_rows(four), 2).collect()}
     assert got2[""] == 0.0 and got2["c"] == 0.0 and got2["a"] == 0.223144
 
 
 def test_vocabulary_ties_by_term(spark, four):
-    tf = ts.term_frequency(four, "words")
-    got = [(r.term, r.idx, r.cf) for r in ts.vocabulary(tf, 3).orderBy("idx").collect()]
+    got = [(r.term, r.idx, r.cf) for r in ts.vocabulary(four, "words", 3).orderBy("idx").collect()]
     assert got == [("a", 0, 3), ("b", 1, 2), ("", 2, 1)]
 
 
-def test_tfidf_salted_equals_broadcast(spark, four):
+def test_tfidf_hot_and_cold_equals_broadcast(spark, four):
     tf = ts.term_frequency(four, "words")
-    idf = ts.idf_weights(tf, ts.count_rows(four))
+    idf = ts.idf_weights(four, "words", ts.count_rows(four))
     a = sorted(tuple(r) for r in ts.tfidf(tf, idf, bounded=True).select("doc_id", "term", "tfidf").collect())
-    b = sorted(tuple(r) for r in ts.tfidf(tf, idf, hot_keys=2, salts=4).select("doc_id", "term", "tfidf").collect())
+    b = sorted(tuple(r) for r in ts.tfidf(tf, idf, hot_keys=2).select("doc_id", "term", "tfidf").collect())
     assert a == b
 
 
-def test_salted_join_hot_key_spread(spark):
+def test_hot_cold_join_equals_join(spark):
     fact = spark.range(3000).select(F.col("id").alias("row"),
                                     F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
                                         F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("key"))
     dim = fact.select("key").distinct().withColumn("v", F.length("key"))
     hot = top_keys(fact.groupBy("key").count(), "key", "count", 1)
-    j = salted_join(fact, dim, "key", hot, ["row"], salts=8)
+    j = hot_cold_join(fact, dim, "key", hot)
     assert j.count() == 3000
+    some = dim.where("key <> 'k7' AND key <> 'hot'")
+    left = hot_cold_join(fact, some, "key", hot, "left")
+    assert left.count() == 3000 and left.where("v IS NULL").count() == fact.count() - fact.join(some, "key").count()
     assert sorted(tuple(r) for r in j.select("row", "v").collect()) == \
         sorted(tuple(r) for r in fact.join(dim, "key").select("row", "v").collect())
 
@@ -116,8 +117,8 @@ def test_naive_bayes_unbounded_path_equals_broadcast(spark):
     docs = spark.createDataFrame([(d, lab) for d, lab, *_ in NB_ROWS], "doc_id long, label double")
     prior, theta = fit_nb(feats, docs, 2)
     test = feats.select("doc_id", "idx", "value")
-    a = sorted(tuple(r) for r in score_nb(test, docs.select("doc_id"), prior, theta).collect())
-    b = sorted(tuple(r) for r in score_nb(test, docs.select("doc_id"), prior, theta, bounded=False).collect())
+    a = sorted(tuple(r) for r in score_nb(test, docs.select("doc_id"), prior, theta, max_features=2).collect())
+    b = sorted(tuple(r) for r in score_nb(test, docs.select("doc_id"), prior, theta).collect())
     assert a == b
 
 
@@ -142,9 +143,8 @@ def test_idf_equals_mllib(spark):
     from pyspark.ml.feature import IDF, CountVectorizerModel
     docs = spark.createDataFrame([(0, ["a", "b", "a"]), (1, ["b", "c"]), (2, []), (3, ["a", "d", "d", ""])],
                                  "doc_id long, words array<string>")
-    tf = ts.term_frequency(docs, "words")
     for min_df in (0, 2):
-        mine = {r.term: r.idf for r in ts.idf_weights(tf, ts.count_rows(docs), min_df).collect()}
+        mine = {r.term: r.idf for r in ts.idf_weights(docs, "words", ts.count_rows(docs), min_df).collect()}
         terms = sorted(mine)
         cv = CountVectorizerModel.from_vocabulary(terms, inputCol="words", outputCol="tf")
         model = IDF(inputCol="tf", outputCol="x", minDocFreq=min_df).fit(cv.transform(docs))

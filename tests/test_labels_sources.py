@@ -43,6 +43,19 @@ def test_csv_quotes_and_newlines(spark):
     assert [(r.doc_id, r.score, r.text) for r in prepared] == [(1, 1.0, "he said hi\nline two")]
 
 
+def test_csv_columns_by_name(spark):
+    import pytest
+    from revlens.sources import labelled_reviews
+    d = tempfile.mkdtemp(prefix="revlens-csv-")
+    with open(os.path.join(d, "r.csv"), "w") as f:
+        f.write('Id,Title,review/score,review/text\n7,t,4.0,"fine, book"\n8,t,9.0,odd\n9,t,,none\n10,t,2.0,\n11,t,bad,x\n12,t,1.0,poor\n')
+    names = {"doc_id": "Id", "score": "review/score", "text": "review/text"}
+    assert sorted(tuple(r) for r in labelled_reviews(spark, d, names).collect()) == [(7, "fine, book", 1.0), (12, "poor", 0.0)]
+    assert labelled_reviews(spark, d).select("label").count() == 2
+    with pytest.raises(ValueError):
+        read_reviews_csv(spark, d)
+
+
 def test_read_lines_one_row_per_line(spark):
     d = tempfile.mkdtemp(prefix="revlens-txt-")
     with open(os.path.join(d, "in.txt"), "w") as f:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from revlens.operators import termstats as ts
 from revlens.operators.prepare import prepare
-from revlens.operators.skew import salted_join, top_keys
+from revlens.operators.skew import hot_cold_join, top_keys
+from revlens.operators.stem import stem_tokens
 from revlens.session import distribute
 from revlens.sources.tables import read_table
 
@@ -41,16 +42,37 @@ def test_token_explode_has_no_inferred_size_filter(spark):
     assert "size(" not in plan
 
 
-def test_salted_join_never_broadcasts_the_dimension(spark):
+def test_hot_cold_join_never_broadcasts_the_dimension(spark):
     fact = spark.range(100).select((F.col("id") % 7).alias("k"), F.col("id").alias("row"))
     dim = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     hot = top_keys(fact.groupBy("k").count(), "k", "count", 2)
-    plan = _plan(salted_join(fact, dim, "k", hot, ["row"], salts=4))
+    plan = _plan(hot_cold_join(fact, dim, "k", hot))
     assert "SortMergeJoin" in plan
 
 
+def _exchanges(df):
+    return _plan(df).count("Exchange hashpartitioning")
+
+
+def test_counts_take_one_exchange_on_unclustered_input(spark):
+    """Arrays spread by nothing that has to do with the document id."""
+    df = spark.range(1000, numPartitions=7).select(
+        F.col("id").alias("doc_id"), F.array(F.lit("a"), (F.col("id") % 9).cast("string")).alias("words")).repartition(5)
+    for counted in (ts.corpus_frequency(df, "words"), ts.document_frequency(df, "words")):
+        assert _exchanges(counted) == 1
+    vocab = ts.vocabulary(df, "words", 4)
+    plan = _plan(ts.vocabulary_counts(df, "words", vocab, ["doc_id"]))
+    # the vocabulary filter (a broadcast join) sits below the exchange of the counts
+    assert plan.index("Exchange hashpartitioning(doc_id") < plan.index("BroadcastHashJoin")
+
+
+def test_stemming_has_no_exchange(spark):
+    df = spark.range(100).select(F.col("id").alias("doc_id"), F.array(F.lit("running")).alias("words"))
+    assert "Exchange" not in _plan(stem_tokens(df, "words", "stems"))
+
+
 def test_vocabulary_join_is_broadcast(spark):
     df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b", "c"])], "doc_id long, words array<string>")
     tf = ts.term_frequency(df, "words")
-    plan = _plan(ts.restrict_to_vocabulary(tf, ts.vocabulary(tf, 2)))
+    plan = _plan(ts.restrict_to_vocabulary(tf, ts.vocabulary(df, "words", 2)))
     assert "BroadcastHashJoin" in plan

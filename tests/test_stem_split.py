@@ -32,7 +32,7 @@ def test_porter2_golden(word):
 def test_stem_tokens_keeps_order_duplicates_and_empties(spark):
     df = spark.createDataFrame([(1, ["running", "ran", "running", ""]), (2, []), (3, None)],
                                "doc_id long, words array<string>")
-    got = {r.doc_id: r.stems for r in stem_tokens(df, "words", "stems", salts=4).collect()}
+    got = {r.doc_id: r.stems for r in stem_tokens(df, "words", "stems").collect()}
     assert got == {1: ["run", "ran", "run", ""], 2: [], 3: None}
 
 
@@ -56,6 +56,20 @@ def test_word2vec_mean_over_all_tokens(spark):
     assert out[1] == [0.0] * 4
 
 
+def test_min_count_bounds_the_vocabulary(spark):
+    from revlens.plans.pipelines import min_count_for
+    df = spark.createDataFrame([(["a"] * 5 + ["b"] * 3 + ["c"] * 3 + ["d"],)], "w array<string>")
+    assert [min_count_for(df, "w", n) for n in (1, 2, 3, 4, 9)] == [4, 4, 2, 0, 0]
+
+
+def test_scoring_null_text_and_odd_column_names(spark):
+    from pyspark.ml import PipelineModel
+    from revlens.plans.pipelines import prepare_stages
+    df = spark.createDataFrame([(1, "Good Books"), (2, None)], "doc_id long, `review/text` string")
+    out = PipelineModel(stages=prepare_stages("review/text")).transform(df)
+    assert {r.doc_id: r.words for r in out.collect()} == {1: ["good", "books"], 2: [""]}
+
+
 def test_score_rejects_unknown_classifier_before_running(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     with pytest.raises(ValueError):

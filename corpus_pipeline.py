@@ -36,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
     found = near_duplicates(docs, shingle_words=5, percent=80)
-    return _keep(docs, written(found, "pipeline-dedup"), "kept").dropDuplicates(["doc_id"])
+    return _keep(docs, written(found, "pipeline-dedup"), "kept").dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

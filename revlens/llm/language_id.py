@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.llm.shuffle_tools import join_weighted, written
@@ -107,10 +107,17 @@ class TextModel:
 def fit(rows: DataFrame) -> TextModel:
     """Model from rows ``text, declared``: the ``SAMPLE`` first texts per language in a hash order."""
     labelled = rows.where(F.col("declared").isNotNull() & (F.length("text") >= 1) & (F.length("text") <= SAMPLE_CHARS))
-    names = [r["declared"] for r in labelled.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect()]
-    texts = {n: [r["text"] for r in labelled.where(F.col("declared") == n).orderBy(F.xxhash64("text"), "text").limit(SAMPLE).select("text").collect()]
-             for n in sorted(names)}
-    return TextModel(texts)
+    names = labelled.groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES)
+    # one scan: about 4 SAMPLE texts of each language by the size of their hash, then the first SAMPLE of those
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    some = labelled.join(F.broadcast(names), "declared").where(place * F.col("n") <= 4 * SAMPLE) \
+        .select("declared", "text", place.alias("place")).distinct()
+    first = Window.partitionBy("declared").orderBy("place", "text")
+    picked = some.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE).select("declared", "text").collect()
+    texts: dict[str, list[str]] = {}
+    for r in picked:
+        texts.setdefault(r["declared"], []).append(r["text"])
+    return TextModel({n: sorted(t) for n, t in texts.items()})
 
 
 def _levels(rows: DataFrame, n: int) -> DataFrame:

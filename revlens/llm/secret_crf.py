@@ -349,10 +349,12 @@ def secret_report(docs: DataFrame, model=None) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` for every row of ``docs``."""
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     found = find_secrets(docs, model)
-    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     base = F.filter("spans", lambda s: s["kind"] != "crf")
-    return found.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 def blank_out(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]") -> str:

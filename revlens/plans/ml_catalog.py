@@ -255,7 +255,7 @@ def q_score_and_write(spark, sf_dir):
     without a text) with the chosen classifier, write, read back, compare with a direct transform."""
     train, _ = _split_labelled(spark, sf_dir)
     st, col = tfidf_stages()
-    fp = fit_text_pipeline(train, st, col, ("nb", "lr", "svm"))
+    fp = fit_text_pipeline(train, st, col, ("lr",))
     turns = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"]) \
         .withColumn("text", F.when(F.col("turn") % 7 != 3, F.col("text")))
     path = scratch_path(spark, "predictions")
@@ -273,7 +273,7 @@ def q_stream_score(spark, sf_dir):
     from revlens.streaming import score_files
     train, _ = _split_labelled(spark, sf_dir)
     st, col = tfidf_stages()
-    fp = fit_text_pipeline(train, st, col, ("nb", "lr"))
+    fp = fit_text_pipeline(train, st, col, ("nb",))
     schema = read_table(spark, sf_dir, "conversations").schema
     sink = score_files(spark, sf_dir, schema, fp, "nb", ["conv_id", "turn"],
                        scratch_path(spark, "stream-predictions"), scratch_path(spark, "stream-checkpoint"),

@@ -44,11 +44,12 @@ def join_weighted(big: DataFrame, dim: DataFrame, keys: list[str], weight: str,
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b): equal roots, same component.
 
-    Rounds of contraction: each node moves to the neighbour (or itself) whose
-    round-specific hash is smallest, edges are relabelled, and loops and
-    repeats go.  The hash order makes the expected number of rounds
-    logarithmic also for long chains.  Every round is written to the shared
-    folder; only the number of edges left comes to the driver.
+    Rounds of contraction: each node moves to the neighbour (or itself) that
+    is first in the round's order, edges are relabelled, and loops and repeats
+    go.  Even rounds order by node, which settles stars around their smallest
+    node at once; odd rounds by a hash that changes, which halves long chains
+    on average.  Every round is written to the shared folder; only whether
+    edges are left comes to the driver.
     """
     spark = edges.sparkSession
     left = written(edges.where("a <> b").select("a", "b").distinct(), "cc-edges")
@@ -59,10 +60,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return labels
         both = left.union(left.select("b", "a"))
         # a node's own entry lets it stay where it is
-        near = both.groupBy(F.col("a").alias("node")).agg(
-            F.min(F.struct(F.xxhash64("b", F.lit(step)).alias("h"), F.col("b").alias("to"))).alias("m"),
-            F.count("*").alias("w"))
-        own = F.struct(F.xxhash64("node", F.lit(step)).alias("h"), F.col("node").alias("to"))
+
+        def place(node):
+            order = F.col(node).cast("long") if step % 2 == 0 else F.xxhash64(node, F.lit(step))
+            return F.struct(order.alias("h"), F.col(node).alias("to"))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("m"), F.count("*").alias("w"))
+        own = place("node")
         moves = written(near.select("node", F.least("m", own)["to"].alias("to"), "w"), "cc-moves")
         first = join_weighted(left, moves.withColumnRenamed("node", "a"), ["a"], "w", "inner") \
             .select(F.col("to").alias("a"), "b")

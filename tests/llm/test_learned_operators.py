@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 import corpus_pipeline  # noqa: E402
 from revlens.llm import language_id, rp_forest, secret_crf  # noqa: E402
+from revlens.llm.queries import op6_rp_forest  # noqa: E402
 from revlens.llm.shuffle_tools import connected_components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -148,6 +149,37 @@ def test_nearest_recall(spark):
     assert hit / (10 * len(found)) >= 0.9
 
 
+@pytest.mark.parametrize("n", [20_000, 120_000])
+def test_registered_recall(spark, tmp_path, n):
+    """Recall of the registered query with its own parameters on vectors without structure, at two sizes."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    x = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32)
+    at = pa.array(np.arange(0, n * 64 + 1, 64, dtype=np.int32))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.ListArray.from_arrays(at, pa.array(x.ravel()))}),
+                   tmp_path / "embeddings.parquet", row_group_size=n // 8)
+    found = op6_rp_forest(spark, str(tmp_path)).toPandas().groupby("query_id").vec_id.apply(set)
+    assert len(found) == n // 100
+    hit, some = 0, list(found.index)[::max(1, len(found) // 150)]
+    for q in some:
+        away = ((x - x[q]) ** 2).sum(1)
+        away[q] = np.inf
+        hit += len(found[q] & set(np.argpartition(away, 10)[:10].tolist()))
+    print(f"recall at {n}: {hit / (10 * len(some)):.3f}")
+    assert hit / (10 * len(some)) >= 0.9
+
+
+def test_near_covers_ties_and_extremes():
+    """The places kept for exact ranking hold the nearest by exact distance."""
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=(300, 8)), rng.integers(0, 2, (300, 8)).astype(float), 1e6 + rng.normal(size=(300, 8)),
+              rng.normal(size=(300, 8)) * 1e200, rng.normal(size=(300, 8)) * 1e-200):
+        with np.errstate(over="ignore"):
+            for i, some in enumerate(rp_forest._near(x, x[:20], 11)):
+                away = np.sqrt(((x - x[i]) ** 2).sum(1))
+                assert set(np.argsort(away, kind="stable")[:11]) <= set(some.tolist())
+
+
 # --- language ----------------------------------------------------------------------
 
 def test_language_accuracy(spark):

@@ -107,10 +107,12 @@ class TextModel:
 def fit(rows: DataFrame) -> TextModel:
     """Model from rows ``text, declared``: the ``SAMPLE`` first texts per language in a hash order."""
     labelled = rows.where(F.col("declared").isNotNull() & (F.length("text") >= 1) & (F.length("text") <= SAMPLE_CHARS))
-    names = labelled.groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES)
-    # one scan: about 4 SAMPLE texts of each language by the size of their hash, then the first SAMPLE of those
+    # n counts rows and orders the languages; kinds counts different texts, of which the threshold takes a share
+    names = labelled.groupBy("declared", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n")) \
+        .groupBy("declared").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES)
+    # one scan: about 4 SAMPLE different texts of each language by the size of their hash, then the first SAMPLE of those
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    some = labelled.join(F.broadcast(names), "declared").where(place * F.col("n") <= 4 * SAMPLE) \
+    some = labelled.join(F.broadcast(names), "declared").where(place * F.col("kinds") <= 4 * SAMPLE) \
         .select("declared", "text", place.alias("place")).distinct()
     first = Window.partitionBy("declared").orderBy("place", "text")
     picked = some.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE).select("declared", "text").collect()

@@ -330,7 +330,7 @@ def fit(docs: DataFrame, sample: int = TRAIN_DOCS):
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     picked = []
     for part in (may, text):
-        n = part.count()
+        n = part.select(F.xxhash64("text")).distinct().count()  # different texts: copies take no place in the sample
         few = part.withColumn("place", place).where(F.col("place") * F.lit(n) <= 2 * sample).distinct()
         picked += [r["text"] for r in few.orderBy("place", "text").limit(sample // 2).collect()]
     return train(picked)

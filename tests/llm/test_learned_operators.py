@@ -212,6 +212,24 @@ def test_language_cases(spark):
     assert language_id.identify_documents(all_docs.limit(0)).count() == 0
 
 
+def _late_texts(spark, texts, least, n):
+    """The first ``n`` of ``texts`` whose place in the hash order is above ``least``."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return [r["text"] for r in df.where(place > least).orderBy("i").limit(n).collect()]
+
+
+def test_samples_of_copied_texts(spark, monkeypatch):
+    """A language, or a corpus, of thousands of copies of few texts still gives all its texts to the sample."""
+    late = _late_texts(spark, [f"kolme pientä sanaa numero {i}" for i in range(60)], 0.7, 5)
+    rows = [(late[i % 2], "fi") for i in range(5000)] + [(f"some words of number {i}", "en") for i in range(20)]
+    assert language_id.fit(spark.createDataFrame(rows, "text string, declared string")).languages == ["en", "fi"]
+    seen = []
+    monkeypatch.setattr(secret_crf, "train", lambda texts: seen.append(texts))
+    secret_crf.fit(spark.createDataFrame([(late[i % 5],) for i in range(5000)], "text string"))
+    assert set(seen[0]) == set(late)
+
+
 def test_markup(spark):
     df = spark.createDataFrame([('<!DOCTYPE html><HTML class=a LANG="De-AT"><body><script>var x="</p>"</script><p>Hallo</p><!-- no --></body>',), ("<p>x",), (None,)], "h string")
     rows = df.select(language_id.markup_language(F.col("h")), F.trim(language_id.markup_text(F.col("h")))).collect()

@@ -1,8 +1,9 @@
 """Language identification by Bayesian fusion of text, markup, address and host evidence.
 
 1. *Text.*  A naive Bayes model of hashed byte trigrams gives the log-likelihood
-   of every text in every language.  It is fitted on a bounded sample of rows
-   with a declared language (``SAMPLE`` per language).  Neighbouring trigrams
+   of every text in every declared language.  It is fitted on a bounded sample of rows
+   with a declared language (``SAMPLE`` per language).  Declared tags count by
+   their primary subtag (``en-GB`` is ``en``).  Neighbouring trigrams
    aren't independent, so the evidence is tempered: its weight stops growing
    after ``TEXT_GRAMS`` trigrams.
 2. *Declared language* (markup) and *address suffix*: likelihood tables
@@ -36,10 +37,8 @@ from revlens.llm.shuffle_tools import join_weighted, written
 from revlens.llm.text_kernel import LOWER, row_slices, text_bytes
 
 SAMPLE = 400
-#: Characters of a sampled text, at most (longer ones are not drawn).
+#: Characters of a sampled text, at most.  Longer texts fill the sample, by their beginning, where shorter ones don't.
 SAMPLE_CHARS = 20_000
-#: Languages told apart, at most: the most frequent declared ones.
-MAX_LANGUAGES = 64
 BUCKETS = 1 << 15
 TEXT_GRAMS = 200.0
 #: Pseudo-counts that a level of the host prior gets from the level above.
@@ -70,12 +69,13 @@ class TextModel:
                 counts[i] += np.bincount(_grams(np.frombuffer(t.encode(), np.uint8)), minlength=BUCKETS)
         smooth = counts + 0.05 * (counts.sum(0) + 1) / (counts.sum() + BUCKETS) * BUCKETS
         self.table = np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32)
-        best = [float(self._means(t).max()) for name in self.languages for t in texts[name] if len(t) >= 200]
+        by_gram = np.ascontiguousarray(self.table.T)
+        best = [float(self._means(t, by_gram).max()) for name in self.languages for t in texts[name] if len(t) >= 200]
         self.usual, self.spread = (float(np.mean(best)), float(np.std(best)) + 0.05) if best else (0.0, 1e9)
 
-    def _means(self, text: str) -> np.ndarray:
-        g = _grams(np.frombuffer(text.encode(), np.uint8))
-        return self.table[:, g].mean(1) if len(g) else np.full(len(self.languages), -1e9)
+    def _means(self, text: str, by_gram: np.ndarray) -> np.ndarray:
+        g, times = np.unique(_grams(np.frombuffer(text.encode(), np.uint8)), return_counts=True)
+        return times @ by_gram[g].astype(np.float64) / times.sum() if len(g) else np.full(len(self.languages), -1e9)
 
     def score(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Summed log-likelihood per row and language, trigrams that hold a letter, and letters (bytes) per row."""
@@ -104,17 +104,27 @@ class TextModel:
         return sums, grams, letters
 
 
+def primary_language(tag: Column) -> Column:
+    """Lower-case primary subtag of a declared language; a tag that begins with a single letter (``x-``, ``i-``) stays whole."""
+    whole = F.replace(F.lower(F.trim(tag)), F.lit("_"), F.lit("-"))
+    first = F.split_part(whole, F.lit("-"), F.lit(1))
+    return F.nullif(F.when(F.length(first) >= 2, first).otherwise(whole), F.lit(""))
+
+
 def fit(rows: DataFrame) -> TextModel:
-    """Model from rows ``text, declared``: the ``SAMPLE`` first texts per language in a hash order."""
-    labelled = rows.where(F.col("declared").isNotNull() & (F.length("text") >= 1) & (F.length("text") <= SAMPLE_CHARS))
-    # n counts rows and orders the languages; kinds counts different texts, of which the threshold takes a share
-    names = labelled.groupBy("declared", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n")) \
-        .groupBy("declared").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).orderBy(F.desc("n"), "declared").limit(MAX_LANGUAGES)
+    """Model from rows ``text, declared``: of every declared language the ``SAMPLE`` first texts in a hash order, long ones last."""
+    labelled = rows.select("text", primary_language(F.col("declared")).alias("declared")) \
+        .where(F.col("declared").isNotNull() & (F.length("text") >= 1)) \
+        .select("declared", "text", F.xxhash64("text").alias("h"), (F.length("text") > SAMPLE_CHARS).alias("long"))
+    # different texts, of which the threshold takes a share
+    names = labelled.groupBy("declared", "h", "long").agg(F.lit(1).alias("one")) \
+        .groupBy("declared").agg(F.count_if(~F.col("long")).alias("short_kinds"), F.count_if("long").alias("long_kinds"))
+    kinds = F.when(~F.col("long"), F.col("short_kinds")).when(F.col("short_kinds") < SAMPLE, F.col("long_kinds"))
     # one scan: about 4 SAMPLE different texts of each language by the size of their hash, then the first SAMPLE of those
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    some = labelled.join(F.broadcast(names), "declared").where(place * F.col("kinds") <= 4 * SAMPLE) \
-        .select("declared", "text", place.alias("place")).distinct()
-    first = Window.partitionBy("declared").orderBy("place", "text")
+    place = F.pmod("h", F.lit(1 << 40)) / F.lit(float(1 << 40))
+    some = labelled.join(F.broadcast(names), "declared").where(place * kinds <= 4 * SAMPLE) \
+        .select("declared", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "long", place.alias("place")).distinct()
+    first = Window.partitionBy("declared").orderBy("long", "place", "text")
     picked = some.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE).select("declared", "text").collect()
     texts: dict[str, list[str]] = {}
     for r in picked:
@@ -125,16 +135,16 @@ def fit(rows: DataFrame) -> TextModel:
 def _levels(rows: DataFrame, n: int) -> DataFrame:
     """Smoothed language shares of each host: corpus, suffix, domain, host."""
     sums = [F.sum(F.col("share")[i]).alias(f"s{i}") for i in range(n)]
-    hosts = written(rows.groupBy("host", "domain", "suffix").agg(F.count("*").alias("w"), *sums), "lang-hosts")
+    hosts = rows.groupBy("host", "domain", "suffix").agg(F.count("*").alias("w"), *sums)
+    # the total is held as a column, so that expressions don't grow with the square of the number of languages
+    hosts = written(hosts.withColumn("total", sum(F.col(f"s{i}") for i in range(n))), "lang-hosts")
 
     def smoothed(df):
-        total = F.col("total") if "total" in df.columns else sum(F.col(f"s{i}") for i in range(n))
-        mixed = [(F.col(f"s{i}") + PRIOR_STRENGTH * F.col("above")[i]) / (total + PRIOR_STRENGTH) for i in range(n)]
+        mixed = [(F.col(f"s{i}") + PRIOR_STRENGTH * F.col("above")[i]) / (F.col("total") + PRIOR_STRENGTH) for i in range(n)]
         return F.array(*mixed)
-    up = [F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]
+    up = [F.sum(c).alias(c) for c in (*[f"s{i}" for i in range(n)], "total")]
     corpus = hosts.agg(*up)
-    whole = sum(F.col(f"s{i}") for i in range(n))
-    corpus = corpus.select(F.array(*[(F.coalesce(f"s{i}", F.lit(0.0)) + 1) / (F.coalesce(whole, F.lit(0.0)) + n) for i in range(n)]).alias("above"))
+    corpus = corpus.select(F.array(*[(F.coalesce(f"s{i}", F.lit(0.0)) + 1) / (F.coalesce("total", F.lit(0.0)) + n) for i in range(n)]).alias("above"))
     suffix = hosts.groupBy("suffix").agg(F.count("*").alias("w"), *up).join(F.broadcast(corpus))
     suffix = written(suffix.select("suffix", "w", smoothed(suffix).alias("above")), "lang-suffixes")
     domain = join_weighted(hosts.groupBy("domain", "suffix").agg(F.count("*").alias("hosts"), *up), suffix, ["suffix"], "w", "inner").drop("w")
@@ -159,7 +169,8 @@ def identify(rows: DataFrame, model: TextModel | None = None) -> DataFrame:
     ``key`` may be of any type; ``language`` is NULL where nothing is known.
     """
     spark = rows.sparkSession
-    rows = rows.select("key", *[F.col(c).cast("string").alias(c) for c in ("text", "declared", "suffix", "domain", "host")])
+    rows = rows.select("key", *[F.col(c).cast("string").alias(c) for c in ("text", "declared", "suffix", "domain", "host")]) \
+        .withColumn("declared", primary_language(F.col("declared")))
     model = model or fit(rows)
     n = len(model.languages)
     if not n:

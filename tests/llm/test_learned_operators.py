@@ -219,6 +219,24 @@ def _late_texts(spark, texts, least, n):
     return [r["text"] for r in df.where(place > least).orderBy("i").limit(n).collect()]
 
 
+def test_every_declared_language(spark):
+    """More than 64 languages, tags with subtags, and a language with long texts only."""
+    rng = np.random.default_rng(8)
+    rows, names = [], [a + b for a in "abcdefgh" for b in "klmnopqrs"]
+    for name in names:
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(30)]
+        tags = [name, name.upper() + "-" + name.upper(), f" {name}_x"]
+        for k in range(6):
+            text = " ".join(rng.choice(words, 4000 if name == "ak" else 80))
+            rows.append((len(rows), text, None if k == 5 else tags[k % 3], "s"))
+    assert min(len(t) for _, t, tag, _ in rows if tag == "ak") > language_id.SAMPLE_CHARS and len(names) == 72
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    found = {r["key"]: (r["language"], r["accepted"]) for r in language_id.identify_documents(docs).collect()}
+    assert found == {i: (names[i // 6], True) for i in range(len(rows))}
+    tags = spark.createDataFrame([("zh-Hant-TW",), ("X-Elvish",), ("",), (None,)], "t string")
+    assert [r[0] for r in tags.select(language_id.primary_language(F.col("t"))).collect()] == ["zh", "x-elvish", None, None]
+
+
 def test_samples_of_copied_texts(spark, monkeypatch):
     """A language, or a corpus, of thousands of copies of few texts still gives all its texts to the sample."""
     late = _late_texts(spark, [f"kolme pientä sanaa numero {i}" for i in range(60)], 0.7, 5)

@@ -32,7 +32,9 @@ NOT_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fixed values of the contract: base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label: (keyword, expression for the name, SPDX identifiers as words).
+#: label: (keyword, expression for the name, SPDX identifiers as words).  Every match of the name holds a word that
+#: starts with the keyword; where no word is common to all forms of a name, a further form has an entry with "-name",
+#: None where it adds no identifier.
 LICENSES = {
     "agpl": ("affero", r"(?:gnu )?affero general public", r"agpl(?: \d)*(?: only| or later)?"),
     "apache": ("apache", r"apache(?: software)?", r"apache(?: \d)*"),
@@ -43,9 +45,10 @@ LICENSES = {
     "busl": ("business", r"business source", r"busl 1 1"),
     "cc0": ("cc0", r"(?:creative commons )?cc0(?: universal)?", r"cc0 1 0"),
     "cc-by": ("attribution", r"(?:creative commons |cc )attribution", r"cc by \d \d"),
-    "cc-by-sa": ("sharealike", r"(?:creative commons |cc )?attribution share ?alike", r"cc by sa \d \d"),
-    "cc-by-nc": ("noncommercial", r"(?:creative commons |cc )?attribution non ?commercial", r"cc by nc(?: sa| nd)? \d \d"),
-    "cddl": ("cddl", r"(?:common development and distribution|cddl)", r"cddl 1 \d"),
+    "cc-by-sa": ("attribution", r"(?:creative commons |cc )?attribution share ?alike", r"cc by sa \d \d"),
+    "cc-by-nc": ("attribution", r"(?:creative commons |cc )?attribution non ?commercial", r"cc by nc(?: sa| nd)? \d \d"),
+    "cddl": ("cddl", r"cddl", r"cddl 1 \d"),
+    "cddl-name": ("common development", r"common development and distribution", None),
     "cecill": ("cecill", r"cecill(?: [abc])?", r"cecill(?: [abc\d])*"),
     "cpl": ("common public", r"common public", r"cpl 1 0"),
     "ecl": ("educational", r"educational community", r"ecl \d 0"),
@@ -56,7 +59,8 @@ LICENSES = {
     "gpl-name": ("gnu", r"gnu general public", r"gnu gpl"),
     "ipa": ("ipa", r"ipa font", r"ipa"),
     "isc": ("isc", r"isc", r"isc"),
-    "lgpl": ("lesser", r"(?:gnu )?(?:lesser|library) general public", r"lgpl(?: \d)*(?: only| or later)?"),
+    "lgpl": ("lesser", r"(?:gnu )?lesser general public", r"lgpl(?: \d)*(?: only| or later)?"),
+    "lgpl-name": ("library", r"(?:gnu )?library general public", None),
     "lppl": ("latex", r"latex project public", r"lppl 1 \d c?"),
     "mit": ("mit", r"(?:expat )?mit(?: expat)?", r"mit(?: 0)?"),
     "mpl": ("mozilla", r"mozilla public", r"mpl \d \d"),
@@ -78,7 +82,8 @@ LICENSES = {
     "upl": ("universal permissive", r"universal permissive", r"upl 1 0"),
     "vim": ("vim", r"vim", r"vim"),
     "w3c": ("w3c", r"w3c(?: software)?", r"w3c"),
-    "wtfpl": ("wtfpl", r"(?:wtfpl|do what the fuck you want to public)", r"wtfpl"),
+    "wtfpl": ("wtfpl", r"wtfpl", r"wtfpl"),
+    "wtfpl-name": ("do what the", r"do what the fuck you want to public", None),
     "x11": ("x11", r"x11", r"x11"),
     "zlib": ("zlib", r"zlib(?: libpng)?", r"zlib"),
     "zpl": ("zope", r"zope public", r"zpl \d \d"),
@@ -132,6 +137,8 @@ def rules() -> list[Rule]:
     out += [Rule(f"text:{label}:{k}", label, keyword, pattern, 1, 1.0) for k, (label, keyword, pattern) in enumerate(SENTENCES)]
     for label, (keyword, name, ident) in LICENSES.items():
         for k, (template, priority, score) in enumerate(TEMPLATES):
+            if ident is None and "{i}" in template:
+                continue
             pattern = template.replace("{n}", f"(?:{name})").replace("{i}", f"(?:{ident})")
             # an identifier need not hold the name's keyword
             out.append(Rule(f"{label}:{k}", label.removesuffix("-name"), "spdx" if "spdx" in template else keyword, pattern, priority, score))

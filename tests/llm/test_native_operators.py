@@ -155,3 +155,53 @@ def test_licenses(spark):
     labels = {r.doc_id: r.labels for r in license_rules.license_report(df.where("doc_id < 100")).collect()}
     assert labels[5] == "gpl,lgpl" or "lgpl" in labels[5]
     assert labels[7] == "gpl" and labels[12] == "mit" and "isc" in labels[13]
+
+
+def forms(pattern, rng):
+    """One string that ``pattern`` matches, branches and counts drawn at random."""
+    from re import _parser
+
+    def draw(items):
+        out = ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                out += "1" if str(arg[0][0]) == "CATEGORY" else chr(rng.choice(arg)[1])
+            elif name == "SUBPATTERN":
+                out += draw(arg[-1])
+            elif name == "BRANCH":
+                out += draw(rng.choice(arg[1]))
+            elif name == "MAX_REPEAT":
+                out += "".join(draw(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], 2))))
+            else:
+                raise AssertionError(name)
+        return out
+    return draw(_parser.parse(pattern))
+
+
+def test_gates_are_implied():
+    """Every text that a rule matches opens the rule's keyword and the first gate."""
+    import random
+    rng = random.Random(3)
+    table = license_rules.rules()
+    gates = {"licen" if "licen" in r.pattern else r.keyword for r in table}
+    for r in table:
+        for _ in range(100):
+            text = " " + forms(r.pattern, rng) + " "
+            assert re.search(f"(?<= )(?:{r.pattern})(?= )", text) and " " + r.keyword in text and any(g in text for g in gates), (r.name, text)
+
+
+def test_licenses_spelled_out(spark):
+    """Against all rules run without their keywords; names that share no word with their short forms."""
+    from dataclasses import replace
+    want = {"Under the GNU Library General Public License, version 2": "gpl,lgpl", "GNU Lesser General Public License": "gpl,lgpl",
+            "the Common Development and Distribution License": "cddl", "CDDL license": "cddl", "Creative Commons Attribution Share Alike License": "cc-by-sa",
+            "attribution non commercial license": "cc-by-nc", "Do What The Fuck You Want To Public License": "wtfpl", "WTFPL license": "wtfpl",
+            "SPDX-License-Identifier: CDDL-1.0": "cddl", "Licensed under the Creative Commons Attribution-ShareAlike license": "cc-by-sa"}
+    docs = list(enumerate([*want, *TEXTS])) + [(1000 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    ungated = [replace(r, keyword="") for r in license_rules.rules()]
+    got = rows(license_rules.license_report(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)))
+    assert got == sorted((license_row(d, t, ungated) for d, t in docs), key=str)
+    assert [r[6] for r in sorted((r for r in got if r[0] < len(want)), key=lambda r: r[0])] == list(want.values())

@@ -10,7 +10,8 @@ Viterbi over all lines of an Arrow batch at a time.
 
 The field is trained here, by maximum likelihood on the driver, on a bounded
 sample (``TRAIN_DOCS`` documents of at most ``TRAIN_CHARS`` characters) whose tokens the fixed patterns label.  The
-patterns' spans always stay; the field adds spans apart from them.
+patterns' spans always stay; the field adds every span that they don't cover
+whole.
 
 Defined results: NULL texts are empty; empty texts have no spans; rows that
 repeat a doc_id are scanned one by one; extra columns are carried by
@@ -277,8 +278,17 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.15, decay: flo
     return weights, step
 
 
+def _covered(a: int, b: int, spans: list[tuple[str, int, int]]) -> bool:
+    """Whether ``spans`` together hold all of a..b."""
+    for _, x, y in sorted(spans, key=lambda s: s[1]):
+        if x > a:
+            break
+        a = max(a, y)
+    return a >= b
+
+
 def _crf_spans(texts, tokens: Tokens, byte_offsets, model, taken):
-    """Spans of the field per text, apart from the spans in ``taken``."""
+    """Spans of the field per text that hold a character outside the spans in ``taken``."""
     weights, step = model
     emit = tokens.emissions(weights)
     tags = viterbi(emit, step, tokens.fresh)
@@ -296,7 +306,7 @@ def _crf_spans(texts, tokens: Tokens, byte_offsets, model, taken):
             raw = texts[r].encode()
             a = len(raw[:tokens.start[lo] - byte_offsets[r]].decode())
             b = a + len(raw[tokens.start[lo] - byte_offsets[r]:tokens.end[hi] - byte_offsets[r]].decode())
-            if all(b <= x or a >= y for _, x, y in taken[r]):
+            if not _covered(a, b, taken[r]):
                 out[r].append(("crf", a, b))
         i = j + 1
     return out

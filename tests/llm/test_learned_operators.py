@@ -112,6 +112,27 @@ def test_field_learns_and_adds(spark):
     assert not base or extra == []
 
 
+def test_field_span_beyond_a_base_span(spark, monkeypatch):
+    """The rest of a secret that a base span covers in part is found and blanked out; whole covers add nothing."""
+    import pyarrow as pa
+
+    def tagged(emit, step, fresh):
+        return np.array(held[:len(fresh)], np.int8)
+    monkeypatch.setattr(secret_crf, "viterbi", tagged)
+    model = (np.zeros((secret_crf.WEIGHTS, 3), np.float32), np.zeros((3, 3), np.float32))
+    model[0][:, secret_crf.BEGIN:] = 1.0
+    text, held = 'é password="abcdef!ghijkl" end', [0, 1, 0]
+    (base, extra), = secret_crf.scan(pa.array([text]), model)
+    assert base == [("assign", 2, 18)] and extra == [("crf", 2, 26)]
+    assert secret_crf.blank_out(text, base + extra) == "é [SECRET] end"
+    text, held = "token=abcdef second end", [1, 2, 0]
+    (base, extra), = secret_crf.scan(pa.array([text]), model)
+    assert base == [("assign", 0, 12)] and secret_crf.blank_out(text, base + extra) == "[SECRET] end"
+    held = [1, 0, 0]
+    assert secret_crf.scan(pa.array([text]), model)[0][1] == []
+    assert secret_crf._covered(2, 9, [("x", 5, 9), ("x", 0, 5)]) and not secret_crf._covered(2, 9, [("x", 0, 5), ("x", 6, 9)])
+
+
 # --- nearest neighbours ----------------------------------------------------------
 
 def test_nearest_is_exact_on_small_input(spark):

@@ -17,32 +17,46 @@ from revlens.llm.minhash import near_duplicates
 from revlens.llm.packing import pack_documents
 from revlens.llm.queries import tokenizer_file
 from revlens.llm.secret_crf import redact
-from revlens.llm.shuffle_tools import written
+from revlens.llm.shuffle_tools import row_key, written
 from revlens.sources.tables import read_table
 
 
-def _keep(docs: DataFrame, decisions: DataFrame, keep: str) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is kept; equal ids share the decision of any of their rows."""
-    wanted = decisions.where(keep).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(wanted, F.expr("doc_id <=> kept_id"), "left_semi")
+#: What the language decision depends on; the other stages decide by id and text.
+LANGUAGE_COLUMNS = ("doc_id", "text", "lang", "source")
+
+
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` with the row key of ``columns`` as its doc_id: ids may be NULL or repeat with different texts."""
+    return docs.withColumn("doc_id", row_key(*columns))
+
+
+def _keep(docs: DataFrame, kept: DataFrame, *columns: str) -> DataFrame:
+    """Rows of ``docs`` whose row key of ``columns`` is a doc_id of ``kept``."""
+    wanted = kept.select(F.col("doc_id").alias("kept_key")).distinct()
+    return docs.join(wanted, row_key(*columns) == F.col("kept_key"), "left_semi")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is known well enough."""
-    found = identify_documents(docs).withColumnRenamed("key", "doc_id")
-    return _keep(docs, written(found, "pipeline-language"), "accepted")
+    found = identify_documents(_keyed(docs, *LANGUAGE_COLUMNS)).withColumnRenamed("key", "doc_id")
+    return _keep(docs, written(found, "pipeline-language").where("accepted"), *LANGUAGE_COLUMNS)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
-    found = near_duplicates(docs, shingle_words=5, percent=80)
-    return _keep(docs, written(found, "pipeline-dedup"), "kept").dropDuplicates(["doc_id", "text"])
+    """One document of each near-duplicate group, that of the smallest id: five-word shingles, similarity 0.8 or more."""
+    found = written(near_duplicates(_keyed(docs, "doc_id", "text"), shingle_words=5, percent=80), "pipeline-dedup")
+    ids = docs.select(row_key("doc_id", "text").alias("key"), F.col("doc_id").alias("id")).distinct()
+    # in the order of ids, NULL last; rows that share the smallest id, by key
+    place = F.struct(F.col("id").isNull().alias("none"), "id", F.col("key").alias("doc_id"))
+    first = found.select(F.col("doc_id").alias("key"), "component_id").distinct().join(ids, "key") \
+        .groupBy("component_id").agg(F.min(place).alias("first")).select("first.doc_id")
+    return _keep(docs, first, "doc_id", "text").dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by a benchmark item (13-word windows, one word in twenty)."""
-    found = decontaminate(docs, read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
-    return _keep(docs, written(found, "pipeline-decontamination"), "NOT contaminated")
+    found = decontaminate(_keyed(docs, "doc_id", "text"), read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    return _keep(docs, written(found, "pipeline-decontamination").where("NOT contaminated"), "doc_id", "text")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

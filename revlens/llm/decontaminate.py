@@ -20,7 +20,7 @@ corpus.  A benchmark of any size gives right results; it only fills the bitmap.
 
 Defined results: NULL or wordless texts and items have no words and match
 nothing; repeated item ids count once per document; rows that repeat a doc_id
-keep one row each and share their hits; extra columns are ignored.
+are judged one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.shuffle_tools import written
+from revlens.llm.shuffle_tools import row_key, written
 from revlens.llm.text_kernel import ALNUM, as_long, row_slices, shingle_hashes, text_bytes, words_of
 
 WINDOW = 13
@@ -101,15 +101,15 @@ def _count(sizes, bitmap):
 
 def _contexts(sizes, bitmap, window: int):
     """One row per document (n_words) and one per occurrence (shingle, its first word, the words around it)."""
-    names = ["doc_id", "n_words", "shingle", "pos", "left", "context"]
+    names = ["key", "doc_id", "n_words", "shingle", "pos", "left", "context"]
 
     def run(batches):
         for batch in batches:
             for lo, hi, w in _words(batch.column(1)):
-                ids = batch.column(0).slice(lo, hi - lo)
+                keys, ids = (batch.column(i).slice(lo, hi - lo) for i in (2, 0))
                 none = pa.nulls(hi - lo, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(w.counts), none, none, none, pa.nulls(hi - lo, pa.string())], names=names)
+                    [keys, ids, pa.array(w.counts), none, none, none, pa.nulls(hi - lo, pa.string())], names=names)
                 for k, h, at in _hits(w, sizes, bitmap.value):
                     if not len(at):
                         continue
@@ -117,7 +117,7 @@ def _contexts(sizes, bitmap, window: int):
                     a = np.maximum(w.first[row], at - window + 1)
                     b = np.minimum(w.first[row + 1], at + window)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(row)), pa.nulls(len(at), pa.int64()), pa.array(h), pa.array(at - w.first[row]),
+                        [keys.take(pa.array(row)), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(h), pa.array(at - w.first[row]),
                          pa.array(at - a), pa.array([w.text(x, y) for x, y in zip(a.tolist(), b.tolist())])], names=names)
     return run
 
@@ -130,7 +130,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     when hit words are at least one in ``share`` of its words.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
+        .withColumn("key", row_key("doc_id", "text"))
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     windows = written(items.mapInArrow(_windows(window, shingle), "item_id string, win string, size int, shingles array<long>")
                       .dropDuplicates(["item_id", "win"]), "decon-windows")
@@ -145,29 +146,28 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     prefix = written(ranked.where("rarest.n > 0").select("win", "size", "rarest.shingle", "rarest.place"), "decon-prefix")
 
     found = written(docs.mapInArrow(_contexts(sizes, _bitmap(spark, prefix), window),
-                                    "doc_id long, n_words long, shingle long, pos long, left long, context string"), "decon-found")
+                                    "key long, doc_id long, n_words long, shingle long, pos long, left long, context string"), "decon-found")
     words = F.split("context", " ")
     placed = (found.where("shingle IS NOT NULL").join(prefix, "shingle")
               .where((F.col("left") >= F.col("place")) & (F.size(words) >= F.col("left") - F.col("place") + F.col("size")))
               .where(F.slice(words, (F.col("left") - F.col("place") + 1).cast("int"), F.col("size")) == F.split("win", " "))
-              .select("doc_id", "win", "size", (F.col("pos") - F.col("place")).alias("start")))
+              .select("key", "win", "size", (F.col("pos") - F.col("place")).alias("start")))
     placed = written(placed.distinct(), "decon-placed")
 
     # words covered: by ascending start, what each placement adds beyond the furthest end so far
-    spans = placed.select("doc_id", "start", (F.col("start") + F.col("size")).alias("end")) \
-        .groupBy("doc_id", "start").agg(F.max("end").alias("end"))
-    before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    spans = placed.select("key", "start", (F.col("start") + F.col("size")).alias("end")) \
+        .groupBy("key", "start").agg(F.max("end").alias("end"))
+    before = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("end").over(before), F.lit(0))
     hit = spans.withColumn("add", F.greatest(F.lit(0), F.col("end") - F.greatest("start", reach))) \
-        .groupBy("doc_id").agg(F.sum("add").alias("n_hit"))
-    items_of = placed.select("doc_id", "win").distinct().join(windows.select("win", "item_id"), "win") \
-        .groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    per_doc = hit.join(items_of.withColumnRenamed("doc_id", "d"), F.expr("doc_id <=> d")).drop("d") \
-        .withColumnRenamed("doc_id", "hit_id")
-    every = found.where("n_words IS NOT NULL").select("doc_id", "n_words")
+        .groupBy("key").agg(F.sum("add").alias("n_hit"))
+    items_of = placed.select("key", "win").distinct().join(windows.select("win", "item_id"), "win") \
+        .groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    per_row = hit.join(items_of, "key")
+    every = found.where("n_words IS NOT NULL").select("key", "doc_id", "n_words")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     none = F.array().cast("array<string>")
-    return every.join(per_doc, F.expr("doc_id <=> hit_id"), "left").select(
+    return every.join(per_row, "key", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.coalesce("items", none)), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))

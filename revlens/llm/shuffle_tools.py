@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.session import scratch_path
@@ -23,6 +23,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(*columns: str) -> Column:
+    """64-bit key of a row's values in ``columns``; NULL differs from every value."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+
+
 def join_weighted(big: DataFrame, dim: DataFrame, keys: list[str], weight: str, how: str = "left",
                   share: float = HOT_SHARE) -> DataFrame:
     """Join ``big`` with ``dim`` (one row per key), whose ``weight`` counts the key's rows in ``big``.

@@ -286,6 +286,35 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_pipeline_rows_that_share_an_id(spark):
+    """NULL and repeated ids: every row has a decision of its own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = [r["text"] for r in docs.where("lang = 'en' AND length(text) BETWEEN 800 AND 3000").orderBy("doc_id").limit(3).collect()]
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    ids = (7000, None)
+    extra = [(i, t, "en", "src1", 1) for i in ids for t in (some[0][:-5] + f" own {i}", some[0] + " end", bench, "12 34 ()")]
+    held = docs.unionByName(spark.createDataFrame(extra, docs.schema)).repartition(4).cache()
+    (_, lang), (_, dedup), (_, clean) = corpus_pipeline.STAGES[:3]
+
+    def left(stage):
+        return {(r.doc_id, r.text) for r in stage(spark, held, SF).collect() if r.doc_id in ids}
+    assert not {(i, "12 34 ()") for i in ids} & left(lang) and {(i, some[0] + " end") for i in ids} <= left(lang)
+    three = left(clean)
+    assert not {(i, bench) for i in ids} & three and {(i, some[0] + " end") for i in ids} <= three
+    near = spark.createDataFrame([(i, t, "en", "src1", 1) for i in (None, 9, 9) for t in (some[1], some[1] + " end", some[2])], docs.schema)
+    two = sorted((r.doc_id, r.text[:20]) for r in dedup(spark, near, SF).collect())
+    assert two == sorted([(9, some[1][:20]), (9, some[2][:20])])
+
+
+def test_decontaminate_rows_that_share_an_id(spark):
+    from revlens.llm.decontaminate import decontaminate
+    item = " ".join(f"word{i}" for i in range(13))
+    rows = [(i, t) for i in (1, None) for t in (item, "other " * 40, item + " tail")]
+    found = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in found.collect()) \
+        == sorted((str(i), n, h, h > 0) for i in (1, None) for n, h in ((13, 13), (40, 0), (14, 13)))
+
+
 def test_pipeline_stages(spark):
     """Each stage against the operator's decision on its own input; planted cases."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -11,16 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.llm.collocations import collocations
 from revlens.llm.decontaminate import decontaminate
+from revlens.llm.digest_index import deduplicate
 from revlens.llm.huffman import round_trip
 from revlens.llm.language_id import identify, identify_documents, markup_language, markup_text
 from revlens.llm.license_rules import license_report
 from revlens.llm.minhash import near_duplicates
 from revlens.llm.packing import pack_documents
+from revlens.llm.periodic_runs import run_report, with_planted_period
 from revlens.llm.rp_forest import nearest
 from revlens.llm.secret_crf import secret_report
 from revlens.llm.suffix_dedup import remove_repeats
 from revlens.llm.url_reputation import BOUND_Z, MAX_BAD, STRENGTH, domain_of, host_of, judge_urls, suffix_of
+from revlens.session import scratch_path
 from revlens.sources.tables import read_table
 
 
@@ -109,6 +113,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), drops_space=True, end_id=1)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language of all ``documents``."""
+    return collocations(read_table(spark, sf_dir, "documents", ["lang", "text"]))
+
+
+def op12_digest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts in all ``documents``, through a new digest index."""
+    return deduplicate(_documents(spark, sf_dir), scratch_path(spark, "digest-index")).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of periodically repeated words in all ``documents``, a tenth of them with a planted period."""
+    return run_report(with_planted_period(_documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_license_scan": op2_license_scan,
@@ -120,6 +140,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
+    "op12_digest_dedup": op12_digest_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
     "language_id_pages": language_id_pages,
     "pipeline": corpus_pipeline,
 }
@@ -159,4 +182,31 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
   WHEN lower_bound > {MAX_BAD} THEN 'block' ELSE 'allow' END AS verdict FROM judged
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_reputation": OP1_SQL}
+#: Words of a piece stand in consecutive rows; a phrase of k words is a row and the k - 1 after it in its piece.
+OP11_SQL = """
+WITH pieces AS (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)),
+lists AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+    FROM (SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS k FROM lists))),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang),
+f AS (SELECT lang, k, g, count(*) AS a FROM grams GROUP BY lang, k, g HAVING count(*) >= 100),
+inside AS (SELECT lang, k - 1 AS k, g[1:k - 1] AS g, a FROM f WHERE k > 2 UNION SELECT lang, k - 1, g[2:k], a FROM f WHERE k > 2),
+kept AS (SELECT * FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = f.lang AND i.k = f.k AND i.g = f.g AND i.a >= f.a)),
+cuts AS (SELECT c.*, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM kept) c JOIN n ON n.lang = c.lang
+    JOIN f l ON l.lang = c.lang AND l.k = c.j AND l.g = c.g[1:c.j]
+    JOIN f r ON r.lang = c.lang AND r.k = c.k - c.j AND r.g = c.g[c.j + 1:c.k]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+    array_to_string(g, ' ') AS phrase, a, l, r, n, score::BIGINT AS score FROM lowest) WHERE rank <= 2000
+"""
+
+OP12_SQL = """
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+    row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+FROM t WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_reputation": OP1_SQL, "op11_collocations": OP11_SQL, "op12_digest_dedup": OP12_SQL}

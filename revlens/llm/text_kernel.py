@@ -6,7 +6,9 @@ Separators are ASCII in every word definition used here, so a word is a run
 of non-separator bytes and multi-byte characters need no decoding.
 
 Memory: about 60 bytes per text byte of one slice; a slice holds rows of
-together ``SLICE_BYTES`` or one longer text.
+together ``SLICE_BYTES`` or one longer text.  A longer text is split part by
+part (``PART_BYTES``, cut behind a word), so it costs 1 byte per text byte and
+24 per word, and 60 per byte of one part only.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+PART_BYTES = 4 << 20
 _U = np.uint64
 
 
@@ -105,10 +108,43 @@ class Words:
         return b" ".join(b[s:e].tobytes() for s, e in zip(self.start[lo:hi], self.end[lo:hi])).decode("utf-8", "replace")
 
 
-def words_of(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
-    """Split lower-cased (A-Z only) rows into words and hash every word."""
+def words_of(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, part: int = PART_BYTES, fold: bool = True) -> Words:
+    """Split rows, lower-cased (A-Z only) if ``fold``, into words and hash every word."""
     offsets = offsets - offsets[0]
-    buf = LOWER[buf]
+    if len(buf) <= part:
+        return _split(buf, offsets, is_word, fold)
+    cuts = part_ends(buf, is_word, part)
+    folded = np.empty(len(buf), np.uint8)
+    starts, ends, hashes = [], [], []
+    for lo, hi in zip([0, *cuts[:-1]], cuts):
+        inner = offsets[np.searchsorted(offsets, lo, "right"):np.searchsorted(offsets, hi, "left")]
+        w = _split(buf[lo:hi], np.concatenate([[lo], inner, [hi]]) - lo, is_word, fold)
+        folded[lo:hi] = w.buf
+        starts.append(w.start + lo)
+        ends.append(w.end + lo)
+        hashes.append(w.hash)
+    start = np.concatenate(starts)
+    return Words(folded, start, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(start, offsets))
+
+
+def part_ends(buf: np.ndarray, is_word: np.ndarray, part: int) -> list[int]:
+    """Ends of consecutive parts of at least ``part`` bytes, each before a byte that belongs to no word."""
+    ends, at, look = [], 0, 1 << 16
+    while at + part < len(buf):
+        at += part
+        while at < len(buf):
+            free = np.flatnonzero(~is_word[LOWER[buf[at:at + look]]])
+            if len(free):
+                at += int(free[0])
+                break
+            at = min(at + look, len(buf))
+        if at < len(buf):
+            ends.append(at)
+    return [*ends, len(buf)]
+
+
+def _split(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: bool) -> Words:
+    buf = LOWER[buf] if fold else buf
     n = len(buf)
     inside = is_word[buf]
     edge = np.zeros(n + 1, bool)
@@ -153,3 +189,10 @@ def shingle_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def gathered(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans one after another, and the n + 1 offsets of the spans in them."""
+    length = end - start
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])
+    return buf[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], length)], offsets

@@ -57,14 +57,14 @@ def evaluate_saved(spark, model_dir: str, data_dir: str):
 def score_lines(spark, model_dir: str, classifier: str, input_path: str, output_path: str):
     from revlens.plans.persist import load_fitted
     from revlens.plans.pipelines import CLASSIFIER_PREFIX, score
-    from revlens.sources import read_lines, with_line_ids
+    from revlens.sources import read_numbered_lines
     if classifier not in CLASSIFIER_PREFIX:
         raise ValueError(f"classifier must be one of {sorted(CLASSIFIER_PREFIX)}")
     fitted, extractor = load_fitted(spark, model_dir)
     if classifier not in fitted.classifiers:
         raise ValueError(f"the {extractor} model has no {classifier!r} classifier "
                          f"(has {list(fitted.classifiers)})")
-    lines = with_line_ids(read_lines(spark, input_path))
+    lines = read_numbered_lines(spark, input_path).withColumnsRenamed({"id": "line_id", "line": "text"})
     out = score(lines, fitted, classifier, id_col=["line_id", "text"])
     out.write.mode("overwrite").parquet(output_path)
     return output_path

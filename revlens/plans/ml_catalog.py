@@ -27,7 +27,7 @@ from revlens.operators.skew import hot_cold_join, top_keys
 from revlens.operators.stem import stem_tokens
 from revlens.plans.catalog import VOCAB_SIZE, _corpus
 from revlens.plans.oracle import _corpus as _corpus_sql
-from revlens.plans.oracle import _count_vector_nb, _doc_words, _review_corpus
+from revlens.plans.oracle import _count_vector_nb, _doc_words, _review_corpus, _reviews
 from revlens.plans.pipelines import (
     LR_L2_PARAMS, LR_PARAMS, NB_PARAMS, W2V_PARAMS, fit_extractor, fit_text_pipeline, fit_word2vec_pipeline,
     prepare_stages, score, tfidf_stages,
@@ -255,15 +255,17 @@ def q_score_and_write(spark, sf_dir):
     without a text) with the chosen classifier, write, read back, compare with a direct transform."""
     train, _ = _split_labelled(spark, sf_dir)
     st, col = tfidf_stages()
-    fp = fit_text_pipeline(train, st, col, ("lr",))
+    fp = fit_text_pipeline(train, st, col, ("lr", "nb"))
     turns = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"]) \
         .withColumn("text", F.when(F.col("turn") % 7 != 3, F.col("text")))
     path = scratch_path(spark, "predictions")
     score(turns, fp, "lr", id_col=["conv_id", "turn"]).write.mode("overwrite").parquet(path)
-    direct = fp.model.transform(turns.fillna({"text": ""})).select("conv_id", "turn", F.col("LR_prediction").alias("direct"))
+    direct = fp.model.transform(turns.fillna({"text": ""})) \
+        .select("conv_id", "turn", F.col("LR_prediction").alias("direct"), F.col("NB_prediction").alias("other"))
     both = spark.read.parquet(path).join(direct, ["conv_id", "turn"], "full")
     n_in = turns.count()
     return _checks(both, all_rows_written=F.count("prediction") == F.lit(n_in),
+                   choice_matters=F.sum((F.col("direct") != F.col("other")).cast("int")) > 0,
                    same_as_direct=F.sum((~F.col("prediction").eqNullSafe(F.col("direct"))).cast("int")) == 0)
 
 
@@ -419,6 +421,26 @@ def q_metrics_report(spark, sf_dir):
     return spark.createDataFrame(rows, "extractor string, model string, n long, accuracy_ok boolean, f1_ok boolean")
 
 
+def q_csv_stable_split(spark, sf_dir):
+    """Review CSV files without ids, scanned with large and with small splits: every review gets
+    the same id, hence the same side of the train / test split."""
+    from revlens.sources import read_reviews_csv, reviews, write_reviews_csv
+    path = scratch_path(spark, "reviews-without-ids")
+    write_reviews_csv(reviews(spark, sf_dir).select("score", "text"), path)
+    columns = {"score": "score", "text": "text"}
+    whole = with_split(read_reviews_csv(spark, path, columns), "doc_id")
+    other = spark.newSession()  # has its own settings
+    other.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    other.conf.set("spark.sql.files.openCostInBytes", "0")
+    cut_path = scratch_path(spark, "reviews-in-small-splits")
+    with_split(read_reviews_csv(other, path, columns), "doc_id").write.parquet(cut_path)
+    cut = spark.read.parquet(cut_path).withColumnsRenamed({"score": "score2", "text": "text2", "split": "split2"})
+    return whole.join(cut, "doc_id", "full").select(
+        F.md5("text").alias("text_md5"), "score",
+        (F.col("text").eqNullSafe(F.col("text2")) & F.col("score").eqNullSafe(F.col("score2"))).alias("same_row"),
+        F.col("split").eqNullSafe(F.col("split2")).alias("same_split"))
+
+
 def q_train_from_csv(spark, sf_dir):
     """Training from review CSV files: write them with the reference's column names and two more,
     read by name, binarize, reject other ratings, fit and predict with the relational naive Bayes."""
@@ -453,6 +475,7 @@ ML_QUERIES = {
     "lr_five_class": q_lr_five_class,
     "lr_five_class_stem": q_lr_five_class_stem,
     "lr_five_class_word2vec": q_lr_five_class_word2vec,
+    "csv_stable_split": q_csv_stable_split,
     "train_from_csv": q_train_from_csv,
     "stem_tokens": q_stem_tokens,
     "stem_consistency": q_stem_consistency,
@@ -472,6 +495,7 @@ CAST(len(list_filter(words, lambda w: list_contains([{_GOLDEN}], w))) AS INTEGER
     "metrics_report": f"""WITH {_corpus_sql()} SELECT p.extractor, p.model, t.n, true AS accuracy_ok, true AS f1_ok
 FROM (VALUES {_PAIRS}) AS p(extractor, model), (SELECT count(*) AS n FROM corp WHERE split = 'test') t""",
     "train_from_csv": f"WITH {_count_vector_nb(_review_corpus())} SELECT doc_id, label, prediction, round(score, 6) AS score FROM nb_out",
+    "csv_stable_split": f"WITH {_reviews()} SELECT md5(text) AS text_md5, score, true AS same_row, true AS same_split FROM reviews",
     "lr_five_class_stem": _FIVE,
     "lr_five_class_word2vec": _FIVE,
     "hashing_tf_mass": f"WITH {_doc_words()} SELECT doc_id, CAST(len(words) AS DOUBLE) AS mass FROM doc_words",
@@ -483,7 +507,7 @@ FROM (VALUES {_PAIRS}) AS p(extractor, model), (SELECT count(*) AS n FROM corp W
     "lr_multiclass": _const_sql("one_class_per_label", "probabilities_sum_to_one", "prediction_is_argmax"),
     "embedding_classifier": _const_sql("accuracy_matches_mllib", "f1_matches_mllib"),
     "model_roundtrip": _const_sql("same_predictions", "same_stage_count"),
-    "score_and_write": _const_sql("all_rows_written", "same_as_direct"),
+    "score_and_write": _const_sql("all_rows_written", "choice_matters", "same_as_direct"),
     "stem_consistency": _const_sql("same_stems", "same_lengths"),
     "stream_score": _const_sql("same_as_batch", "all_rows_scored"),
     "stemmed_tfidf_evaluate": _const_sql("same_accuracy", "same_f1", "three_models"),

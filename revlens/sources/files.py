@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.sources.splits import FILE_IDS, read_records
+
 # The CSV dialect of the reference's review files (header row,
 # double-quoted fields, doubled quotes inside, newlines inside fields).
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
@@ -26,21 +28,25 @@ def write_reviews_csv(df: DataFrame, path: str) -> None:
 
 def read_reviews_csv(spark: SparkSession, path: str, columns: dict[str, str] = OWN_COLUMNS,
                      partitions: int | None = None) -> DataFrame:
-    """``doc_id, score, text`` of quoted multi-line CSV files, taken by column name.
+    """``doc_id, score, text`` of quoted CSV files with newlines in fields, taken by column name.
 
     ``columns`` names the file's column of each; other columns are ignored and
     a missing one raises.  Without a ``doc_id`` column the id is made from the
-    row's place in the scan.  Types are not inferred: a score that is no number
-    becomes NULL.  A multi-line CSV file cannot be split, so each file is one
-    task; pass ``partitions`` to spread the rows before the heavy text work.
+    file's and the record's place (``splits``), so it does not depend on how
+    the files are scanned.  Types are not inferred: a score that is no number
+    becomes NULL.  Large files are read by many tasks; ``partitions`` spreads
+    the rows of small ones before the heavy text work.
     """
-    df = spark.read.options(**CSV_OPTIONS).csv(path)
-    missing = [c for c in columns.values() if c not in df.columns]
+    names = spark.read.options(**CSV_OPTIONS).csv(path).columns
+    missing = [c for c in columns.values() if c not in names]
     if missing:
-        raise ValueError(f"no column {missing} in {path} (has {df.columns})")
-    quoted = {k: F.col("`" + v.replace("`", "``") + "`") for k, v in columns.items()}
-    doc_id = quoted["doc_id"].try_cast("long") if "doc_id" in quoted else F.monotonically_increasing_id()
-    df = df.select(doc_id.alias("doc_id"), quoted["score"].try_cast("double").alias("score"), quoted["text"].alias("text"))
+        raise ValueError(f"no column {missing} in {path} (has {names})")
+    records = read_records(spark, path).where((F.col("id") % FILE_IDS != 0) & (F.col("record") != ""))
+    fields = F.from_csv("record", ", ".join(f"f{i} string" for i in range(len(names))), {"quote": '"', "escape": '"'})
+    field = {k: F.col(f"r.f{names.index(v)}") for k, v in columns.items()}
+    doc_id = field["doc_id"].try_cast("long") if "doc_id" in field else F.col("id")
+    df = records.select("id", fields.alias("r")).select(
+        doc_id.alias("doc_id"), field["score"].try_cast("double").alias("score"), field["text"].alias("text"))
     return df.repartition(partitions) if partitions else df
 
 
@@ -59,7 +65,10 @@ def read_lines(spark: SparkSession, path: str, text_col: str = "text") -> DataFr
 
 
 def with_line_ids(df: DataFrame, id_col: str = "line_id") -> DataFrame:
-    """Attach a unique id per row without a shuffle or a single-partition window."""
+    """Attach a unique id per row without a shuffle or a single-partition window.
+
+    The id depends on the scan; ``read_numbered_lines`` gives ids that do not.
+    """
     return df.withColumn(id_col, F.monotonically_increasing_id())
 
 

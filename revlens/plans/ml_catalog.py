@@ -29,7 +29,7 @@ from revlens.plans.catalog import VOCAB_SIZE, _corpus
 from revlens.plans.oracle import _corpus as _corpus_sql
 from revlens.plans.oracle import _count_vector_nb, _doc_words, _review_corpus, _reviews
 from revlens.plans.pipelines import (
-    LR_L2_PARAMS, LR_PARAMS, NB_PARAMS, W2V_PARAMS, fit_extractor, fit_text_pipeline, fit_word2vec_pipeline,
+    LR_L2_PARAMS, LR_PARAMS, NB_PARAMS, W2V_PARAMS, concurrently, fit_extractor, fit_text_pipeline, fit_word2vec_pipeline,
     prepare_stages, score, tfidf_stages,
 )
 from revlens.session import keep, scratch_path
@@ -408,8 +408,9 @@ def q_metrics_report(spark, sf_dir):
     F1 against MLlib's evaluator on the same predictions."""
     train, test = _split_labelled(spark, sf_dir)
     rows = []
-    for extractor in ("tfidf", "ngram", "word2vec"):
-        fp = fit_extractor(train, extractor)
+    extractors = ("tfidf", "ngram", "word2vec")
+    # independent fits: their many small jobs run side by side
+    for extractor, fp in zip(extractors, concurrently(spark, lambda x: fit_extractor(train, x), extractors)):
         cols = {c: f"{c.upper()}_prediction" for c in sorted(fp.classifiers)}
         pred = keep(fp.transform(test).select("label", *cols.values()))
         for r in metrics_report(pred, cols).collect():  # one row per classifier

@@ -10,6 +10,7 @@ fitted stages are joined into one ``PipelineModel``.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,7 +19,8 @@ from pyspark.ml.feature import (
     IDF, CountVectorizer, HashingTF, NGram, SQLTransformer, StopWordsRemover, Tokenizer,
     VectorAssembler, Word2Vec,
 )
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions.stopwords import ENGLISH_STOP_WORDS
@@ -26,7 +28,7 @@ from revlens.functions.text import KEEP_PATTERN, filter_short_tokens
 from revlens.operators.stem import stem_tokens
 from revlens.operators.termstats import corpus_frequency
 from revlens.plans.relational import NGRAM_MIN_DOC_FREQ, NGRAM_VOCAB_SIZES
-from revlens.session import keep
+from revlens.session import keep, scratch_path
 
 # Model settings of the reference.
 HASHING_FEATURES = 1000
@@ -40,6 +42,9 @@ MIN_TOKEN_LENGTH = 3
 #: depends on the number: it is fixed here and not taken from the cluster.
 W2V_PARTITIONS = 8
 
+#: Bytes of features a task reads in every iteration of a solver.
+ROUND_PARTITION_BYTES = 64 << 20
+
 CLASSIFIER_PREFIX = {"nb": "NB", "lr": "LR", "svm": "SVM"}
 
 
@@ -145,7 +150,7 @@ def fit_text_pipeline(train: DataFrame, feature_stages: list, features_col: str,
     prepared = keep(prepared.drop(*[c for c in (text_col, "clean_text", "tokens")
                                    if c in prepared.columns and c != label_col]))
     feat_model = Pipeline(stages=feature_stages).fit(prepared)
-    feats = keep(feat_model.transform(prepared).select(features_col, label_col), eager=True)
+    feats = sized_for_rounds(feat_model.transform(prepared).select(features_col, label_col), features_col)
     estimators = classifier_stages(features_col, label_col, classifiers, lr_params, svm_params, nb_params)
     models = fit_concurrently(estimators, feats)
     feats.unpersist()
@@ -154,6 +159,28 @@ def fit_text_pipeline(train: DataFrame, feature_stages: list, features_col: str,
                           features_col, tuple(classifiers))
 
 
+def sized_for_rounds(features: DataFrame, features_col: str, target_bytes: int = ROUND_PARTITION_BYTES) -> DataFrame:
+    """Cached features in partitions of about ``target_bytes`` each.
+
+    An iterative solver starts one task per partition and iteration, up to a
+    thousand times, so partitions sized for reading text (whose features are
+    far smaller) cost mostly task starts, and every task is sent the plan it
+    descends from.  So the features are written once to the shared folder,
+    which also cuts their lineage, and read back merged, without a shuffle, to
+    as many partitions as their bytes need (12 a non-zero value, 40 a row); a
+    corpus whose features fill its partitions keeps them.  Only the placement
+    of rows changes.
+    """
+    spark = features.sparkSession
+    path = scratch_path(spark, "features")
+    features.write.parquet(path)
+    table = spark.read.schema(features.schema).parquet(path)
+    stats = table.select(Summarizer.metrics("numNonZeros", "count").summary(F.col(features_col)).alias("s")) \
+        .select("s.numNonZeros", "s.count").first()
+    size = (12 * float(stats["numNonZeros"].toArray().sum()) + 40 * stats["count"]) if stats["count"] else 0
+    return keep(table.coalesce(max(1, math.ceil(size / target_bytes))), eager=True)
+
+
 def fit_concurrently(estimators: list, data: DataFrame) -> list:
     """Fit independent estimators on the same (cached) data as concurrent
     Spark jobs -- the thread-pool pattern of PySpark's own CrossValidator.
@@ -162,15 +189,20 @@ def fit_concurrently(estimators: list, data: DataFrame) -> list:
     columns, so each model equals the one a sequential ``Pipeline`` fit gives;
     their per-iteration jobs interleave on task slots the others leave idle.
     """
-    if len(estimators) <= 1:
-        return [e.fit(data) for e in estimators]
+    return concurrently(data.sparkSession, lambda est: est.fit(data), estimators)
+
+
+def concurrently(spark: SparkSession, call, items) -> list:
+    """``call`` of every item, each in a thread of its own with the session's properties."""
+    items = list(items)
+    if len(items) <= 1:
+        return [call(x) for x in items]
     from multiprocessing.pool import ThreadPool
 
     from pyspark.util import inheritable_thread_target
-    pool = ThreadPool(len(estimators))
+    pool = ThreadPool(len(items))
     try:
-        fit = inheritable_thread_target(data.sparkSession)(lambda est: est.fit(data))
-        return pool.map(fit, estimators)
+        return pool.map(inheritable_thread_target(spark)(call), items)
     finally:
         pool.close()
 

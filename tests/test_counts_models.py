@@ -164,3 +164,19 @@ def test_concurrent_classifier_fit_equals_sequential_pipeline(spark):
     assert seq[0].theta.toArray().tolist() == con[0].theta.toArray().tolist()
     assert list(seq[1].coefficients) == list(con[1].coefficients) and seq[1].intercept == con[1].intercept
     assert list(seq[2].coefficients) == list(con[2].coefficients) and seq[2].intercept == con[2].intercept
+
+
+def test_features_are_merged_by_their_bytes(spark):
+    """Same rows in as few partitions as the bytes need; large features keep their partitions; no rows is fine."""
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql import functions as F
+
+    from revlens.plans.pipelines import sized_for_rounds
+    df = spark.createDataFrame([(Vectors.sparse(50, [i % 50], [float(i + 1)]), float(i % 2)) for i in range(200)], ["f", "label"]) \
+        .repartition(8)
+    one = sized_for_rounds(df, "f")
+    many = sized_for_rounds(df, "f", target_bytes=1)
+    key = lambda r: str(r)
+    assert sorted(one.collect(), key=key) == sorted(df.collect(), key=key) == sorted(many.collect(), key=key)
+    assert one.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() > 1
+    assert sized_for_rounds(df.where(F.col("label") > 5), "f").count() == 0

@@ -175,9 +175,11 @@ def sized_for_rounds(features: DataFrame, features_col: str, target_bytes: int =
     path = scratch_path(spark, "features")
     features.write.parquet(path)
     table = spark.read.schema(features.schema).parquet(path)
+    if not table.take(1):
+        return keep(table.coalesce(1), eager=True)
     stats = table.select(Summarizer.metrics("numNonZeros", "count").summary(F.col(features_col)).alias("s")) \
         .select("s.numNonZeros", "s.count").first()
-    size = (12 * float(stats["numNonZeros"].toArray().sum()) + 40 * stats["count"]) if stats["count"] else 0
+    size = 12 * float(stats["numNonZeros"].toArray().sum()) + 40 * stats["count"]
     return keep(table.coalesce(max(1, math.ceil(size / target_bytes))), eager=True)
 
 

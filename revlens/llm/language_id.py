@@ -19,6 +19,8 @@ any language (its best log-likelihood per trigram is ``FLOOR`` standard
 deviations from the sample's, more for short texts), or a best posterior under
 ``MIN_POSTERIOR``.
 
+Memory: a task holds the counts of one slice of rows or one part of a long text.
+
 Defined results: NULL, empty and letterless texts are rejected; texts too short
 for a trigram are judged by the other evidence;
 NULL declarations, addresses and hosts add none; rows that repeat an id are
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.llm.shuffle_tools import join_weighted, written
-from revlens.llm.text_kernel import LOWER, row_slices, text_bytes
+from revlens.llm.text_kernel import LOWER, PART_BYTES, row_slices, text_bytes
 
 SAMPLE = 400
 #: Characters of a sampled text, at most.  Longer texts fill the sample, by their beginning, where shorter ones don't.
@@ -58,6 +60,15 @@ def _grams(buf: np.ndarray) -> np.ndarray:
     return ((key * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int64)
 
 
+_BLANK = _grams(np.full(3, 0x20, np.uint8))[0]
+
+
+def _letter(buf: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to a letter."""
+    low = LOWER[buf]
+    return ((low >= 0x61) & (low <= 0x7A)) | (low >= 0x80)
+
+
 class TextModel:
     """Log-probabilities of trigram buckets per language, and the usual range of the best mean."""
 
@@ -80,29 +91,40 @@ class TextModel:
     def score(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Summed log-likelihood per row and language, trigrams that hold a letter, and letters (bytes) per row."""
         buf, offsets = text_bytes(column)
-        low = LOWER[buf]
-        letter = np.append(0, np.cumsum(((low >= 0x61) & (low <= 0x7A)) | (low >= 0x80)))
-        letters = letter[offsets[1:]] - letter[offsets[:-1]]
         n = len(offsets) - 1
-        sums, grams = np.zeros((n, len(self.languages))), np.zeros(n, np.int64)
-        blank = _grams(np.full(3, 0x20, np.uint8))[0]
+        sums, grams, letters = np.zeros((n, len(self.languages))), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for lo, hi in row_slices(offsets):
-            a, b = offsets[lo], offsets[hi]
-            g = _grams(buf[a:b])
-            start = offsets[lo:hi] - a
-            size = np.maximum(np.diff(offsets[lo:hi + 1]) - 2, 0)  # trigrams inside the row
-            inside = np.zeros(len(g) + 1, np.int64)
-            np.add.at(inside, np.minimum(start[size > 0], len(g)), 1)
-            np.add.at(inside, np.minimum((start + size)[size > 0], len(g)), -1)
-            use = (np.cumsum(inside)[:-1] > 0) & (g != blank)
-            seen = np.append(0, np.cumsum(use))
-            grams[lo:hi] = seen[np.minimum(start + size, len(g))] - seen[np.minimum(start, len(g))]
-            at = g[use]
-            for i in range(len(self.languages)):
-                run = np.append(0.0, np.cumsum(self.table[i][at], dtype=np.float64))
-                sums[lo:hi, i] = run[seen[np.minimum(start + size, len(g))]] - run[seen[np.minimum(start, len(g))]]
+            a, b = int(offsets[lo]), int(offsets[hi])
+            if hi - lo > 1 or b - a <= PART_BYTES:
+                sums[lo:hi], grams[lo:hi], letters[lo:hi] = self._sums(buf[a:b], offsets[lo:hi + 1] - a)
+                continue
+            for p in range(a, b, PART_BYTES):  # one long row: a trigram counts where it begins
+                end = min(p + PART_BYTES, b)
+                part = self._sums(buf[p:min(end + 2, b)], np.array([0, min(end + 2, b) - p]))
+                sums[lo] += part[0][0]
+                grams[lo] += part[1][0]
+                letters[lo] += part[2][0] - _letter(buf[end:min(end + 2, b)]).sum()
         return sums, grams, letters
 
+    def _sums(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``score`` of a few rows."""
+        letter = np.append(0, np.cumsum(_letter(buf)))
+        g = _grams(buf)
+        start = offsets[:-1]
+        size = np.maximum(np.diff(offsets) - 2, 0)  # trigrams inside the row
+        inside = np.zeros(len(g) + 1, np.int64)
+        np.add.at(inside, np.minimum(start[size > 0], len(g)), 1)
+        np.add.at(inside, np.minimum((start + size)[size > 0], len(g)), -1)
+        use = (np.cumsum(inside)[:-1] > 0) & (g != _BLANK)
+        seen = np.append(0, np.cumsum(use))
+        first, last = seen[np.minimum(start, len(g))], seen[np.minimum(start + size, len(g))]
+        at = g[use]
+        sums = np.zeros((len(start), len(self.languages)))
+        for i in range(len(self.languages)):
+            run = np.append(0.0, np.cumsum(self.table[i][at], dtype=np.float64))
+            sums[:, i] = run[last] - run[first]
+        return sums, last - first, letter[offsets[1:]] - letter[offsets[:-1]]
+
 
 def primary_language(tag: Column) -> Column:
     """Lower-case primary subtag of a declared language; a tag that begins with a single letter (``x-``, ``i-``) stays whole."""

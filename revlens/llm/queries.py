@@ -97,10 +97,10 @@ def corpus_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of all ``documents`` left after removing repeated 400-byte strings."""
+    """Bytes of all ``documents`` left after removing repeated 400-byte strings; a cut inside a character leaves U+FFFD in the text."""
     return remove_repeats(_documents(spark, sf_dir)).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"))
+        F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

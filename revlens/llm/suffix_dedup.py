@@ -247,7 +247,7 @@ def repeated_starts(src: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
         # of the slices that are equal as a whole one goes on, for others of the bucket to meet
         go_on = left.where("kinds > 1 AND (w IS NULL OR context = x)").groupBy("bucket", "context").agg(
             F.collect_set(F.struct("at", "pointer")).alias("slices"))
-        work = written(work.drop("pointer", "slices").join(go_on, ["bucket", "context"]), "suffix-bytes")
+        work = held.drop("pointer").join(go_on, ["bucket", "context"])  # the bytes were written once
         parent = size
     ranges = found[0]
     for f in found[1:]:

@@ -14,11 +14,12 @@ from revlens.functions.labels import IMDB_CLASS_MAP, TWITTER_CLASS_MAP, map_clas
 from revlens.functions.text import clean_text, filter_short_tokens, ngrams, split_label, tokenize
 from revlens.operators import termstats as ts
 from revlens.operators.evaluate import confusion_matrix, evaluate
+from revlens.operators.heavy import heavy_vocabulary
 from revlens.operators.prepare import (
     add_words, binarize, drop_null_reviews, label_balance, prepare, with_split,
 )
 from revlens.plans.relational import (
-    VOCAB_SIZE, build_corpus, labelled_words, count_vector_nb, ngram_tfidf_features, ngram_tfidf_nb,
+    NGRAM_VOCAB_SIZES, VOCAB_SIZE, build_corpus, labelled_words, count_vector_nb, ngram_tfidf_features, ngram_tfidf_nb,
 )
 from revlens.session import scratch_path
 from revlens.sources import (
@@ -140,6 +141,16 @@ def q_vocab_topk(spark, sf_dir):
     return ts.vocabulary(c, "words", VOCAB_SIZE).select("term", F.col("idx").cast("int").alias("idx"), "cf")
 
 
+def q_vocab_heavy_hitters(spark, sf_dir):
+    """The most frequent words and bigrams of all documents, from sketches and a second, exact pass over the candidates."""
+    words = _doc_words(spark, sf_dir)
+    parts = []
+    for n, size in zip((1, 2), NGRAM_VOCAB_SIZES):
+        grams = words.select((F.col("words") if n == 1 else ngrams("words", 2)).alias("grams"))
+        parts.append(heavy_vocabulary(grams, "grams", size).table.select(F.lit(n).alias("n"), "term", F.col("idx").cast("int").alias("idx"), "cf"))
+    return parts[0].unionByName(parts[1])
+
+
 def _n_docs(spark, sf_dir):
     return ts.count_rows(drop_null_reviews(documents(spark, sf_dir), ["text"]))
 
@@ -246,6 +257,7 @@ SPARK_QUERIES = {
     "corpus_frequency": q_corpus_frequency,
     "document_frequency": q_document_frequency,
     "vocab_topk": q_vocab_topk,
+    "vocab_heavy_hitters": q_vocab_heavy_hitters,
     "idf_weights": q_idf_weights,
     "idf_weights_mindf": q_idf_weights_mindf,
     "tfidf_long": q_tfidf_long,

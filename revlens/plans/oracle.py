@@ -190,6 +190,10 @@ bi AS (SELECT doc_id, {BIGRAMS.format(w='words')} AS grams FROM doc_words)
     "vocab_topk": f"""WITH {_corpus()},
 tf_train AS ({_tf("(SELECT * FROM corp WHERE split = 'train')", "words")})
 {_vocab("tf_train", VOCAB_SIZE)}""",
+    "vocab_heavy_hitters": f"""WITH {_doc_words()}, bi AS (SELECT doc_id, {BIGRAMS.format(w='words')} AS grams FROM doc_words),
+tf1 AS ({_tf('doc_words', 'words')}), tf2 AS ({_tf('bi', 'grams')}),
+v1 AS ({_vocab('tf1', NGRAM_VOCAB_SIZES[0])}), v2 AS ({_vocab('tf2', NGRAM_VOCAB_SIZES[1])})
+SELECT 1 AS n, term, idx, cf FROM v1 UNION ALL SELECT 2, term, idx, cf FROM v2""",
     "idf_weights": f"""WITH {_doc_words()}, tf AS ({_tf('doc_words', 'words')})
 SELECT term, count(*) AS df, round(ln(((SELECT count(*) FROM doc_words) + 1.0) / (count(*) + 1.0)), 6) AS idf
 FROM tf GROUP BY term""",

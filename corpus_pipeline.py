@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 every result as Parquet under the cluster's shared folder and reads it back as
 the next stage's documents.  All but the last return the columns of
-``documents``.
+``documents``; extra columns are carried along, whatever their names.  NULL and
+empty texts are rejected by the first stage; the other stages keep them.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
 
 def _keep(docs: DataFrame, kept: DataFrame, *columns: str) -> DataFrame:
     """Rows of ``docs`` whose row key of ``columns`` is a doc_id of ``kept``."""
-    wanted = kept.select(F.col("doc_id").alias("kept_key")).distinct()
-    return docs.join(wanted, row_key(*columns) == F.col("kept_key"), "left_semi")
+    name = "kept_key"
+    while name in docs.columns:
+        name += "_"
+    wanted = kept.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(wanted, row_key(*columns) == F.col(name), "left_semi")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,3 +138,26 @@ def test_one_long_text_of_one_word(spark):
     df = spark.createDataFrame([(1, "ab " * 1_000_000), (2, "a b c " * 300_000)], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_words"], [tuple(x) for x in r["runs"]], r["collapsed"]) for r in periodic_runs(df).collect()}
     assert got == {1: (1_000_000, [(0, 1_000_000, 1)], "ab"), 2: (900_000, [(0, 900_000, 3)], "a b c")}
+
+
+def test_kept_rows_with_clashing_columns(spark):
+    """A stage's decision takes effect whatever the documents' extra columns are called."""
+    import corpus_pipeline
+    docs = spark.createDataFrame([(1, "a", 7), (2, "b", 8), (None, "c", 9), (1, "d", 0)], "doc_id long, text string, kept_key long")
+    kept = corpus_pipeline._keyed(docs, "doc_id", "text").where("text IN ('a', 'c')")
+    assert rows(corpus_pipeline._keep(docs, kept, "doc_id", "text")) == [(1, "a", 7), (None, "c", 9)]
+
+
+def test_long_texts_in_language_scores(monkeypatch):
+    """A long text scored in parts gets the sums of the whole."""
+    import pyarrow as pa
+
+    from revlens.llm import language_id
+    model = language_id.TextModel({"a": ["hello world this is text"], "b": ["bonjour le monde é"]})
+    draw = random.Random(2)
+    column = pa.array(["x", "".join(draw.choice("abcdé. Z") for _ in range(9000)), None, "yy"])
+    want = model.score(column)
+    monkeypatch.setattr(language_id, "PART_BYTES", 500)
+    monkeypatch.setattr(language_id, "row_slices", lambda offsets: ((i, i + 1) for i in range(len(offsets) - 1)))
+    for got, whole in zip(model.score(column), want):
+        assert np.allclose(got, whole)

@@ -265,7 +265,8 @@ def _counted(spark: SparkSession, docs: DataFrame, shards: int, threshold: int,
             maps.destroy()
             _newly_reached(spark.table(counts), reached(), step, shards, threshold) \
                 .write.mode("append").parquet(reached_path)
-            bitmap = _bitmap(reached().where((F.col("step") == step) & (F.col("act") >= 0)), bits)
+            shorter = F.length("words") < 8 * longest  # the longest activate nothing
+            bitmap = _bitmap(reached().where((F.col("step") == step) & (F.col("act") >= 0) & shorter), bits)
             new[step] = new[step] | bitmap if step in new else bitmap
             last = step if bitmap.any() else last
         every = reached().where(F.col("act") >= 0).select("words", "act")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.shuffle_tools import row_key, written
+from revlens.llm.shuffle_tools import join_salted, row_key, written
 from revlens.llm.text_kernel import ALNUM, as_long, row_slices, shingle_hashes, text_bytes, words_of
 
 WINDOW = 13
@@ -143,12 +143,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
         .groupBy("shingle").agg(F.sum("n").alias("n"))
     ranked = tokens.join(seen, "shingle", "left").groupBy("win", "size").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "place")).alias("rarest"))
-    prefix = written(ranked.where("rarest.n > 0").select("win", "size", "rarest.shingle", "rarest.place"), "decon-prefix")
+    prefix = written(ranked.where("rarest.n > 0").select(
+        "win", "size", "rarest.shingle", "rarest.place", F.col("rarest.n").alias("w")), "decon-prefix")
 
     found = written(docs.mapInArrow(_contexts(sizes, _bitmap(spark, prefix), window),
                                     "key long, doc_id long, n_words long, shingle long, pos long, left long, context string"), "decon-found")
     words = F.split("context", " ")
-    placed = (found.where("shingle IS NOT NULL").join(prefix, "shingle")
+    near = found.where("shingle IS NOT NULL").select("key", "shingle", "pos", "left", "context")
+    placed = (join_salted(near, prefix, ["shingle"], "w", ["key", "pos"])
               .where((F.col("left") >= F.col("place")) & (F.size(words) >= F.col("left") - F.col("place") + F.col("size")))
               .where(F.slice(words, (F.col("left") - F.col("place") + 1).cast("int"), F.col("size")) == F.split("win", " "))
               .select("key", "win", "size", (F.col("pos") - F.col("place")).alias("start")))
@@ -161,7 +163,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     reach = F.coalesce(F.max("end").over(before), F.lit(0))
     hit = spans.withColumn("add", F.greatest(F.lit(0), F.col("end") - F.greatest("start", reach))) \
         .groupBy("key").agg(F.sum("add").alias("n_hit"))
-    items_of = placed.select("key", "win").distinct().join(windows.select("win", "item_id"), "win") \
+    uses = written(placed.select("key", "win").distinct(), "decon-uses")
+    often = uses.groupBy("win").agg(F.count("*").alias("w"))
+    owners = written(windows.select("win", "item_id").join(often, "win"), "decon-owners")
+    items_of = join_salted(uses, owners, ["win"], "w", ["key"]) \
         .groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     per_row = hit.join(items_of, "key")
     every = found.where("n_words IS NOT NULL").select("key", "doc_id", "n_words")

@@ -160,8 +160,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _split(state: DataFrame) -> DataFrame:
     """Members of buckets that hold several components."""
-    split = state.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    return written(state.join(split, "bucket"), "minhash-open")
+    split = state.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("w")) \
+        .where("x <> y").select("bucket", "w")
+    split = written(split, "minhash-split")
+    return written(join_weighted(state, split, ["bucket"], "w", "inner").drop("w"), "minhash-open")
 
 
 def _open_members(state: DataFrame, sets: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
@@ -204,8 +206,8 @@ def _cross_pairs(state: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     least intersection any open partner of its buckets allows; what is left
     behind the first shared one bounds the intersection (positional filter).
     """
-    least = state.groupBy("bucket").agg(F.min("n").alias("least"))
-    nodes = state.join(least, "bucket").groupBy("node", "root", "n").agg(F.min("least").alias("least"))
+    least = written(state.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("w")), "minhash-least")
+    nodes = join_weighted(state, least, ["bucket"], "w", "inner").groupBy("node", "root", "n").agg(F.min("least").alias("least"))
     smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     nodes = nodes.withColumn("need", F.ceil((F.col("n") + smallest) * percent / (100 + percent)))
     items = written(sets.join(nodes, "node").select("node", "root", "n", "need", F.explode("items").alias("item")), "minhash-items")

@@ -46,6 +46,26 @@ def join_weighted(big: DataFrame, dim: DataFrame, keys: list[str], weight: str,
     return in_hot.unionByName(rest.join(cold.hint("merge"), keys, how))
 
 
+def join_salted(big: DataFrame, dim: DataFrame, keys: list[str], weight: str, row: list[str],
+                share: float = HOT_SHARE) -> DataFrame:
+    """Inner join of ``big`` with ``dim`` (any number of rows per key), whose ``weight`` counts the key's rows in ``big``.
+
+    A key with at least ``share`` of the total weight is dealt over as many
+    salts as it holds shares, by a hash of the columns ``row`` of ``big``, and
+    its rows of ``dim`` are repeated once per salt.  Only the salt counts of
+    such keys -- at most 1 / share -- are broadcast.  Pass tables, not long plans.
+    """
+    weights = dim.select(*keys, weight).distinct()
+    total = weights.agg(F.sum(weight)).first()[0] or 0
+    part = F.lit(max(1.0, total * share))
+    salts = F.when(F.col(weight) >= part, F.ceil(F.col(weight) / part)).otherwise(F.lit(1)).cast("int")
+    hot = weights.where(F.col(weight) >= part).select(*keys, salts.alias("_salts"))
+    dealt = big.join(F.broadcast(hot), keys, "left") \
+        .withColumn("_salt", F.pmod(F.xxhash64(*row), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    spread = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(weight)
+    return dealt.join(spread.hint("merge"), [*keys, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b): equal roots, same component.
 

@@ -15,6 +15,7 @@ import brute  # noqa: E402
 from revlens.llm import huffman, packing, queries  # noqa: E402
 from revlens.llm.decontaminate import decontaminate  # noqa: E402
 from revlens.llm.minhash import near_duplicates  # noqa: E402
+from revlens.llm.shuffle_tools import join_salted  # noqa: E402
 from revlens.llm.suffix_dedup import remove_repeats  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -71,6 +72,24 @@ def test_decontaminate(spark, odd, odd_df):
     assert decontaminate(odd_df.limit(0), df).count() == 0
 
 
+def test_decontaminate_with_hot_words(spark):
+    """A word that is an item of its own, under many ids, holds most places of the join."""
+    docs = [(i, " ".join(["the"] * 40 + [f"w{i % 7}", "the", "rare" if i % 50 == 0 else "usual"])) for i in range(400)]
+    items = [(k, "the") for k in range(30)] + [(40, "the the"), (41, "rare"), (42, "w3 the usual"), (43, "absent")]
+    found = decontaminate(spark.createDataFrame(docs, EMPTY), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(found) == brute.decontaminate(docs, items)
+
+
+def test_salted_join(spark):
+    big = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(3000)], "k int, pos int").cache()
+    weights = big.groupBy("k").agg(F.count("*").alias("w"))
+    dim = weights.where("k <> 3").withColumn("v", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    for share in (1 / 1000, 1 / 20):
+        got = rows(join_salted(big, dim, ["k"], "w", ["pos"], share), "k", "pos", "v")
+        assert got == rows(big.join(dim, "k"), "k", "pos", "v")
+    assert join_salted(big, dim.limit(0), ["k"], "w", ["pos"]).count() == 0
+
+
 @pytest.mark.parametrize("span,gram", [(400, 100), (60, 15)])
 def test_remove_repeats(spark, odd, odd_df, span, gram):
     got = remove_repeats(odd_df, span, gram).select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), F.sha2("kept", 256).alias("s"))

@@ -3,8 +3,11 @@
 from revlens.operators.evaluate import (  # noqa: F401
     confusion_matrix, evaluate, metrics_from_confusion, metrics_report,
 )
+from revlens.operators.heavy import heavy_vocabulary  # noqa: F401
+from revlens.operators.incremental import add_batch, nb_from_statistics  # noqa: F401
 from revlens.operators.linear import coefficient_table, linear_margin, vector_to_long  # noqa: F401
 from revlens.operators.naive_bayes import fit_nb, score_nb  # noqa: F401
+from revlens.operators.observed import write_with_metrics  # noqa: F401
 from revlens.operators.prepare import (  # noqa: F401
     add_words, binarize, drop_null_reviews, hash_split, label_balance, prepare, random_split,
     split_valid_scores, with_split,

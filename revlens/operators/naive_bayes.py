@@ -33,13 +33,19 @@ def fit_nb(features: DataFrame, docs: DataFrame, n_features: Column | int,
     class and ``theta (label, feature, theta)`` for observed pairs.  Both are
     bounded (classes, and classes x feature space).
     """
-    s = F.lit(float(smoothing))
-    v = (n_features if isinstance(n_features, Column) else F.lit(n_features)).cast("double")
-    n = count_rows(docs).cast("double")
     classes = docs.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
-    n_classes = count_rows(classes).cast("double")
     # prior and parameters both read the sums: they are aggregated once
     sums = keep(features.groupBy(label_col, feature_col).agg(F.sum(value_col).alias("n_ct")))
+    return nb_parameters(classes, sums, count_rows(docs), n_features, smoothing, label_col, feature_col)
+
+
+def nb_parameters(classes: DataFrame, sums: DataFrame, n_docs: Column, n_features: Column | int,
+                  smoothing: float = 1.0, label_col: str = "label", feature_col: str = "idx") -> tuple[DataFrame, DataFrame]:
+    """``(prior, theta)`` as ``fit_nb`` gives them, from ``classes (label, n_c)`` and ``sums (label, feature, n_ct)``."""
+    s = F.lit(float(smoothing))
+    v = (n_features if isinstance(n_features, Column) else F.lit(n_features)).cast("double")
+    n = n_docs.cast("double")
+    n_classes = count_rows(classes).cast("double")
     totals = sums.groupBy(label_col).agg(F.sum("n_ct").alias("n_c_total"))
     prior = (classes.join(totals, label_col, "left")
              .select(label_col,

@@ -15,6 +15,8 @@ from revlens.functions.text import clean_text, filter_short_tokens, ngrams, spli
 from revlens.operators import termstats as ts
 from revlens.operators.evaluate import confusion_matrix, evaluate
 from revlens.operators.heavy import heavy_vocabulary
+from revlens.operators.incremental import nb_from_statistics
+from revlens.operators.observed import write_with_metrics
 from revlens.operators.prepare import (
     add_words, binarize, drop_null_reviews, label_balance, prepare, with_split,
 )
@@ -223,6 +225,26 @@ def q_eval_f1_weighted(spark, sf_dir):
     return evaluate(_nb(spark, sf_dir).predictions).select("n", _r("f1").alias("f1"))
 
 
+def q_nb_incremental(spark, sf_dir):
+    """Naive Bayes from the statistics of a stream over the labelled documents, two files a micro-batch."""
+    from revlens.streaming import train_files
+    files = scratch_path(spark, "labelled-files")
+    labelled = labelled_documents(spark, sf_dir)
+    labelled.repartition(6, "doc_id").write.parquet(files)
+    stats = train_files(spark, files, labelled.schema, scratch_path(spark, "nb-statistics"),
+                        scratch_path(spark, "nb-train-checkpoint"), max_files_per_trigger=2)
+    theta = nb_from_statistics(spark, stats, VOCAB_SIZE).theta
+    return theta.select("label", F.col("idx").cast("int").alias("idx"), _r("theta").alias("theta"))
+
+
+def q_write_with_metrics(spark, sf_dir):
+    """Accuracy and F1 counted by the job that writes the predictions."""
+    preds = _nb(spark, sf_dir).predictions
+    classes = [float(c) for c in range(2)]
+    report = write_with_metrics(preds, scratch_path(spark, "observed-predictions"), {"nb": "prediction"}, classes)
+    return report.select("model", "n", _r("accuracy").alias("accuracy"), _r("f1").alias("f1"))
+
+
 # --- file sources -------------------------------------------------------------
 
 def q_csv_roundtrip(spark, sf_dir):
@@ -270,6 +292,8 @@ SPARK_QUERIES = {
     "confusion_matrix": q_confusion_matrix,
     "eval_accuracy": q_eval_accuracy,
     "eval_f1_weighted": q_eval_f1_weighted,
+    "nb_incremental": q_nb_incremental,
+    "write_with_metrics": q_write_with_metrics,
     "csv_roundtrip": q_csv_roundtrip,
     "text_scan": q_text_scan,
 }

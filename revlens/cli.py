@@ -1,7 +1,7 @@
 """Command line: train a model, score files with it.
 
     python -m revlens.cli train --extractor ngram --data <sf_dir> --model <dir>
-    python -m revlens.cli evaluate --model <dir> --data <sf_dir>
+    python -m revlens.cli evaluate --model <dir> --data <sf_dir> [--output <dir>]
     python -m revlens.cli score --model <dir> --classifier lr --input <text dir/file> --output <dir>
 
 ``train`` fits on the labelled documents or on review CSV files (hash split, 90 % train) and prints
@@ -45,13 +45,24 @@ def _report(fitted, test_df):
     return metrics_report(fitted.transform(test_df), cols)
 
 
-def evaluate_saved(spark, model_dir: str, data_dir: str):
-    """Reload a saved model and report accuracy and weighted F1 on the test split."""
+def evaluate_saved(spark, model_dir: str, data_dir: str, output: str | None = None):
+    """Reload a saved model and report accuracy and weighted F1 on the test split.
+
+    With ``output`` the predictions are written there, and the job that writes
+    them counts the metrics.
+    """
     from revlens.operators.prepare import hash_split
     from revlens.plans.persist import load_fitted
     fitted, _ = load_fitted(spark, model_dir)
     _, test_df = hash_split(_labelled(spark, data_dir))
-    return _report(fitted, test_df)
+    if output is None:
+        return _report(fitted, test_df)
+    from revlens.operators.observed import write_with_metrics
+    from revlens.plans.pipelines import prediction_col
+    cols = {c: prediction_col(c) for c in fitted.classifiers}
+    scored = fitted.transform(test_df).select(fitted.id_col, "label", *cols.values())
+    classes = max(getattr(stage, "numClasses", 0) for stage in fitted.model.stages)
+    return write_with_metrics(scored, output, cols, range(classes))
 
 
 def score_lines(spark, model_dir: str, classifier: str, input_path: str, output_path: str):
@@ -81,6 +92,7 @@ def main(argv=None):
     e = sub.add_parser("evaluate")
     e.add_argument("--model", required=True)
     e.add_argument("--data", required=True)
+    e.add_argument("--output", help="also write the test split's predictions here (Parquet)")
     s = sub.add_parser("score")
     s.add_argument("--model", required=True)
     s.add_argument("--classifier", choices=CLASSIFIERS, required=True)
@@ -92,7 +104,7 @@ def main(argv=None):
     if args.cmd == "train":
         train(spark, args.extractor, args.data, args.model, stem=args.stem or None).show(truncate=False)
     elif args.cmd == "evaluate":
-        evaluate_saved(spark, args.model, args.data).show(truncate=False)
+        evaluate_saved(spark, args.model, args.data, args.output).show(truncate=False)
     else:
         print(score_lines(spark, args.model, args.classifier, args.input, args.output))
     spark.stop()

@@ -23,6 +23,7 @@ from revlens.operators.prepare import (
 from revlens.plans.relational import (
     NGRAM_VOCAB_SIZES, VOCAB_SIZE, build_corpus, labelled_words, count_vector_nb, ngram_tfidf_features, ngram_tfidf_nb,
 )
+from revlens.plans.tables import load_tables, save_nb, score_nb_tables
 from revlens.session import scratch_path
 from revlens.sources import (
     annotations, labelled_documents, read_lines, read_reviews_csv, reviews, reviews_with_nulls,
@@ -237,6 +238,16 @@ def q_nb_incremental(spark, sf_dir):
     return theta.select("label", F.col("idx").cast("int").alias("idx"), _r("theta").alias("theta"))
 
 
+def q_nb_tables_predict(spark, sf_dir):
+    """Naive Bayes saved as long tables, loaded and joined with the test documents."""
+    corpus = _corpus(spark, sf_dir)
+    path = scratch_path(spark, "nb-tables")
+    save_nb(spark, path, count_vector_nb(corpus), VOCAB_SIZE)
+    test = corpus.where(F.col("split") == "test").select("doc_id", "label", "words")
+    out = score_nb_tables(load_tables(spark, path), test)
+    return out.select("doc_id", "label", "prediction", _r("score").alias("score"))
+
+
 def q_write_with_metrics(spark, sf_dir):
     """Accuracy and F1 counted by the job that writes the predictions."""
     preds = _nb(spark, sf_dir).predictions
@@ -293,6 +304,7 @@ SPARK_QUERIES = {
     "eval_accuracy": q_eval_accuracy,
     "eval_f1_weighted": q_eval_f1_weighted,
     "nb_incremental": q_nb_incremental,
+    "nb_tables_predict": q_nb_tables_predict,
     "write_with_metrics": q_write_with_metrics,
     "csv_roundtrip": q_csv_roundtrip,
     "text_scan": q_text_scan,

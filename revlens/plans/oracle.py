@@ -218,6 +218,7 @@ SELECT doc_id, idx, tf FROM tf JOIN vocab USING (term)""",
     "eval_accuracy": f"WITH {_metrics()} SELECT n, round(accuracy, 6) AS accuracy FROM met",
     "eval_f1_weighted": f"WITH {_metrics()} SELECT n, round(f1, 6) AS f1 FROM met",
     "nb_incremental": f"WITH {_count_vector_nb()} SELECT label, idx, round(theta, 6) AS theta FROM nb_theta",
+    "nb_tables_predict": f"WITH {_count_vector_nb()} SELECT doc_id, label, prediction, round(score, 6) AS score FROM nb_out",
     "write_with_metrics": f"WITH {_metrics()} SELECT 'nb' AS model, n, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1 FROM met",
     "csv_roundtrip": f"WITH {_reviews()} SELECT doc_id, score, text FROM reviews "
                      "WHERE score IS NOT NULL AND text IS NOT NULL",

@@ -7,8 +7,10 @@ restarts -- replaces its own counts, so every batch counts once.  The model is
 made from the sums of all batches: vocabulary, prior and parameters are those
 of one fit over all documents.
 
-The table is Parquet, partitioned by ``batch``; a reader sees of a batch all
-counts or none of a failed one.  Its size is that of the distinct words of
+The table is Parquet, partitioned by ``batch``.  Tasks write aside, and the job
+moves a batch's folder into place at its end: a batch whose job fails before
+leaves no counts, one that fails while moving is mended by adding it again.
+Read it while no batch is being added.  Its size is that of the distinct words of
 each batch and class, whatever the number of documents.
 """
 

@@ -24,11 +24,13 @@ from revlens.plans.relational import (
     NGRAM_VOCAB_SIZES, VOCAB_SIZE, build_corpus, labelled_words, count_vector_nb, ngram_tfidf_features, ngram_tfidf_nb,
 )
 from revlens.plans.tables import load_tables, save_nb, score_nb_tables
+from revlens.plans.term_tables import open_terms, store_terms
 from revlens.session import scratch_path
 from revlens.sources import (
     annotations, labelled_documents, read_lines, read_reviews_csv, reviews, reviews_with_nulls,
     write_reviews_csv,
 )
+from revlens.sources.committed import read_committed, write_committed
 from revlens.sources.tables import documents
 
 
@@ -175,6 +177,13 @@ def q_tfidf_long(spark, sf_dir):
     return ts.tfidf(tf, _idf(spark, sf_dir, 0)).select("doc_id", "term", "tf", _r("tfidf").alias("tfidf"))
 
 
+def q_tfidf_bucketed(spark, sf_dir):
+    """tf-idf from tables bucketed by term: the join moves no rows."""
+    path = scratch_path(spark, "term-tables")
+    store_terms(_doc_words(spark, sf_dir), "words", path).close()
+    return open_terms(spark, path).tfidf().select("doc_id", "term", "tf", _r("tfidf").alias("tfidf"))
+
+
 def q_count_vector_long(spark, sf_dir):
     c = _corpus(spark, sf_dir)
     vocab = ts.vocabulary(c.where(F.col("split") == "train"), "words", VOCAB_SIZE)
@@ -256,6 +265,13 @@ def q_write_with_metrics(spark, sf_dir):
     return report.select("model", "n", _r("accuracy").alias("accuracy"), _r("f1").alias("f1"))
 
 
+def q_committed_predictions(spark, sf_dir):
+    """Predictions written as one commit and read back by its file list."""
+    path = scratch_path(spark, "committed-predictions")
+    write_committed(_nb(spark, sf_dir).predictions, path)
+    return read_committed(spark, path).select("doc_id", "label", "prediction", _r("score").alias("score"))
+
+
 # --- file sources -------------------------------------------------------------
 
 def q_csv_roundtrip(spark, sf_dir):
@@ -294,6 +310,7 @@ SPARK_QUERIES = {
     "idf_weights": q_idf_weights,
     "idf_weights_mindf": q_idf_weights_mindf,
     "tfidf_long": q_tfidf_long,
+    "tfidf_bucketed": q_tfidf_bucketed,
     "count_vector_long": q_count_vector_long,
     "assemble_ngram_features": q_assemble_ngram_features,
     "nb_prior": q_nb_prior,
@@ -306,6 +323,7 @@ SPARK_QUERIES = {
     "nb_incremental": q_nb_incremental,
     "nb_tables_predict": q_nb_tables_predict,
     "write_with_metrics": q_write_with_metrics,
+    "committed_predictions": q_committed_predictions,
     "csv_roundtrip": q_csv_roundtrip,
     "text_scan": q_text_scan,
 }

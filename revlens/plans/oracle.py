@@ -224,3 +224,6 @@ SELECT doc_id, idx, tf FROM tf JOIN vocab USING (term)""",
                      "WHERE score IS NOT NULL AND text IS NOT NULL",
     "text_scan": "SELECT unnest(string_split(text, chr(10))) AS line FROM documents",
 }
+# the same rows by another storage
+ORACLE_SQL["tfidf_bucketed"] = ORACLE_SQL["tfidf_long"]
+ORACLE_SQL["committed_predictions"] = ORACLE_SQL["nb_predict"]

@@ -1,5 +1,6 @@
 """Sources and sinks."""
 
+from revlens.sources.committed import commits, read_committed, write_committed  # noqa: F401
 from revlens.sources.files import (  # noqa: F401
     CSV_OPTIONS, OWN_COLUMNS, REVIEW_COLUMNS, labelled_reviews, read_lines, read_reviews_csv, with_line_ids, write_predictions,
     write_reviews_csv,

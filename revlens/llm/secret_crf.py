@@ -9,9 +9,17 @@ weights of hashed features; transitions are a 3 x 3 table.  Decoding is
 Viterbi over all lines of an Arrow batch at a time.
 
 The field is trained here, by maximum likelihood on the driver, on a bounded
-sample (``TRAIN_DOCS`` documents of at most ``TRAIN_CHARS`` characters) whose tokens the fixed patterns label.  The
-patterns' spans always stay; the field adds every span that they don't cover
-whole.
+sample (``TRAIN_DOCS`` documents of at most ``TRAIN_CHARS`` characters) and on
+a passage of each with made-up secrets and harmless look-alikes put in, under
+key words, separators and quotes that the patterns do not know.  Secrets that
+the patterns match are labelled, so are the made-up ones; other tokens that
+look random are left open (summed over their tags), the rest is outside.  The
+token itself is a feature only if it is a word, so the field cannot learn
+secrets by heart.
+
+The patterns' spans always stay; the field adds every span that they don't
+cover whole, without quotes, brackets and punctuation around it.  Texts of over
+``PART_BYTES`` bytes are tagged part by part, cut between tokens.
 
 Defined results: NULL texts are empty; empty texts have no spans; rows that
 repeat a doc_id are scanned one by one; extra columns are carried by
@@ -20,15 +28,15 @@ repeat a doc_id are scanned one by one; extra columns are carried by
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.text_kernel import LOWER, NON_SPACE, row_slices, text_bytes, words_of
+from revlens.llm.text_kernel import LOWER, NON_SPACE, PART_BYTES, SLICE_BYTES, part_ends, row_slices, text_bytes, words_of
 
 #: Fixed values of the contract: kind, pattern, group whose length counts, its least length.
 BASE = [
@@ -51,16 +59,32 @@ MARGIN = 4.0
 OUT, BEGIN, INSIDE = 0, 1, 2
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """Leftmost non-overlapping matches of each kind that are long enough (code points)."""
+def _matches(text: str) -> list[tuple[str, int, int, int]]:
+    """Kind, start, end and start of the secret itself of every base span."""
     if not _MAY.search(text):
         return []
     out = []
     for kind, pattern, group, least in BASE:
-        out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+        out += [(kind, m.start(), m.end(), m.start(group)) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     return out
 
 
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """Leftmost non-overlapping matches of each kind that are long enough (code points)."""
+    return [(kind, a, b) for kind, a, b, _ in _matches(text)]
+
+
+def merged(spans) -> list[tuple[int, int]]:
+    """Disjoint ranges in order that together hold the (start, end) of ``spans``."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [tuple(x) for x in out]
+
+
 def spans_text(spans: list[tuple[str, int, int]]) -> str:
     """kind:start:end, ordered by start, then kind as listed, comma-joined."""
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
@@ -88,7 +112,7 @@ class Tokens:
         if n:
             self.features = self._features(buf, offsets - offsets[0], words.hash)
         else:
-            self.features = np.zeros((0, FEATURES), np.int32)
+            self.features, self.odd = np.zeros((0, FEATURES), np.int32), np.zeros(0, bool)
 
     def _features(self, buf, offsets, word):
         kind = _CLASS[buf]
@@ -104,8 +128,10 @@ class Tokens:
         some = sum((np.minimum(c, 1) << i) for i, c in enumerate(count))
         shape = share[0] + 4 * share[1] + 16 * share[2] + 64 * share[3]
         turn = np.minimum(8 * changes // np.maximum(size, 1), 7)
-        # the token's letters before its first = or : as a cue word, else the whole token
-        cue = (word >> np.uint64(20)).astype(np.int64)
+        # looks random: long, of letters and digits that take turns
+        self.odd = (size >= 16) & (count[2] > 0) & (count[0] + count[1] > 0) & (changes >= 4)
+        # the token itself, if it is short and has no digits
+        cue = np.where((size <= 20) & (count[2] == 0), (word >> np.uint64(20)).astype(np.int64), -1)
         before = np.append(0, cue[:-1]) * ~self.fresh
         last = np.append(self.fresh[1:], True)
         after = np.append(cue[1:], 0) * ~last
@@ -223,51 +249,143 @@ def marginals(emit: np.ndarray, step: np.ndarray, fresh: np.ndarray) -> tuple[np
     return prob, moves
 
 
-def gold_tags(texts: list[str], tokens: Tokens, byte_offsets: np.ndarray) -> np.ndarray:
-    """Tags of tokens by the base spans (a token that a span touches belongs to it)."""
+def _token_ranges(spans, text: str, offset: int, tokens: Tokens):
+    """First and last + 1 token that each span (code points of ``text``, whose bytes start at ``offset``) touches."""
+    for a, b in merged(spans):
+        lo = offset + len(text[:a].encode())
+        hi = lo + len(text[a:b].encode())
+        i, j = np.searchsorted(tokens.end, lo, "right"), np.searchsorted(tokens.start, hi, "left")
+        if i < j:
+            yield int(i), int(j)
+
+
+def gold_tags(texts: list[str], tokens: Tokens, byte_offsets: np.ndarray, spans=None) -> np.ndarray:
+    """Tags of tokens by ``spans`` of each text (default: the secrets that the patterns match).
+
+    A token that a span touches belongs to it.
+    """
     tags = np.zeros(len(tokens.start), np.int8)
     for r, text in enumerate(texts):
-        merged: list[list[int]] = []
-        for _, a, b in sorted(base_spans(text), key=lambda s: s[1]):
-            if merged and a < merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            lo = byte_offsets[r] + len(text[:a].encode())
-            hi = lo + len(text[a:b].encode())
-            hit = np.flatnonzero((tokens.row == r) & (tokens.start < hi) & (tokens.end > lo))
-            if len(hit):
-                tags[hit] = INSIDE
-                tags[hit[0]] = BEGIN
+        own = [(v, b) for _, _, b, v in _matches(text)] if spans is None else spans[r]
+        for i, j in _token_ranges(own, text, int(byte_offsets[r]), tokens):
+            tags[i] = BEGIN
+            tags[i + 1:j] = INSIDE
     return tags
 
 
-def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.15, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (WEIGHTS x 3) and transitions by gradient ascent on the log-likelihood."""
+# --- made-up examples -------------------------------------------------------------
+
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LEADS = ["auth", "credential", "pwd", "key", "bearer", "private", "access", "signing", "session", "login"]
+_JOINS = [" = ", ": ", "=", ":", " -> ", " := ", " => ", " is ", " "]
+_QUOTES = ["", "", '"', "'", "`"]
+
+
+def _draw(rng, letters: str, n: int) -> str:
+    return "".join(letters[i] for i in rng.integers(0, len(letters), n))
+
+
+def made_secret(rng) -> str:
+    """A random key of 16 to 64 characters in one of several alphabets."""
+    n = int(rng.integers(16, 65))
+    letters = [_DIGITS + "abcdef", _DIGITS + "ABCDEF", _DIGITS + _LOWER + _UPPER, _DIGITS + _LOWER + _UPPER + "+/",
+               _DIGITS + _UPPER, _DIGITS + _LOWER][rng.integers(0, 6)]
+    form = rng.integers(0, 4)
+    if form == 0:
+        return "-".join(_draw(rng, letters, 6) for _ in range(max(3, n // 7)))
+    if form == 1:
+        return _draw(rng, _LOWER, int(rng.integers(2, 5))) + "_" + _draw(rng, letters, n)
+    return _draw(rng, letters, n) + "=" * int(rng.integers(0, 3) if form == 2 else 0)
+
+
+def made_harmless(rng) -> str:
+    """Something of digits, letters and signs that is no secret."""
+    word = lambda a=3, b=11: _draw(rng, _LOWER, int(rng.integers(a, b)))
+    number = lambda a, b: str(rng.integers(1, 10)) + _draw(rng, _DIGITS, int(rng.integers(a, b)))
+    return [
+        lambda: f"{word()}.{number(0, 3)}@{word()}{number(0, 2)}.{word(3, 9)}.{word(2, 4)}",
+        lambda: f"https://{word()}.{word(2, 4)}/{word()}/{word()}-{word()}-{number(1, 8)}.html",
+        lambda: f"20{_draw(rng, _DIGITS, 2)}-0{number(0, 1)}-1{number(0, 1)}T1{number(0, 1)}:2{number(0, 1)}:{number(1, 2)}Z",
+        lambda: number(3, 24),
+        lambda: f"+{number(1, 2)}-{number(2, 3)}-{number(3, 8)}",
+        lambda: f"v{number(0, 1)}.{number(0, 2)}.{number(0, 3)}-{word()}{number(0, 2)}",
+        lambda: f"{word()}_{word()}_{number(0, 4)}.{word(2, 4)}",
+        lambda: f"/{word()}/{word()}/{word()}{number(0, 2)}/{word()}.{word(2, 4)}",
+        lambda: f"{word()}-{word()}-{word()}-{word()}",
+        lambda: word(16, 30),
+        lambda: word(16, 30).upper(),
+    ][rng.integers(0, 11)]()
+
+
+def planted(text: str, rng, leads=_LEADS, joins=_JOINS, words: int = 200):
+    """A passage of ``text`` with made-up secrets and harmless tokens between its words.
+
+    Returns the passage, and the spans (code points) of the secrets and of the harmless tokens.
+    """
+    parts = [p for p in re.split(r"( +)", text) if p.strip(" ")]
+    at = int(rng.integers(0, max(1, len(parts) - words)))
+    out, secrets, harmless, n = [], [], [], 0
+
+    def put(piece):
+        nonlocal n
+        out.append(piece)
+        n += len(piece)
+    parts = parts[at:at + words]
+    for p in [*parts, ""]:
+        dice = rng.random()
+        if dice < 0.02 or not p:
+            lead = str(rng.choice(leads)) if rng.random() < 0.6 else str(rng.choice(parts)) if parts else ""
+            quote = str(rng.choice(_QUOTES))
+            put(lead + str(rng.choice(joins)) + quote)
+            value = made_secret(rng)
+            secrets.append((n, n + len(value)))
+            put(value + quote + " ")
+        elif dice < 0.05:
+            value = made_harmless(rng)
+            if rng.random() < 0.3:  # a key word alone makes no secret
+                put(str(rng.choice(leads)) + str(rng.choice(joins)))
+            harmless.append((n, n + len(value)))
+            put(value + " ")
+        put(p + " ")
+    return "".join(out), secrets, harmless
+
+
+def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.15, decay: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (WEIGHTS x 3) and transitions by gradient ascent on the likelihood of the known tags.
+
+    Tokens left open take part with all tags: the gradient is the expectation
+    under the known tags less the expectation under none.
+    """
     weights, step = np.zeros((WEIGHTS, 3), np.float32), np.zeros((3, 3), np.float32)
     step[OUT, INSIDE] = -20.0  # inside follows begin or inside
-    if not texts:
-        weights[:, BEGIN:] = -1.0
-        return weights, step
-    buf, offsets = text_bytes(pa.array(texts, pa.string()))
+    rng = np.random.default_rng(seed)
+    made = [planted(t, rng) for t in texts]
+    buf, offsets = text_bytes(pa.array(texts + [m[0] for m in made], pa.string()))
     tokens = Tokens(buf, offsets)
-    tags = gold_tags(texts, tokens, offsets)
-    if not (tags == BEGIN).any():
+    if not len(tokens.start):
         weights[:, BEGIN:] = -1.0
         return weights, step
+    texts = texts + [m[0] for m in made]
+    matched = [[(v, b) for _, _, b, v in _matches(t)] for t in texts]
+    tags = gold_tags(texts, tokens, offsets, [x + y for x, y in zip(matched, [[]] * len(made) + [m[1] for m in made])])
+    known = (tags != OUT) | ~tokens.odd
+    for r, (text, (_, _, harmless)) in enumerate(zip(texts[len(made):], made), len(made)):
+        for i, j in _token_ranges(harmless, text, int(offsets[r]), tokens):
+            known[i:j] = True
+    closed = np.where(known[:, None] & (np.arange(3) != tags[:, None]), -50.0, 0.0)
     n, f = len(tags), tokens.features
-    gold = np.eye(3)[tags]
     before = np.where(tokens.fresh, OUT, np.append(OUT, tags[:-1]))
-    gold_moves = np.zeros((3, 3))
-    np.add.at(gold_moves, (before, tags), 1)
+    moves = np.zeros((3, 3))
+    np.add.at(moves, (before, tags), 1)
     # begin at the transitions' smoothed frequencies
-    step[:] = np.log((gold_moves + 0.1) / (gold_moves + 0.1).sum(1, keepdims=True))
+    step[:] = np.log((moves + 0.1) / (moves + 0.1).sum(1, keepdims=True))
     step[OUT, INSIDE] = -20.0
     flat, both = f.ravel(), [weights, step]
     mean, square = [np.zeros_like(x) for x in both], [np.zeros_like(x) for x in both]
     for t in range(1, epochs + 1):  # Adam on the log-likelihood
-        prob, moves = marginals(tokens.emissions(weights).astype(float), step.astype(float), tokens.fresh)
+        emit = tokens.emissions(weights).astype(float)
+        prob, moves = marginals(emit, step.astype(float), tokens.fresh)
+        gold, gold_moves = marginals(emit + closed, step.astype(float), tokens.fresh)
         delta = gold - prob
         grads = [np.stack([np.bincount(flat, np.repeat(delta[:, c], FEATURES), WEIGHTS) for c in range(3)], 1) - decay * n * weights / WEIGHTS,
                  gold_moves - moves]
@@ -275,55 +393,71 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.15, decay: flo
             mean[k] = 0.9 * mean[k] + 0.1 * grad
             square[k] = 0.99 * square[k] + 0.01 * grad ** 2
             both[k] += (rate * (mean[k] / (1 - 0.9 ** t)) / (np.sqrt(square[k] / (1 - 0.99 ** t)) + 1e-8)).astype(np.float32)
+        step[OUT, INSIDE] = -20.0
     return weights, step
 
 
-def _covered(a: int, b: int, spans: list[tuple[str, int, int]]) -> bool:
-    """Whether ``spans`` together hold all of a..b."""
-    for _, x, y in sorted(spans, key=lambda s: s[1]):
-        if x > a:
-            break
-        a = max(a, y)
-    return a >= b
+def _covered(a: int, b: int, ranges: list[tuple[int, int]]) -> bool:
+    """Whether one of the disjoint ranges, which are in order, holds all of a..b."""
+    i = bisect_right(ranges, (a, float("inf"))) - 1
+    return i >= 0 and ranges[i][1] >= b
+
 
+#: Characters around a secret that are no part of it.
+_AROUND = "\"'`()[]{}<>,;:.!?#$%&*|"
 
-def _crf_spans(texts, tokens: Tokens, byte_offsets, model, taken):
-    """Spans of the field per text that hold a character outside the spans in ``taken``."""
+
+def field_spans(buf: np.ndarray, offsets: np.ndarray, model) -> list[tuple[int, int, int]]:
+    """(row, start, end) of the field's spans of tokens, in bytes of ``buf``."""
+    tokens = Tokens(buf, offsets)
+    if not len(tokens.start):
+        return []
     weights, step = model
     emit = tokens.emissions(weights)
     tags = viterbi(emit, step, tokens.fresh)
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     hits = np.flatnonzero(tags != OUT)
-    gain = emit.max(1) - emit[:, OUT]
-    i = 0
-    while i < len(hits):
-        j = i
-        while j + 1 < len(hits) and hits[j + 1] == hits[j] + 1 and tags[hits[j + 1]] == INSIDE and not tokens.fresh[hits[j + 1]]:
-            j += 1
-        lo, hi = hits[i], hits[j]
-        if gain[lo:hi + 1].sum() >= MARGIN:
-            r = int(tokens.row[lo])
-            raw = texts[r].encode()
-            a = len(raw[:tokens.start[lo] - byte_offsets[r]].decode())
-            b = a + len(raw[tokens.start[lo] - byte_offsets[r]:tokens.end[hi] - byte_offsets[r]].decode())
-            if not _covered(a, b, taken[r]):
-                out[r].append(("crf", a, b))
-        i = j + 1
+    if not len(hits):
+        return []
+    starts = np.append(True, (np.diff(hits) > 1) | (tags[hits[1:]] == BEGIN) | tokens.fresh[hits[1:]])
+    first = np.flatnonzero(starts)
+    sure = np.add.reduceat((emit.max(1) - emit[:, OUT])[hits], first) >= MARGIN
+    last = np.append(first[1:], len(hits)) - 1
+    return [(int(tokens.row[i]), int(tokens.start[i]), int(tokens.end[j])) for i, j in zip(hits[first[sure]], hits[last[sure]])]
+
+
+def _own_spans(buf: np.ndarray, offsets: np.ndarray, found, base) -> list[list[tuple[str, int, int]]]:
+    """The field's spans per row as code points, trimmed; those that base spans hold whole are left out."""
+    out: list[list[tuple[str, int, int]]] = [[] for _ in base]
+    chars, taken = None, {}
+    for r, lo, hi in found:
+        if chars is None:  # code points before each byte
+            chars = np.append(0, np.cumsum((buf & 0xC0) != 0x80))
+        if r not in taken:
+            taken[r] = merged((a, b) for _, a, b in base[r])
+        raw = buf[lo:hi].tobytes().decode()
+        a = int(chars[lo] - chars[offsets[r]]) + len(raw) - len(raw.lstrip(_AROUND))
+        b = a + len(raw.strip(_AROUND))
+        if a < b and not _covered(a, b, taken[r]):
+            out[r].append(("crf", a, b))
     return out
 
 
-def scan(column, model) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+def scan(column, model, part: int = PART_BYTES) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """(base spans, field spans) of each text of an Arrow string column."""
-    found = []
+    result = []
     buf, offsets = text_bytes(column)
-    for lo, hi in row_slices(offsets):
+    for lo, hi in row_slices(offsets, min(part, SLICE_BYTES)):
         texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
         base = [base_spans(t) for t in texts]
-        cut = offsets[lo:hi + 1] - offsets[lo]
-        tokens = Tokens(buf[offsets[lo]:offsets[hi]], cut)
-        extra = _crf_spans(texts, tokens, cut, model, base) if len(tokens.start) else [[] for _ in texts]
-        found += list(zip(base, extra))
-    return found
+        cut, piece = offsets[lo:hi + 1] - offsets[lo], buf[offsets[lo]:offsets[hi]]
+        if len(piece) <= part:
+            found = field_spans(piece, cut, model)
+        else:  # one long text
+            ends = part_ends(piece, NON_SPACE, part)
+            found = [(0, x + a, x + b) for x, y in zip([0, *ends[:-1]], ends)
+                     for _, a, b in field_spans(piece[x:y], np.array([0, y - x]), model)]
+        result += list(zip(base, _own_spans(piece, cut, found, base)))
+    return result
 
 
 # --- Spark jobs ------------------------------------------------------------------

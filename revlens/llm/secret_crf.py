@@ -120,7 +120,7 @@ class Tokens:
         sums = [np.append(0, np.cumsum(kind == c)) for c in range(5)]
         count = [s[self.end] - s[self.start] for s in sums]
         change = np.append(0, np.cumsum(np.append(False, kind[1:] != kind[:-1])))
-        changes = change[self.end - 1] - change[self.start]
+        changes = change[self.end] - change[self.start + 1]  # inside the token: the row before is no part of it
         equals = np.append(0, np.cumsum((buf == 0x3D) | (buf == 0x3A)))
         has_equal = (equals[self.end] - equals[self.start] > 0).astype(np.int64)
         bucket = np.minimum(np.log2(size + 1) * 3, 31).astype(np.int64)

@@ -76,3 +76,14 @@ def test_rows_outside_the_classes(spark, tmp_path, odd):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     with pytest.raises(ValueError, match="classes"):
         write_with_metrics(preds, str(tmp_path / "none"), {"m": "p"}, [])
+
+
+def test_models_after_metrics_while_writing(spark, tmp_path):
+    """Binary classifiers fitted after a report was counted can still be sent to executors."""
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    from pyspark.ml.linalg import Vectors
+    preds = spark.createDataFrame([(0.0, 1.0), (1.0, 1.0)], "label double, p double")
+    write_with_metrics(preds, str(tmp_path / "out"), {"m": "p"}, [0, 1])
+    data = spark.createDataFrame([(Vectors.dense([float(i), 1.0]), float(i > 20)) for i in range(40)], ["features", "label"])
+    for estimator in (LogisticRegression(maxIter=5), LinearSVC(maxIter=5)):
+        assert estimator.fit(data).transform(data).where("prediction >= 0").count() == 40

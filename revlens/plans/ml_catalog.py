@@ -276,9 +276,9 @@ def q_stream_score(spark, sf_dir):
     st, col = tfidf_stages()
     fp = fit_text_pipeline(train, st, col, ("nb",))
     schema = read_table(spark, sf_dir, "conversations").schema
-    sink = score_files(spark, sf_dir, schema, fp, "nb", ["conv_id", "turn"],
-                       scratch_path(spark, "stream-predictions"), scratch_path(spark, "stream-checkpoint"),
-                       file_glob="conversations.parquet")
+    # the table may be one file or a folder of files; as a pattern, the path stands for either
+    sink = score_files(spark, f"{sf_dir.rstrip('/')}/conversation[s].parquet", schema, fp, "nb", ["conv_id", "turn"],
+                       scratch_path(spark, "stream-predictions"), scratch_path(spark, "stream-checkpoint"))
     streamed = spark.read.parquet(sink).withColumnRenamed("prediction", "streamed")
     batch = score(read_table(spark, sf_dir, "conversations"), fp, "nb", id_col=["conv_id", "turn"])
     both = batch.join(streamed, ["conv_id", "turn"], "full")

@@ -27,6 +27,8 @@ file that opens a quote and never closes it is one record to its end.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +39,28 @@ from pyspark.sql import functions as F
 
 #: Records or lines of one file that ids have room for.
 FILE_IDS = 1 << 40
+#: Bytes of small splits that one task reads.
+TASK_BYTES = 16 << 20
 
 
 def scanned_lines(spark: SparkSession, paths) -> DataFrame:
-    """``line, file, block`` of text files: every line with the split it comes from."""
-    return spark.read.option("lineSep", "\n").text(paths).select(
+    """``line, file, block`` of text files: every line with the split it comes from.
+
+    Splits far smaller than ``TASK_BYTES`` are read several to a task, so the
+    number of tasks follows the bytes and not the size of a split.
+    """
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"))
+    splits, most = lines.rdd.getNumPartitions(), _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(splits * most / TASK_BYTES))
+    return lines.coalesce(tasks) if tasks < splits else lines
+
+
+def _bytes(setting: str) -> int:
+    """Bytes of a size setting such as ``64k``, ``128MB`` or ``134217728b``."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)i?b?", setting.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
 
 
 def _segments(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.Array]]:

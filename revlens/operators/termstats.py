@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.operators.skew import DEFAULT_HOT_KEYS, hot_cold_join, top_keys
+from revlens.session import scratch_path
 
 
 def explode_with_pos(df: DataFrame, array_col: str, keep: list[str], pos_col: str = "pos",
@@ -95,12 +96,16 @@ def tfidf(tf: DataFrame, idf: DataFrame, term_col: str = "term", bounded: bool =
     or a fixed hash space) and is broadcast.  Otherwise the idf table grows with
     the corpus: the rows of the ``hot_keys`` terms with the highest document
     frequency (exactly the number of tf rows per term) meet their weights by
-    broadcast, the others by a sort-merge join.
+    broadcast, the others by a sort-merge join.  Four branches of that join
+    read the weights, so they are written once and not counted in each.
     """
     weights = idf.select(term_col, "df", "idf")
     if bounded:
         joined = tf.join(F.broadcast(weights), term_col)
     else:
+        path = scratch_path(weights.sparkSession, "term-weights")
+        weights.write.parquet(path)
+        weights = weights.sparkSession.read.schema(weights.schema).parquet(path)
         joined = hot_cold_join(tf, weights, term_col, top_keys(weights, term_col, "df", hot_keys))
     return joined.withColumn("tfidf", F.col("tf") * F.col("idf"))
 

@@ -80,16 +80,23 @@ def q_hashing_tf_rows(spark, sf_dir):
     document: its mass, and whether every bucket agrees."""
     hashing = HashingTF(inputCol="words", outputCol="tf", numFeatures=1000)
     words = PipelineModel(stages=prepare_stages()).transform(documents(spark, sf_dir)).select("doc_id", "words")
-    theirs = vector_to_long(hashing.transform(words), "tf").select("doc_id", "idx", F.col("value").alias("theirs"))
+    # both sides as one array of (idx, value) a document: a pair of rows a bucket would be a second corpus to join
+    at_places = F.transform(vector_to_array("tf"), lambda v, i: F.struct(i.alias("idx"), v.alias("value")))
+    theirs = hashing.transform(words).select("doc_id", F.filter(at_places, lambda p: p["value"] != 0.0).alias("p")) \
+        .groupBy("doc_id").agg(F.flatten(F.collect_list("p")).alias("theirs"))
     tf = ts.term_frequency(words, "words")
+    path = scratch_path(spark, "hashed-terms")   # three branches read the terms' counts and buckets
     counts = ts.document_frequency(words, "words")
-    single = hashing.transform(counts.select("term", F.array("term").alias("words")))
-    buckets = single.select("term", F.array_position(vector_to_array("tf"), 1.0).alias("at"))
-    mine = (hot_cold_join(tf, buckets, "term", top_keys(counts, "term", "df"))
-            .groupBy("doc_id", (F.col("at") - 1).cast("int").alias("idx")).agg(F.sum("tf").cast("double").alias("mine")))
-    both = mine.join(theirs.withColumn("idx", F.col("idx").cast("int")), ["doc_id", "idx"], "full")
-    per_doc = both.groupBy("doc_id").agg(
-        F.sum("theirs").alias("mass"), F.every(F.col("mine").eqNullSafe(F.col("theirs"))).alias("same"))
+    single = hashing.transform(counts.select("term", "df", F.array("term").alias("words")))
+    single.select("term", "df", F.array_position(vector_to_array("tf"), 1.0).alias("at")).write.parquet(path)
+    terms = spark.read.schema("term string, df long, at long").parquet(path)
+    mine = (hot_cold_join(tf, terms.select("term", "at"), "term", top_keys(terms, "term", "df"))
+            .groupBy("doc_id", (F.col("at") - 1).cast("int").alias("idx")).agg(F.sum("tf").cast("double").alias("value"))
+            .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("mine")))
+    mass = F.aggregate("theirs", F.lit(0.0), lambda a, p: a + p["value"])
+    same = F.sort_array(F.array_distinct("theirs")) == F.col("mine")
+    per_doc = theirs.join(mine, "doc_id", "left").where((F.size("theirs") > 0) | F.col("mine").isNotNull()).select(
+        "doc_id", mass.alias("mass"), F.coalesce(same, F.lit(False)).alias("same"))
     return words.select("doc_id").join(per_doc, "doc_id", "left").select(
         "doc_id", F.coalesce("mass", F.lit(0.0)).alias("mass"), F.coalesce("same", F.lit(True)).alias("same"))
 
@@ -397,9 +404,11 @@ def q_stem_consistency(spark, sf_dir):
     words = PipelineModel(stages=prepare_stages()).transform(documents(spark, sf_dir)).select("doc_id", "words")
     once = stem_tokens(words.withColumn("once", F.array_distinct("words")), "once", "once_stems")
     stemmed = stem_tokens(once, "words", "stems")
-    place = F.transform("words", lambda w: F.element_at("once_stems", F.array_position("once", w).cast("int")))
+    # every (word, stem) of a place is one of the distinct words' pairs: sets of strings, no search per token
+    pair = lambda words, stems: F.zip_with(words, stems, lambda w, s: F.concat(w, F.lit(" "), s))
+    strange = F.array_except(pair("words", "stems"), pair("once", "once_stems"))
     return _checks(stemmed,
-                   same_stems=F.sum((F.col("stems") != place).cast("int")) == 0,
+                   same_stems=F.sum((F.size(strange) > 0).cast("int")) == 0,
                    same_lengths=F.sum((F.size("stems") != F.size("words")).cast("int")) == 0)
 
 

@@ -181,7 +181,10 @@ def q_tfidf_bucketed(spark, sf_dir):
     """tf-idf from tables bucketed by term: the join moves no rows."""
     path = scratch_path(spark, "term-tables")
     store_terms(_doc_words(spark, sf_dir), "words", path).close()
-    return open_terms(spark, path).tfidf().select("doc_id", "term", "tf", _r("tfidf").alias("tfidf"))
+    tables = open_terms(spark, path)
+    out = tables.tfidf().select("doc_id", "term", "tf", _r("tfidf").alias("tfidf"))
+    tables.close()   # the plan has the files; the session's catalog stays as it was
+    return out
 
 
 def q_count_vector_long(spark, sf_dir):

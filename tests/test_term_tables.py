@@ -69,3 +69,15 @@ def test_empty(spark, docs, tmp_path):
     again = open_terms(spark, str(tmp_path / "t"))
     assert again.tfidf().columns == ["term", "doc_id", "tf", "df", "idf", "tfidf"] and again.tfidf().count() == 0
     again.close()
+
+
+def test_query_leaves_no_tables(spark, tmp_path):
+    from revlens.plans.catalog import SPARK_QUERIES
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame([(1, "red red blue"), (2, "blue"), (3, None)], "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    before = {t.name for t in spark.catalog.listTables()}
+    out = SPARK_QUERIES["tfidf_bucketed"](spark, sf)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert {(r.doc_id, r.term, r.tf) for r in out.collect()} == {(1, "red", 2), (1, "blue", 1), (2, "blue", 1)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan

@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 #: Records or lines of one file that ids have room for.
 FILE_IDS = 1 << 40
-#: Bytes of small splits that one task reads.
-TASK_BYTES = 16 << 20
+#: Bytes of small splits that one task reads, where that leaves so many tasks for every core.
+TASK_BYTES, TASKS_PER_CORE = 16 << 20, 16
 
 
 def scanned_lines(spark: SparkSession, paths) -> DataFrame:
@@ -53,7 +53,7 @@ def scanned_lines(spark: SparkSession, paths) -> DataFrame:
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"))
     splits, most = lines.rdd.getNumPartitions(), _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(splits * most / TASK_BYTES))
+    tasks = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, math.ceil(splits * most / TASK_BYTES))
     return lines.coalesce(tasks) if tasks < splits else lines
 
 

@@ -58,7 +58,7 @@ def test_small_splits_share_tasks(spark, tmp_path):
     other.conf.set("spark.sql.files.openCostInBytes", "0")
     lines = splits.scanned_lines(other, str(tmp_path / "lines"))
     assert lines.select("block").distinct().count() > 100
-    assert lines.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert lines.rdd.getNumPartitions() <= splits.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
     got = splits.read_numbered_lines(other, str(tmp_path / "lines")).collect()
     assert sorted((r.id, r.line) for r in got) == [(i, f"line {i}") for i in range(60_000)]
 

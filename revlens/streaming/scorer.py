@@ -2,9 +2,10 @@
 they arrive.
 
 New review files are picked up by a file source, every micro-batch goes
-through the fitted pipeline (preparation, features, classifier; all
-row-wise, so no state is kept between batches) and predictions are appended
-to a Parquet sink.  The caller names the checkpoint folder (shared storage): a
+through the fitted pipeline (preparation, features, classifier; no state is
+kept between batches) and predictions are appended to a Parquet sink.  Word
+vectors are a table, which batches are joined with one by one: their sink has a
+folder for each, ``batch=<n>``, which a repeated batch replaces.  The caller names the checkpoint folder (shared storage): a
 query restarted with it resumes where it stopped and each file is scored once.
 """
 
@@ -38,6 +39,15 @@ def score_files(spark: SparkSession, source_dir: str, schema: T.StructType, fitt
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
     stream = reader.parquet(source_dir)
+    if fitted.vectors is not None:
+        if classifier not in fitted.classifiers:
+            raise ValueError(f"model has no {classifier!r} classifier")
+
+        def write(batch: DataFrame, n: int) -> None:
+            stream_predictions(batch, fitted, classifier, id_cols).write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/batch={n}")
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint) \
+            .trigger(availableNow=True).start().awaitTermination()
+        return sink_path
     query = (stream_predictions(stream, fitted, classifier, id_cols)
              .writeStream.format("parquet").outputMode("append")
              .option("path", sink_path).option("checkpointLocation", checkpoint)

@@ -33,10 +33,11 @@ from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.text_kernel import LOWER, NON_SPACE, PART_BYTES, SLICE_BYTES, part_ends, row_slices, text_bytes, words_of
+from revlens.llm.text_kernel import LOWER, NON_SPACE, PART_BYTES, part_ends, row_slices, text_bytes, words_of
 
 #: Fixed values of the contract: kind, pattern, group whose length counts, its least length.
 BASE = [
@@ -96,6 +97,10 @@ _CLASS = np.full(256, 3, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 sign, 4 other
 _CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A], _CLASS[0x80:] = 0, 1, 2, 4
 
 
+#: Bytes of texts whose tokens are tagged together: a byte takes about 100 bytes of sums and features.
+SCAN_BYTES = 512 << 10
+
+
 class Tokens:
     """Tokens of a range of texts with feature ids, and the line each is in."""
 
@@ -446,7 +451,7 @@ def scan(column, model, part: int = PART_BYTES) -> list[tuple[list[tuple[str, in
     """(base spans, field spans) of each text of an Arrow string column."""
     result = []
     buf, offsets = text_bytes(column)
-    for lo, hi in row_slices(offsets, min(part, SLICE_BYTES)):
+    for lo, hi in row_slices(offsets, min(part, SCAN_BYTES)):
         texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
         base = [base_spans(t) for t in texts]
         cut, piece = offsets[lo:hi + 1] - offsets[lo], buf[offsets[lo]:offsets[hi]]
@@ -529,7 +534,8 @@ def redact(docs: DataFrame, model=None, text_col: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             column = batch.column(at).cast(pa.string())
-            texts = column.to_pylist()
-            done = [t if t is None or not (x or y) else blank_out(t, x + y) for t, (x, y) in zip(texts, scan(column, held.value))]
-            yield batch.set_column(at, text_col, pa.array(done, pa.string()))
+            spans = [x + y for x, y in scan(column, held.value)]
+            some = np.array([bool(s) for s in spans], bool)  # only these texts become Python objects and new values
+            done = [blank_out(column[i].as_py(), spans[i]) for i in np.flatnonzero(some).tolist()]
+            yield batch.set_column(at, text_col, pc.replace_with_mask(column, pa.array(some), pa.array(done, pa.string())))
     return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, docs.withColumn(text_col, F.col(text_col).cast("string")).schema)

@@ -7,6 +7,7 @@ import re
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -419,3 +420,14 @@ def test_pipeline_stages(spark):
     four = secrets(spark, held, SF)
     assert four.columns == docs.columns and four.count() == held.count() and HEX not in four.where("doc_id = 9004").first()["text"]
     assert pack(spark, held, SF).select("doc_id").distinct().count() == held.count()
+
+
+def test_secret_scan_tags_few_texts_at_a_time(monkeypatch):
+    """A slice's sums take about 100 bytes a byte: many texts in a batch are tagged slice by slice, with the same spans."""
+    texts = pa.array([f"note {i} password = hunter{i}xyz " + "plain words here\n" * 400 for i in range(400)], pa.string())
+    model = (np.zeros((secret_crf.WEIGHTS, 3), np.float32), np.zeros((3, 3), np.float32))
+    sizes, field = [], secret_crf.field_spans
+    monkeypatch.setattr(secret_crf, "field_spans", lambda buf, offsets, m: sizes.append(len(buf)) or field(buf, offsets, m))
+    got = secret_crf.scan(texts, model)
+    assert sum(sizes) > 2 << 20 and max(sizes) <= 600_000
+    assert got == [s for i in range(len(texts)) for s in secret_crf.scan(texts.slice(i, 1), model)]

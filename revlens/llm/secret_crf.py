@@ -8,7 +8,7 @@ of the whole text (size, share of digits and signs).  Emissions are sums of
 weights of hashed features; transitions are a 3 x 3 table.  Decoding is
 Viterbi over all lines of an Arrow batch at a time.
 
-The field is trained here, by maximum likelihood on the driver, on a bounded
+The field is trained here, by maximum likelihood in one task, on a bounded
 sample (``TRAIN_DOCS`` documents of at most ``TRAIN_CHARS`` characters) and on
 a passage of each with made-up secrets and harmless look-alikes put in, under
 key words, separators and quotes that the patterns do not know.  Secrets that
@@ -106,7 +106,7 @@ class Tokens:
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         words = words_of(buf, offsets, NON_SPACE)
-        self.start, self.end, self.first = words.start, words.end, words.first
+        self.start, self.end = words.start, words.end
         n = len(self.start)
         self.row = np.repeat(np.arange(len(offsets) - 1), words.counts)
         newline = np.append(0, np.cumsum(buf == 0x0A))
@@ -119,6 +119,18 @@ class Tokens:
         else:
             self.features, self.odd = np.zeros((0, FEATURES), np.int32), np.zeros(0, bool)
 
+    @classmethod
+    def in_slices(cls, buf: np.ndarray, offsets: np.ndarray, size: int = SCAN_BYTES) -> Tokens:
+        """The same tokens, made from slices of rows: the sums over bytes are held for one slice at a time."""
+        parts = [(lo, int(offsets[lo]), cls(buf[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])) for lo, hi in row_slices(offsets, size)]
+        if not parts:
+            return cls(buf, offsets)
+        out = cls.__new__(cls)
+        out.start, out.end = (np.concatenate([getattr(t, k) + at for _, at, t in parts]) for k in ("start", "end"))
+        out.row = np.concatenate([t.row + lo for lo, _, t in parts])
+        out.fresh, out.features, out.odd = (np.concatenate([getattr(t, k) for _, _, t in parts]) for k in ("fresh", "features", "odd"))
+        return out
+
     def _features(self, buf, offsets, word):
         kind = _CLASS[buf]
         size = self.end - self.start
@@ -366,7 +378,7 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.15, decay: flo
     rng = np.random.default_rng(seed)
     made = [planted(t, rng) for t in texts]
     buf, offsets = text_bytes(pa.array(texts + [m[0] for m in made], pa.string()))
-    tokens = Tokens(buf, offsets)
+    tokens = Tokens.in_slices(buf, offsets)
     if not len(tokens.start):
         weights[:, BEGIN:] = -1.0
         return weights, step
@@ -471,18 +483,29 @@ def fit(docs: DataFrame, sample: int = TRAIN_DOCS):
     """Train on at most ``sample`` different texts: half of those a pattern may match, half of any.
 
     They are the first in a hash order.  A threshold on the hash leaves about
-    four times as many before they are sorted, so what tasks send to the driver
-    doesn't grow with the input.
+    four times as many before they are sorted, so what is shuffled doesn't grow
+    with the input.  The sample goes to one task; the driver gets the weights.
     """
     text = docs.select(F.col("text").cast("string").alias("text")).where(F.length("text") <= TRAIN_CHARS)
     may = text.where(F.col("text").rlike(r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{24}"))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picked = []
-    for part in (may, text):
+    picked = None
+    for half, part in enumerate((may, text)):
         n = part.select(F.xxhash64("text")).distinct().count()  # different texts: copies take no place in the sample
         few = part.withColumn("place", place).where(F.col("place") * F.lit(n) <= 2 * sample).distinct()
-        picked += [r["text"] for r in few.orderBy("place", "text").limit(sample // 2).collect()]
-    return train(picked)
+        few = few.orderBy("place", "text").limit(sample // 2).select(F.lit(half).alias("half"), "place", "text")
+        picked = few if picked is None else picked.unionByName(few)
+    row = picked.repartition(1).mapInArrow(_trained, "weights binary, step binary").first()
+    if row is None:  # no texts
+        return train([])
+    return np.frombuffer(row["weights"], np.float32).reshape(WEIGHTS, 3), np.frombuffer(row["step"], np.float32).reshape(3, 3)
+
+
+def _trained(batches):
+    """The whole sample (half, place, text) -> one row: weights and transitions."""
+    rows = sorted(r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns]))
+    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in train([text for _, _, text in rows])],
+                                     names=["weights", "step"])
 
 
 def find_secrets(docs: DataFrame, model=None) -> DataFrame:

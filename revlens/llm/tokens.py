@@ -4,8 +4,9 @@ Both tokenizers used here split a text into words before anything else, and
 their splitting never looks back, so a text may be cut before white space and
 between a letter or digit and a comma or dot: encoding the pieces one by one
 gives the ids of the whole text.  Each distinct piece is encoded once per
-Python worker by the ``tokenizers`` library and kept in a bounded table; texts
-with the library's own special markers are encoded whole.
+Python worker by the ``tokenizers`` library (a piece of letters by its model
+alone) and kept in a bounded table; texts with the library's own special
+markers are encoded whole.
 """
 
 from __future__ import annotations
@@ -34,6 +35,28 @@ _ODD_COLUMN = r"[\s\v\pZ\x{85}\x1c-\x1f]{3}|[\s\v\pZ\x{85}\x1c-\x1f]{2}$|[^\pL\p
 _WHOLE_COLUMN = r"<\||[\x1c-\x1f]"
 _WITH_SPACE = re.compile(r"\s*\S+|\s+").findall
 _NO_SPACE = re.compile(r"\S+").findall
+#: One word to a byte-level tokenizer, which takes letters together with the space before them.
+_LETTERS = re.compile("\x20?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+").fullmatch
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself if it prints, else one from U+0100 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in prints]
+    return {b: 0x100 + i for i, b in enumerate(rest)}
+
+
+_BYTE_SIGNS = _byte_signs()
+_SPACE_SIGN = chr(_BYTE_SIGNS[0x20])
+
+
+def _as_bytes(lists: list[list[int]]) -> Iterable[bytes]:
+    """Each list as little-endian uint32."""
+    flat = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
+    at = 0
+    for ids in lists:
+        yield flat[at:at + 4 * len(ids)]
+        at += 4 * len(ids)
 
 
 def pieces_with_space(text: str, odd: bool = True) -> list[str]:
@@ -67,16 +90,32 @@ class Encoder:
         self.cut = pieces_without_space if drops_space else pieces_with_space
         self.cache: dict[str, bytes] = {}
         self.limit = cache_pieces
-
-    def _encode(self, pieces: list[str]) -> Iterable[bytes]:
+        self.letters = self._takes_letters()
+
+    def _takes_letters(self) -> bool:
+        """Whether the model alone encodes a piece of letters: nothing before it but splitting into words and bytes."""
+        from tokenizers import models, pre_tokenizers
+        t = self.tokenizer
+        before, model = t.pre_tokenizer, t.model
+        return (t.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel) and not before.add_prefix_space and before.use_regex
+                and isinstance(model, models.BPE) and not model.dropout
+                and not any(_LETTERS(a.content) for a in t.get_added_tokens_decoder().values()))
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; those of letters go to the model at once, which spares the library's record of every piece."""
+        rest = [p for p in pieces if not _LETTERS(p)] if self.letters else pieces
+        done = dict(zip(rest, self._encode_batch(rest)))
+        if not self.letters:
+            return [done[p] for p in pieces]
+        tokens = self.tokenizer.model.tokenize
+        plain = [p for p in pieces if p not in done]
+        signs = [p.replace(" ", _SPACE_SIGN) if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_SIGNS) for p in plain]
+        done.update(zip(plain, _as_bytes([[t.id for t in tokens(p)] for p in signs])))
+        return [done[p] for p in pieces]
+
+    def _encode_batch(self, pieces: list[str]) -> Iterable[bytes]:
         for lo in range(0, len(pieces), 4096):
-            found = self.tokenizer.encode_batch_fast(pieces[lo:lo + 4096], add_special_tokens=False)
-            lists = [e.ids for e in found]
-            flat = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
-            at = 0
-            for ids in lists:
-                yield flat[at:at + 4 * len(ids)]
-                at += 4 * len(ids)
+            yield from _as_bytes([e.ids for e in self.tokenizer.encode_batch_fast(pieces[lo:lo + 4096], add_special_tokens=False)])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cache, out = self.cache, []
@@ -86,21 +125,19 @@ class Encoder:
             whole = set(np.flatnonzero(pc.match_substring_regex(column, _WHOLE_COLUMN)).tolist())
             odd = pc.match_substring_regex(column, _ODD_COLUMN).to_pylist()
             cut = [[] if i in whole else self.cut(t, o) for i, (t, o) in enumerate(zip(part, odd))]
-            new = list(set().union(*cut).difference(cache))
-            extra: dict[str, bytes] = {}
-            if new:
+            found = [list(map(cache.get, pieces)) for pieces in cut]
+            lacking = [i for i, ids in enumerate(found) if None in ids]
+            if lacking:
+                new = list({p for i in lacking for p, ids in zip(cut[i], found[i]) if ids is None})
                 if len(cache) + len(new) > self.limit:
                     cache.clear()
-                    new = list(set().union(*cut))
-                for piece, ids in zip(new, self._encode(new)):
-                    (cache if len(piece) <= LONGEST_KEPT else extra)[piece] = ids
-            if extra:
-                get = lambda p: cache[p] if p in cache else extra[p]
-            else:
-                get = cache.__getitem__
-            rows = [b"".join(map(get, pieces)) for pieces in cut]
+                learned = dict(zip(new, self._encode(new)))
+                cache.update((p, ids) for p, ids in learned.items() if len(p) <= LONGEST_KEPT)
+                for i in lacking:
+                    found[i] = [learned[p] if ids is None else ids for p, ids in zip(cut[i], found[i])]
+            rows = list(map(b"".join, found))
             for i in whole:
-                rows[i] = next(iter(self._encode([part[i]])))
+                rows[i] = next(iter(self._encode_batch([part[i]])))
             out += rows
         return out
 

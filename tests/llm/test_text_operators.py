@@ -209,3 +209,15 @@ def test_wordwise_encoding_equals_whole(odd):
         enc = Encoder(queries.tokenizer_file(name), drops, cache_pieces=500)
         got = [np.frombuffer(b, "<u4").tolist() + [7] for b in enc.ids(texts)]
         assert got == _ids(name, texts, end)
+
+
+def test_letters_are_encoded_without_the_batch(monkeypatch):
+    """Pieces of letters go to the model alone, all others to the library's batches; the ids are the library's."""
+    from revlens.llm.tokens import Encoder
+    texts = ["Plain words and été Ωmega Łódź ǅ ªº 漢字 x1 a_b don't", "\nnew  line, end.", "été", " Words", "<|endoftext|> raw"]
+    enc = Encoder(queries.tokenizer_file("byte_bpe_50k.json"), False)
+    batched, batch = [], enc._encode_batch
+    monkeypatch.setattr(enc, "_encode_batch", lambda pieces: batched.extend(pieces) or batch(pieces))
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(texts)] == [x[:-1] for x in _ids("byte_bpe_50k.json", texts, 0)]
+    assert batched and not {"Plain", " words", " été", " Łódź"} & set(batched)
+    assert not Encoder(queries.tokenizer_file("word_bpe_49k.json"), True).letters

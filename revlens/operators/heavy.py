@@ -10,12 +10,15 @@ rare, and their counts are shuffled only to be thrown away.  Here:
    most ``candidates`` of them, broadcast);
 3. a bound proves the result.  A term that the sketch does not name occurs at
    most ``7 n tracked_error`` times, or at most as often as the last named one's
-   estimate where the list was cut.  If place ``size`` has a higher exact count,
-   no other term belongs to the top.
+   estimate where the list was cut, and never more often than all terms less the
+   exactly counted ones.  If place ``size`` has a higher exact count, no other
+   term belongs to the top.
 
 Where the bound does not separate place ``size`` from the rest (a flat
 distribution, or too few terms tracked) the result comes from the full count
-instead, so it is exact in every case.
+instead, so it is exact in every case.  Estimates are never below the exact
+counts: if already place ``size`` of them is within the bound, the second pass
+is left out.  The terms are read up to three times: pass a table, not a long plan.
 """
 
 from __future__ import annotations
@@ -60,19 +63,27 @@ def heavy_vocabulary(df: DataFrame, tokens_col: str, size: int, term_col: str =
     path = scratch_path(df.sparkSession, "heavy-candidates")  # read twice: as a list and for its bound
     named.write.parquet(path)
     named = df.sparkSession.read.schema(named.schema).parquet(path)
-    facts = named.select("n", F.size("top").alias("k"), F.array_min("top.count").alias("least")).first()
+    facts = named.select("n", F.size("top").alias("k"), F.array_min("top.count").alias("least"),
+                         F.get(F.sort_array("top.count", asc=False), F.lit(size - 1)).alias("place"),
+                         F.aggregate("top.count", F.lit(0).cast("long"), lambda a, x: a + x).alias("named")).first()
+    order = [F.desc("cf"), F.asc(term_col)]
+    bound, rest = 0.0, 0
+    if facts is not None:
+        # counters are 4/3 of the tracked terms at least; the sketch leaves out what may be twice its error
+        bound = 2 * SKETCH_ERROR * facts["n"] / (tracked / 0.75)
+        bound = max(bound if bound >= 1 else 0.0, facts["least"] if facts["k"] == candidates else 0.0)
+        rest = facts["n"] - facts["named"]
+        if min(bound, rest) >= max(facts["place"] or 0, 1):  # the exact counts cannot be above the bound
+            return HeavyVocabulary(vocabulary(_without_nulls(df, tokens_col), tokens_col, size, term_col), False, bound)
     wanted = named.select(F.explode("top.item").alias(term_col))
     counted = terms.join(F.broadcast(wanted), term_col).groupBy(term_col).agg(F.count(F.lit(1)).alias("cf"))
-    order = [F.desc("cf"), F.asc(term_col)]
+    counted_path = scratch_path(df.sparkSession, "heavy-counted")
+    counted.write.parquet(counted_path)
+    counted = df.sparkSession.read.schema(counted.schema).parquet(counted_path)
     top = counted.orderBy(*order).limit(size)
-    top_path = scratch_path(df.sparkSession, "heavy-top")
-    top.write.parquet(top_path)
-    top = df.sparkSession.read.schema(top.schema).parquet(top_path)
     if facts is None:  # no terms
         return HeavyVocabulary(_numbered(top, order, term_col), True, 0.0)
-    # counters are 4/3 of the tracked terms at least; the sketch leaves out what may be twice its error
-    bound = 2 * SKETCH_ERROR * facts["n"] / (tracked / 0.75)
-    bound = max(bound if bound >= 1 else 0.0, facts["least"] if facts["k"] == candidates else 0.0)
+    bound = min(bound, float(facts["n"] - (counted.agg(F.sum("cf")).first()[0] or 0)))
     found = top.agg(F.count("*").alias("k"), F.min("cf").alias("cf")).first()
     if bound == 0 or (found["k"] == size and found["cf"] > bound):
         return HeavyVocabulary(_numbered(top, order, term_col), True, bound)

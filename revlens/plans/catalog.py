@@ -148,7 +148,9 @@ def q_vocab_topk(spark, sf_dir):
 
 def q_vocab_heavy_hitters(spark, sf_dir):
     """The most frequent words and bigrams of all documents, from sketches and a second, exact pass over the candidates."""
-    words = _doc_words(spark, sf_dir)
+    path = scratch_path(spark, "heavy-words")  # cleaned and split once: each vocabulary reads them up to three times
+    _doc_words(spark, sf_dir).select("words").write.parquet(path)
+    words = spark.read.schema("words array<string>").parquet(path)
     parts = []
     for n, size in zip((1, 2), NGRAM_VOCAB_SIZES):
         grams = words.select((F.col("words") if n == 1 else ngrams("words", 2)).alias("grams"))

@@ -46,3 +46,30 @@ def test_flat_and_empty(spark, skewed):
     odd = spark.createDataFrame([([None, "a", "a"],), (None,), ([],)], "words array<string>")
     assert rows(heavy_vocabulary(odd, "words", 10).table) == [("a", 0, 2)]
 
+
+def test_unprovable_needs_no_second_pass(spark, skewed, monkeypatch):
+    """Where the estimates show that no count can pass the bound, candidates are not counted."""
+    from revlens.operators import heavy
+    written = []
+    path = heavy.scratch_path
+    monkeypatch.setattr(heavy, "scratch_path", lambda s, name: written.append(name) or path(s, name))
+    got = heavy_vocabulary(skewed, "words", 30, tracked=64)
+    assert not got.proved and written == ["heavy-candidates"]
+    assert rows(got.table) == rows(vocabulary(skewed, "words", 30))
+
+
+def test_all_terms_counted_proves_the_result(spark):
+    """Terms that are all named leave nothing over, whatever the sketch's own bound."""
+    df = spark.createDataFrame([(["a"] * 500 + ["b"] * 3 + ["c"],)] * 40, "words array<string>")
+    got = heavy_vocabulary(df, "words", 2, tracked=64)
+    assert got.proved and got.bound == 0 and rows(got.table) == [("a", 0, 20000), ("b", 1, 120)]
+
+
+def test_query_prepares_its_words_once(spark, tmp_path, monkeypatch):
+    from revlens.plans import catalog
+    spark.createDataFrame([(i, f"some words here and {i} others") for i in range(9)], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    seen, heavy = [], catalog.heavy_vocabulary
+    monkeypatch.setattr(catalog, "heavy_vocabulary", lambda df, *a: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or heavy(df, *a))
+    assert catalog.q_vocab_heavy_hitters(spark, str(tmp_path)).count() > 0
+    assert len(seen) == 2 and not any("regexp" in plan for plan in seen)

@@ -221,3 +221,28 @@ def test_letters_are_encoded_without_the_batch(monkeypatch):
     assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(texts)] == [x[:-1] for x in _ids("byte_bpe_50k.json", texts, 0)]
     assert batched and not {"Plain", " words", " été", " Łódź"} & set(batched)
     assert not Encoder(queries.tokenizer_file("word_bpe_49k.json"), True).letters
+
+
+def test_lower_case_words_are_encoded_without_the_batch(monkeypatch):
+    """The same for a tokenizer that drops space and case: a word of letters is one word after its normalizer."""
+    from revlens.llm.tokens import Encoder
+    texts = ["Plain words, and \u00e9t\u00e9. J\u030c \u0130x \u0130. \u0130, \u00d8re na\u00efve don't x1", "nothing   odd", "", "<|startoftext|>", "\u3000wide\u00a0space\u2028end"]
+    for some in (texts, texts[3:4], texts[2:3], []):
+        enc = Encoder(queries.tokenizer_file("word_bpe_49k.json"), True)
+        batched, batch = [], enc._encode_batch
+        monkeypatch.setattr(enc, "_encode_batch", lambda pieces: batched.extend(pieces) or batch(pieces))
+        assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(some)] == [x[:-1] for x in _ids("word_bpe_49k.json", some, 0)]
+        assert not {"words", "plain", "na\u00efve", "nothing"} & set(batched)
+
+
+def test_words_in_use_stay_when_the_table_is_full(monkeypatch):
+    """Rare pieces fill the table many times over; a word of every text is encoded once."""
+    from revlens.llm.tokens import Encoder
+    enc = Encoder(queries.tokenizer_file("byte_bpe_50k.json"), False, cache_pieces=100)
+    encoded, encode = [], enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda pieces: encoded.extend(pieces) or encode(pieces))
+    for n in range(30):
+        texts = ["".join(f" rare{'abcdefghij'[n % 10]}{'klmno'[n // 10]}{c}" for c in "abcdefghijklmnopqrst") + " often"]
+        assert [np.frombuffer(b, "<u4").tolist() for b in enc.ids(texts)] == [x[:-1] for x in _ids("byte_bpe_50k.json", texts, 0)]
+        assert len(enc.cache) + len(enc.older) <= 100
+    assert encoded.count(" often") == 1 and len(encoded) > 300

@@ -31,19 +31,38 @@ def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.withColumn("doc_id", row_key(*columns))
 
 
-def _keep(docs: DataFrame, kept: DataFrame, *columns: str) -> DataFrame:
-    """Rows of ``docs`` whose row key of ``columns`` is a doc_id of ``kept``."""
-    name = "kept_key"
-    while name in docs.columns:
+def _free_name(docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    name = "row_key"
+    while name in {c.lower() for c in docs.columns}:
         name += "_"
+    return name
+
+
+def _keep(docs: DataFrame, kept: DataFrame, *columns: str, once: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose row key of ``columns`` is a doc_id of ``kept``; ``once``: one of those equal in ``columns``."""
+    name = _free_name(docs)
     wanted = kept.select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(wanted, row_key(*columns) == F.col(name), "left_semi")
+    found = docs.withColumn(name, row_key(*columns)).join(wanted, name, "left_semi")
+    # the key is still a column: rows dealt by it for the join need not be dealt again by id and text
+    return (found.dropDuplicates([name, *columns]) if once else found).drop(name)
+
+
+def _without(docs: DataFrame, dropped: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` without the rows whose row key of ``columns`` is a doc_id of ``dropped``.
+
+    The keys are written first: where they are few, their known size lets Spark
+    broadcast them, and no text is shuffled.
+    """
+    name = _free_name(docs)
+    unwanted = written(dropped.select(F.col("doc_id").alias(name)).distinct(), "pipeline-dropped")
+    return docs.join(unwanted, row_key(*columns) == F.col(name), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is known well enough."""
     found = identify_documents(_keyed(docs, *LANGUAGE_COLUMNS)).withColumnRenamed("key", "doc_id")
-    return _keep(docs, written(found, "pipeline-language").where("accepted"), *LANGUAGE_COLUMNS)
+    return _without(docs, found.where("NOT accepted"), *LANGUAGE_COLUMNS)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +73,13 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     place = F.struct(F.col("id").isNull().alias("none"), "id", F.col("key").alias("doc_id"))
     first = found.select(F.col("doc_id").alias("key"), "component_id").distinct().join(ids, "key") \
         .groupBy("component_id").agg(F.min(place).alias("first")).select("first.doc_id")
-    return _keep(docs, first, "doc_id", "text").dropDuplicates(["doc_id", "text"])
+    return _keep(docs, first, "doc_id", "text", once=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by a benchmark item (13-word windows, one word in twenty)."""
     found = decontaminate(_keyed(docs, "doc_id", "text"), read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
-    return _keep(docs, written(found, "pipeline-decontamination").where("NOT contaminated"), "doc_id", "text")
+    return _without(docs, found.where("contaminated"), "doc_id", "text")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

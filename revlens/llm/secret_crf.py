@@ -52,6 +52,9 @@ _MAY = re.compile(r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}", re.A)
 TRAIN_DOCS = 400
 #: Characters of a text in the sample, at most (longer ones are not drawn).
 TRAIN_CHARS = 20_000
+#: Tokens of the sample whose pairs and features are summed at a time (about 400 bytes each), and bytes whose tokens are made at a time.
+TRAIN_TOKENS = 1 << 14
+TRAIN_SLICE = 128 << 10
 WEIGHTS = 1 << 14
 FEATURES = 14
 EPOCHS = 30
@@ -258,14 +261,28 @@ def marginals(emit: np.ndarray, step: np.ndarray, fresh: np.ndarray) -> tuple[np
     total = np.empty(len(emit))
     for f, s, z in zip(first, size, whole):
         total[f:f + s] = z
-    prob = np.exp(alpha + beta - total[:, None])
     later = np.flatnonzero(~fresh)
-    pair = alpha[later - 1][:, :, None] + step[None] + (emit[later] + beta[later])[:, None, :] - total[later][:, None, None]
-    moves = np.exp(pair).sum(0)
+    moves = np.zeros((3, 3))
+    for lo in range(0, len(later), TRAIN_TOKENS):  # the sum so far comes first, so the order of adding is that of one sum
+        at = later[lo:lo + TRAIN_TOKENS]
+        pair = alpha[at - 1][:, :, None] + step[None] + (emit[at] + beta[at])[:, None, :] - total[at][:, None, None]
+        moves = np.concatenate([moves[None], np.exp(pair)]).sum(0)
+    alpha += beta
+    alpha -= total[:, None]
+    prob = np.exp(alpha, out=alpha)
     moves[OUT] += prob[first].sum(0)
     return prob, moves
 
 
+def _by_feature(features: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sum of the tokens' ``values`` for each hashed feature."""
+    out, own = np.zeros(WEIGHTS), np.arange(WEIGHTS)
+    for lo in range(0, len(features), TRAIN_TOKENS):
+        part = features[lo:lo + TRAIN_TOKENS]
+        out = np.bincount(np.append(own, part.ravel()), np.append(out, np.repeat(values[lo:lo + TRAIN_TOKENS], FEATURES)), WEIGHTS)
+    return out
+
+
 def _token_ranges(spans, text: str, offset: int, tokens: Tokens):
     """First and last + 1 token that each span (code points of ``text``, whose bytes start at ``offset``) touches."""
     for a, b in merged(spans):
@@ -378,7 +395,7 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.15, decay: flo
     rng = np.random.default_rng(seed)
     made = [planted(t, rng) for t in texts]
     buf, offsets = text_bytes(pa.array(texts + [m[0] for m in made], pa.string()))
-    tokens = Tokens.in_slices(buf, offsets)
+    tokens = Tokens.in_slices(buf, offsets, TRAIN_SLICE)
     if not len(tokens.start):
         weights[:, BEGIN:] = -1.0
         return weights, step
@@ -389,7 +406,7 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.15, decay: flo
     for r, (text, (_, _, harmless)) in enumerate(zip(texts[len(made):], made), len(made)):
         for i, j in _token_ranges(harmless, text, int(offsets[r]), tokens):
             known[i:j] = True
-    closed = np.where(known[:, None] & (np.arange(3) != tags[:, None]), -50.0, 0.0)
+    closed = known[:, None] & (np.arange(3) != tags[:, None])
     n, f = len(tags), tokens.features
     before = np.where(tokens.fresh, OUT, np.append(OUT, tags[:-1]))
     moves = np.zeros((3, 3))
@@ -397,14 +414,15 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.15, decay: flo
     # begin at the transitions' smoothed frequencies
     step[:] = np.log((moves + 0.1) / (moves + 0.1).sum(1, keepdims=True))
     step[OUT, INSIDE] = -20.0
-    flat, both = f.ravel(), [weights, step]
+    both = [weights, step]
     mean, square = [np.zeros_like(x) for x in both], [np.zeros_like(x) for x in both]
     for t in range(1, epochs + 1):  # Adam on the log-likelihood
         emit = tokens.emissions(weights).astype(float)
         prob, moves = marginals(emit, step.astype(float), tokens.fresh)
-        gold, gold_moves = marginals(emit + closed, step.astype(float), tokens.fresh)
-        delta = gold - prob
-        grads = [np.stack([np.bincount(flat, np.repeat(delta[:, c], FEATURES), WEIGHTS) for c in range(3)], 1) - decay * n * weights / WEIGHTS,
+        emit[closed] -= 50.0
+        delta, gold_moves = marginals(emit, step.astype(float), tokens.fresh)
+        delta -= prob
+        grads = [np.stack([_by_feature(f, delta[:, c]) for c in range(3)], 1) - decay * n * weights / WEIGHTS,
                  gold_moves - moves]
         for k, grad in enumerate(grads):
             mean[k] = 0.9 * mean[k] + 0.1 * grad

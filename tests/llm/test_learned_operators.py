@@ -440,3 +440,35 @@ def test_tokens_in_slices_are_the_same(secret_docs):
         parts = secret_crf.Tokens.in_slices(buf, offsets, size)
         for name in ("start", "end", "row", "fresh", "features", "odd"):
             assert np.array_equal(getattr(parts, name), getattr(whole, name)), name
+
+
+def test_stages_drop_few_rows_without_dealing_texts(spark):
+    """Few dropped keys are broadcast even where the kept ones are too many for it; a row key deals rows once."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit(1).alias("Row_Key"))
+    keyed = corpus_pipeline._keyed(docs, "doc_id", "text")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        left = corpus_pipeline._without(docs, keyed.where("text = 'text 7'"), "doc_id", "text")
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert left.columns == docs.columns and left.count() == 3999 and not left.where("doc_id = 7").count()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        double = spark.range(8000).select((F.col("id") % 4000).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 4000).alias("text"), F.lit(1).alias("Row_Key"))
+        twice = corpus_pipeline._keep(double, keyed.where("doc_id IS NOT NULL AND text <> 'text 7'"), "doc_id", "text", once=True)
+        assert twice._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert twice.columns == docs.columns and twice.count() == 3999
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_training_holds_sums_of_few_tokens(monkeypatch):
+    """Pairs and features are summed part by part, which changes neither the model nor its last bit."""
+    texts = [f"the key is {n:032x} and\npassword = abc{n}def{n} of words " * 3 for n in range(12)]
+    whole = secret_crf.train(texts, epochs=3)
+    largest, count = [], np.bincount
+    monkeypatch.setattr(secret_crf, "TRAIN_TOKENS", 7)
+    monkeypatch.setattr(np, "bincount", lambda x, *a: largest.append(len(x)) or count(x, *a))
+    parts = secret_crf.train(texts, epochs=3)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts))
+    assert max(largest) == secret_crf.WEIGHTS + 7 * secret_crf.FEATURES

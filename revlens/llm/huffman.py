@@ -219,7 +219,27 @@ def _count(width: str, size: int):
     return run
 
 
-def _encode(width: str, codes, lengths, block: int):
+def _ranges(doc_ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """The range of each doc_id: how many of the ascending ``bounds`` are below it; NULL is in the first."""
+    part = np.searchsorted(bounds, doc_ids.fill_null(0).to_numpy(zero_copy_only=False), "left")
+    part[doc_ids.is_null().to_numpy(zero_copy_only=False)] = 0
+    return part.astype(np.int32)
+
+
+def _sum_ranges(bounds):
+    def run(batches):
+        """Rows of ``doc_id, n_tokens`` to ids by range, one row for each range of a task."""
+        total, seen = np.zeros(len(bounds.value) + 1, np.int64), np.zeros(len(bounds.value) + 1, bool)
+        for batch in batches:
+            part = _ranges(batch.column(0), bounds.value)
+            np.add.at(total, part, batch.column(1).to_numpy())
+            seen[part] = True
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["part", "n"])
+    return run
+
+
+def _encode(width: str, codes, lengths, block: int, bounds):
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -235,7 +255,7 @@ def _encode(width: str, codes, lengths, block: int):
                     blocks.append(np.diff(size[cuts]).astype("<u2").tobytes())
                     docs.append(data[byte[d]:byte[d + 1]])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("part"), part.column("doc_id"), part.column("n_tokens"),
+                    [pa.array(_ranges(part.column("doc_id"), bounds.value)), part.column("doc_id"), part.column("n_tokens"),
                      pa.array(blocks, pa.binary()), pa.array(docs, pa.binary())],
                     names=["part", "doc_id", "n_tokens", "blocks", "bits"])
     return run
@@ -301,33 +321,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, drops_space: b
     ranges = int(min(MAX_RANGES, max(1, -(-n // RANGE_ROWS))))
     cuts = tokens.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * MAX_RANGES)).first()[0] if ranges > 1 else []
     cuts = sorted(set(cuts or []))
-    # the range of a doc_id: how many cuts are below it
-    bound = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    part = F.coalesce(F.size(F.filter(bound, lambda c: c < F.col("doc_id"))), F.lit(0)) if len(cuts) <= 64 else _range_of(spark, cuts)
-    dealt = tokens.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int"))
-    totals = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+    bounds = spark.sparkContext.broadcast(np.array(cuts, np.int64))
+    totals = {r["part"]: r["n"] for r in tokens.select("doc_id", "n_tokens").mapInArrow(_sum_ranges(bounds), "part int, n long")
+              .groupBy("part").agg(F.sum("n").alias("n")).collect()}
     starts, run = {}, 0
     for p in sorted(totals):
         starts[p] = run
         run += totals[p]
-    bits = dealt.mapInArrow(_encode(width, code_b, length_b, block),
-                            "part int, doc_id long, n_tokens long, blocks binary, bits binary")
+    bits = tokens.mapInArrow(_encode(width, code_b, length_b, block, bounds),
+                             "part int, doc_id long, n_tokens long, blocks binary, bits binary")
     (bits.repartition(max(1, len(totals)), "part").sortWithinPartitions("part", "doc_id", "n_tokens", "bits")
      .mapInArrow(_segments(starts, max_bits, block, segment_ids), "first_token long, segment binary")
      .write.option("compression", "none").parquet(f"{path}/segments"))
 
 
-def _range_of(spark: SparkSession, cuts: list[int]):
-    """Many cuts: binary search in an Arrow function over the bounded list of cuts."""
-    import pandas as pd
-    held = spark.sparkContext.broadcast(np.array(cuts, np.int64))
-
-    @F.pandas_udf("int")
-    def find(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(held.value, ids.fillna(0).to_numpy(np.int64), "left").astype(np.int32))
-    return find(F.col("doc_id"))
-
-
 def _vocabulary_size(path: str) -> int:
     from tokenizers import Tokenizer
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)

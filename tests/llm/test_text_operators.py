@@ -139,6 +139,19 @@ def test_huffman_ranges(spark, odd, monkeypatch):
     assert spark.read.parquet(out + "/segments").count() > 5
 
 
+def test_huffman_many_ranges(spark, monkeypatch):
+    """Over 64 ranges: ids beyond 2 to the 53rd, a NULL id and ids below zero come in order."""
+    monkeypatch.setattr(huffman, "RANGE_ROWS", 2)
+    ids = [None, -2 ** 62, -5, *range(7, 400, 3), *(2 ** 60 + k for k in range(40))]
+    docs = [(d, f"text number {i}, again") for i, d in enumerate(ids)]
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    got = huffman.round_trip(spark.createDataFrame(docs[::-1], EMPTY).repartition(4), path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == ids
+    want = _ids("byte_bpe_50k.json", [t for _, t in docs], 0)
+    assert [(r.start, r.n_tokens, r.ids_crc32) for r in got] == [
+        (sum(map(len, want[:i])), len(x), _crc(x)) for i, x in enumerate(want)]
+
+
 def test_code_lengths():
     rng = np.random.default_rng(3)
     for limit in (5, 8, 18):

@@ -81,6 +81,44 @@ def test_words_of_a_topic_meet_in_several_blocks(corpus):
         assert np.abs(r["vec"].toArray() - want).max() < 1e-9
 
 
+def test_training_frees_its_files(corpus, spark):
+    """Rows of blocks, sentences and shuffle files do not pile up over the iterations."""
+    import glob
+
+    from revlens.session import SHUFFLE_CLEANUP_CONF, checkpoint_root
+
+    def shuffle_files():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum(x.startswith("shuffle_") for x in disk.getAllFiles().mkString("\n").replace("/", "\n").split("\n"))
+    root = checkpoint_root(spark).removeprefix("file:")
+    tables = set(glob.glob(f"{root}/w2v-*"))
+    n = shuffle_files()
+    model = fit_word2vec(corpus, "w", vector_size=8, min_count=0, iterations=3, partitions=2)
+    assert shuffle_files() <= n and spark.conf.get(SHUFFLE_CLEANUP_CONF, "false") == "false"
+    rows = {p.rsplit("/", 1)[1].rsplit("-", 1)[0]: 0 for p in set(glob.glob(f"{root}/w2v-*")) - tables}
+    for p in set(glob.glob(f"{root}/w2v-*")) - tables:
+        rows[p.rsplit("/", 1)[1].rsplit("-", 1)[0]] += spark.read.parquet(p).count()
+    assert {k for k, v in rows.items() if v} == {"w2v-counts", "w2v-vocabulary", "w2v-vectors"}
+    assert model.table.count() == rows["w2v-vectors"] == 43
+
+
+def test_rare_words_of_a_block_share_their_nodes(spark):
+    """Words that occur once: a block needs the nodes above its own, few that other blocks need too."""
+    from pyspark.sql import functions as F
+
+    from revlens.operators.word2vec import numbered_vocabulary
+    counts = spark.range(4096).select(F.concat(F.lit("w"), F.hash("id")).alias("term"), F.lit(1).alias("cf"),
+                                      F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("first"))
+    rows = numbered_vocabulary(counts).join(counts, "term").collect()
+    assert sorted(r["id"] for r in rows) == list(range(4096))
+    tree = huffman_tree([(1, 4096)])
+    needed = 0
+    for block in range(16):
+        nodes, _ = tree.paths(np.array([r["id"] for r in rows if r["first"] == block]))
+        needed += len(np.unique(nodes[nodes >= 0]))
+    assert needed < 1.1 * 4096
+
+
 def test_vocabulary_by_count(corpus, spark):
     model = fit_word2vec(corpus, "w", vector_size=4, min_count=2, iterations=1)
     assert model.table.count() == 40

@@ -119,6 +119,20 @@ def test_rare_words_of_a_block_share_their_nodes(spark):
     assert needed < 1.1 * 4096
 
 
+def test_document_sums_are_dealt_once(spark):
+    from revlens.plans.ml_catalog import _document_sums
+    out = spark.createDataFrame([(1, ["a", "b", "a", "x"]), (1, ["c"]), (2, ["c", "d"]), (3, []), (4, None), (None, ["a"])],
+                                "doc_id long, w2v_words array<string>")
+    vectors = spark.createDataFrame([(w, [float(i), 1.0]) for i, w in enumerate("abcd")], "term string, wv array<float>")
+    hot, cold = _document_sums(out, vectors, spark.createDataFrame([("a", 9), ("c", 9)], "term string, df long"), 2)
+    assert {r["doc_id"]: r["s"] for r in hot.collect()} == {1: [2.0, 3.0], 2: [2.0, 1.0], None: [0.0, 1.0]}
+    assert {r["doc_id"]: r["s"] for r in cold.collect()} == {1: [1.0, 1.0], 2: [3.0, 1.0]}
+    for part in (hot, cold):  # no shuffle of partial sums
+        plan = part._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+        dealt = [x for x in plan.splitlines() if "hashpartitioning(doc_id" in x]
+        assert dealt and all("REPARTITION_BY_COL" in x for x in dealt)
+
+
 def test_vocabulary_by_count(corpus, spark):
     model = fit_word2vec(corpus, "w", vector_size=4, min_count=2, iterations=1)
     assert model.table.count() == 40
